@@ -14,6 +14,7 @@ import pandas as pd
 U = np.uint64
 _SPACE = np.zeros(256, dtype=bool)
 _SPACE[[9, 10, 11, 12, 13, 32]] = True
+_PUNCTUATION = np.array([b < 128 and not chr(b).isalnum() for b in range(256)])
 _BASE = 0x9E3779B97F4A7C15
 _powers = np.array([pow(_BASE, k, 1 << 64) for k in range(64)], dtype=U)
 
@@ -33,33 +34,37 @@ def mix64(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> U(31))
 
 
-def word_spans(data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Start and end offsets of the words in UTF-8 bytes."""
-    inside = np.empty(len(data) + 2, dtype=np.int8)
+def word_spans(space: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Start and end offsets of the words, from the mask of the bytes between words."""
+    inside = np.empty(len(space) + 2, dtype=np.int8)
     inside[0] = inside[-1] = 0
-    inside[1:-1] = ~_SPACE[data]
+    inside[1:-1] = ~space
     edge = np.diff(inside)
     return np.flatnonzero(edge == 1), np.flatnonzero(edge == -1)
 
 
-def word_hashes(text: str | None) -> np.ndarray:
-    """A 64-bit hash for each word of the text, in order."""
-    if not text:
-        return np.zeros(0, dtype=U)
-    data = np.frombuffer(text.lower().encode("utf-8", "surrogatepass"), dtype=np.uint8)
-    starts, ends = word_spans(data)
-    if not len(starts):
-        return np.zeros(0, dtype=U)
+def word_hashes(text: str | None, plain: bool = False) -> np.ndarray:
+    """A 64-bit hash for each word of the text, in order. plain: ASCII punctuation parts words too."""
+    return hashed_words(text, plain)[0]
+
+
+def hashed_words(text: str | None, plain: bool = False) -> tuple[np.ndarray, np.ndarray]:
+    """The words' hashes and their lengths in bytes."""
+    data = np.frombuffer((text or "").lower().encode("utf-8", "surrogatepass"), dtype=np.uint8)
+    between = _PUNCTUATION if plain else _SPACE
+    starts, ends = word_spans(between[data])
     lengths = ends - starts
+    if not len(starts):
+        return np.zeros(0, dtype=U), lengths
     data = data[starts[0] :]
     ends = ends - starts[0]
     starts = starts - starts[0]
-    space = _SPACE[data]
+    space = between[data]
     within = np.arange(len(data)) - np.repeat(starts, np.diff(np.append(starts, len(data))))
     within[space] = 0
     terms = (data.astype(U) + U(1)) * _power_table(int(lengths.max()))[within]
     terms[space] = 0
-    return mix64(np.add.reduceat(terms, starts) ^ (lengths.astype(U) << U(40)))
+    return mix64(np.add.reduceat(terms, starts) ^ (lengths.astype(U) << U(40))), lengths
 
 
 def shingle_hashes(words: np.ndarray, size: int = 5) -> np.ndarray:
