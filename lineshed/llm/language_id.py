@@ -150,14 +150,16 @@ def fit(training: DataFrame, text: str = "text", lang: str = "lang", dim: int =
 
 
 def predict(docs: DataFrame, profiles: Profiles, text: str = "text", keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
-    """The columns in `keep`, lang_pred and score for every row of docs."""
+    """The columns in `keep`, lang_pred and score for every row of docs.
+
+    The text itself may be one of the columns in `keep`.
+    """
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in byte_batches(frames, "__t"):
-            best, scores = profiles.score([t or "" for t in pdf["__t"]])
-            yield pdf.drop(columns="__t").assign(lang_pred=best, score=scores)
+        for pdf in byte_batches(frames, text):
+            best, scores = profiles.score([t or "" for t in pdf[text]])
+            yield pdf[list(keep)].assign(lang_pred=best, score=scores)
 
-    rest = docs.select(*keep)
-    source = docs.select(*keep, F.col(text).alias("__t"))
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rest.schema) + ", lang_pred string, score double"
+    source = docs.select(*dict.fromkeys([*keep, text]))
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.select(*keep).schema) + ", lang_pred string, score double"
     return source.mapInPandas(run, schema)
