@@ -29,8 +29,7 @@ def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
     """Drops texts without letters and texts unlike every learned language."""
     _prepare(spark)
     profiles = language_id.fit(docs.filter(f"not {HELD_OUT}"))
-    judged = language_id.predict(docs, profiles, keep=tuple(docs.columns))
-    return judged.filter((F.col("lang_pred") != language_id.UND) & (F.col("score") >= LEAST_COSINE)).select(*docs.columns)
+    return language_id.keep_known(docs, profiles, LEAST_COSINE)
 
 
 def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

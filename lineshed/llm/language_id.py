@@ -163,3 +163,14 @@ def predict(docs: DataFrame, profiles: Profiles, text: str = "text", keep: tuple
     source = docs.select(*dict.fromkeys([*keep, text]))
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.select(*keep).schema) + ", lang_pred string, score double"
     return source.mapInPandas(run, schema)
+
+
+def keep_known(docs: DataFrame, profiles: Profiles, least: float, text: str = "text") -> DataFrame:
+    """The rows of docs, with all their columns, whose text has a language and a cosine of `least` or more."""
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in byte_batches(frames, text):
+            best, scores = profiles.score([t or "" for t in pdf[text]])
+            yield pdf[(np.array(best, dtype=object) != UND) & (scores >= least)]
+
+    return docs.mapInPandas(run, docs.schema)

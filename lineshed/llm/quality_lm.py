@@ -33,7 +33,7 @@ BITS = 6
 SYMBOLS = 1 << BITS
 PAD = 1
 QUANTILE = 0.995
-SLACK = 1.3
+SLACK = 1.2
 _classes: np.ndarray | None = None
 
 
