@@ -4,14 +4,15 @@ A page is read once into blocks: the words between block-level tags, with the ta
 score above 0 and tags below 0, by weights from labelled pages; the contiguous run of blocks with the
 largest sum is the content. Labelled pages are those that mark their content with an `article` or `main`
 element: what lies inside is content, the rest isn't. A word's weight depends on whether it is inside or
-outside the page's marked content (if it has any) and on whether it is in a link; a tag's on its name.
+outside the page's marked content (if it has any) and on whether it is in a link; a tag's on its name and
+on whether it stands in marked content.
 
 Before scoring, elements that are never content are left out with all that they hold: scripts, styles,
 forms, menus and the like by their name, role or class.
 
 Edge cases: a null, empty or word-less page gives an empty text; unclosed and stray tags are forgiven;
 an unclosed comment, script or style reaches to the end; the first of equal runs wins; without labelled
-pages words weigh 1 and tags -1; equal pages give equal texts.
+pages words weigh 1 and tags -0.5; equal pages give equal texts.
 """
 
 from __future__ import annotations
@@ -185,7 +186,8 @@ class Weights:
     link: float = 0.5
     outside: float = -1.0
     tag: dict[str, float] = field(default_factory=dict)
-    other_tag: float = -1.0
+    other_tag: float = -0.5
+    marked_tag: float = -0.001  # between two blocks of marked content
 
     @classmethod
     def of_counts(cls, counts: dict[tuple[str, bool], int]) -> Weights:
@@ -198,16 +200,22 @@ class Weights:
         if not names and not counts:
             return cls()
         word = min(max(odds(WORD), 0.5), 3.0)
-        tag = {name: min(-0.1, min(max(odds(name), -6.0), 6.0) - 3.0) for name in names}
-        return cls(word, min(max(odds(LINK), 0.1), word), -word, tag, -2.0)
+        tag = {name: -0.05 - 1 / (1 + math.exp(min(max(odds(name), -9.0), 9.0))) for name in names}
+        return cls(word, min(max(odds(LINK), 0.1), word), -word, tag)
 
     def scores(self, found: list[Block]) -> list[tuple[float, float]]:
         """For each block the sum of the tags before it and the sum of its words."""
         has_marked = any(b.marked for b in found)
         out = []
+        before = False
         for b in found:
             words = self.outside * b.words if has_marked and not b.marked else self.word * (b.words - b.linked) + self.link * b.linked
-            out.append((sum(n * self.tag.get(t, self.other_tag) for t, n in b.tags.items()), words))
+            if before and b.marked:
+                tags = self.marked_tag * b.tags.total()
+            else:
+                tags = sum(n * self.tag.get(t, self.other_tag) for t, n in b.tags.items())
+            out.append((tags, words))
+            before = b.marked
         return out
 
 

@@ -89,15 +89,15 @@ def test_quality_edges(spark):
 PAGE = """<!DOCTYPE html><html><head><title>No</title><style>p{}</style></head><body class="has-sidebar">
 <header><h1>Site</h1></header><nav><ul><li><a href=x>Menu<li>Two</ul></nav><div class="cookie-notice">Accept?</div>
 <article class='post'><header><h1>Real &amp; Title</h1></header><p>First <b>bo</b>ld  text&nbsp;&eacute;<br>line<p class="ad x">Buy <i>now<p>Second
- &lt;p&gt; 3 < 4<script>var a = "</p>";</script><form><input name=a>Name</form><table><tr><td>c1<td>c2</table>
+ &lt;p&gt; 3 < 4<script>var a = "</p>";</script><form><input name=a>Name</form><table><tr><td>cell one is here<td>two</table>
 <div id="comments"><div>I disagree, at great length, with all of this.</div></div></article><aside>Side</aside>
 <footer>&copy; us</footer><!-- <p>hidden</p> --></body></html>"""
 
 
 def test_html_extraction():
-    assert html_text.main_text(PAGE, html_text.Weights()) == "Real & Title First bold text é line Second <p> 3 < 4 c1 c2"
+    assert html_text.main_text(PAGE, html_text.Weights()) == "Real & Title First bold text é line Second <p> 3 < 4 cell one is here two"
     plain = re.sub("</?article[^>]*>", lambda m: m[0].replace("article", "div"), PAGE).replace("<header><h1>Real", "<h1>Real").replace("Title</h1></header>", "Title</h1>")
-    assert html_text.main_text(plain, html_text.Weights()) == "Real & Title First bold text é line Second <p> 3 < 4 c1 c2"
+    assert html_text.main_text(plain, html_text.Weights()) == "Real & Title First bold text é line Second <p> 3 < 4 cell one is here two"
     for page in (None, "", "<", "<p", "<!--", "<script>x", "</p></div>", "<a b='", "<div class=ad>x"):
         assert isinstance(html_text.main_text(page, html_text.Weights()), str)
     assert html_text.main_text("just words", html_text.Weights()) == "just words"
