@@ -23,51 +23,64 @@ from pyspark.sql import functions as F
 CAPACITY = 4096
 GROUP_SIZE = 8192
 END_ID = 2
-CACHE = 500_000
-_ODD = re.compile("[\x1c-\x1f]")
+CACHE = 200_000
+# The pattern of the word tokenizer for these characters, and the characters that its
+# vocabulary has for bytes: the visible ones of Latin-1 as they are, the others from U+0100 on.
+_PARTS = re.compile("'s|'t|'re|'ve|'m|'ll|'d|[a-z\xdf-\xf6\xf8-\xff]+|[0-9]|[^a-z\xdf-\xf6\xf8-\xff0-9]+")
+_PLAIN = re.compile("[!-~\xc0-\xd6\xd8-\xf6\xf8-\xff]+")
+_SHOWN = {*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)}
+_VISIBLE = {b: 0x100 + k for k, b in enumerate(b for b in range(256) if b not in _SHOWN)}
+_ODD = re.compile("[\x1c-\x1f]")  # str.split parts at these, the tokenizer doesn't
 _held: dict[str, "WordIds"] = {}
 
 
-class WordIds:
-    """Ids of white-space free runs of text, from the tokenizer; it never joins ids across white space.
+class WordIds(dict):
+    """Little-endian ids of white-space free runs of text; the tokenizer never joins ids across white space.
 
-    The cache holds up to `CACHE` runs and is emptied beyond that, which changes speed only.
+    A run of ASCII and Latin-1 letters, digits and signs is parted as the tokenizer's own pattern parts
+    it, and each part goes to the tokenizer's merges once; any other run goes to the whole tokenizer. The
+    first `CACHE` runs and parts that a worker meets are kept, which changes speed only.
     """
 
     def __init__(self, path: str):
+        import os
+
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # tasks are parallel already
         from tokenizers import Tokenizer
 
+        super().__init__()
         self.tokenizer = Tokenizer.from_file(path)
-        vocab = self.tokenizer.get_vocab(with_added_tokens=False)
-        self.ends = np.zeros(max(self.tokenizer.get_vocab().values()) + 1, dtype=bool)
-        self.ends[[i for token, i in vocab.items() if token.endswith("</w>")]] = True
-        self.cache: dict[str, bytes] = {}
-
-    def learn(self, runs: list[str]) -> None:
-        if len(self.cache) + len(runs) > CACHE:
-            self.cache.clear()
-        for run, got in zip(runs, self.tokenizer.encode_batch_fast(runs, add_special_tokens=False), strict=True):
-            self.cache[run] = np.array(got.ids, dtype="<u4").tobytes()
+        self.merge = self.tokenizer.model.tokenize
+        self.kind = np.dtype("<u2" if self.tokenizer.get_vocab_size() <= 1 << 16 else "<u4")
+        self.parts: dict[str, bytes] = {}
+        self.batch: dict[str, bytes] = {}
+
+    def whole(self, text: str) -> bytes:
+        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, dtype=self.kind).tobytes()
+
+    def part(self, part: str) -> bytes:
+        got = self.parts.get(part)
+        if got is None:
+            got = np.array([t.id for t in self.merge(part.encode().decode("latin-1").translate(_VISIBLE))], dtype=self.kind).tobytes()
+            if len(self.parts) < CACHE:
+                self.parts[part] = got
+        return got
+
+    def __missing__(self, run: str) -> bytes:
+        got = self.batch.get(run)
+        if got is None:
+            got = b"".join(map(self.part, _PARTS.findall(run.lower()))) if _PLAIN.fullmatch(run) and "<|" not in run else self.whole(run)
+            if len(self) < CACHE:
+                self[run] = got
+            else:
+                self.batch[run] = got
+        return got
 
     def ids(self, texts: list[str]) -> list[bytes]:
         """Little-endian 32-bit ids of each text."""
-        split = [t.split() if not _ODD.search(t) else None for t in texts]
-        new = set()
-        for runs in split:
-            if runs:
-                new.update(runs)
-        missing = [r for r in new if r not in self.cache]
-        if len(missing) + len(self.cache) > CACHE:
-            self.cache.clear()
-            missing = list(new)
-        for k in range(0, len(missing), 4096):
-            self.learn(missing[k : k + 4096])
-        out = []
-        for text, runs in zip(texts, split, strict=True):
-            if runs is None:
-                out.append(np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, dtype="<u4").tobytes())
-            else:
-                out.append(b"".join(map(self.cache.__getitem__, runs)))
+        held = self.__getitem__
+        out = [np.frombuffer(self.whole(t) if _ODD.search(t) else b"".join(map(held, t.split())), dtype=self.kind).astype("<u4").tobytes() for t in texts]
+        self.batch.clear()
         return out
 
 
@@ -81,7 +94,7 @@ def tokenize(docs: DataFrame, tokenizer_path: str, text: str = "text", key: str
         words = _held.get(tokenizer_path)
         if words is None:
             words = _held[tokenizer_path] = WordIds(tokenizer_path)
-        for pdf in byte_batches(frames, "t", 2_000_000):
+        for pdf in byte_batches(frames, "t"):
             rows: list[tuple] = []
             for doc, ids in zip(pdf["d"], words.ids([t or "" for t in pdf["t"]]), strict=True):
                 ids += end

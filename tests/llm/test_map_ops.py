@@ -66,6 +66,9 @@ def test_tokenize_is_the_tokenizer(spark):
 
     direct = Tokenizer.from_file(tokenizer_path("word_bpe_49k.json"))
     texts = [t or "" for t in ODD] + [r["text"] for r in spark.read.parquet(f"{SF}/documents.parquet").limit(50).collect()]
+    texts += ["It's I'LL we'Ve 'S' don't''re x'", "ÀÉÎ ÿß straße.Ünd,ço", "a<|endoftext|>b <|x", "5²½ªº µ×÷ Σας ΣΑΣ İI", "\u00a0x\u2003y\x85z", "e\u0301 \u0301a"]
+    rng = random.Random(8)
+    texts += ["".join(chr(rng.choice([rng.randrange(32, 127), rng.randrange(160, 384), rng.randrange(0x300, 0x3000)])) for _ in range(60)) for _ in range(100)]
     words = packing.WordIds(tokenizer_path("word_bpe_49k.json"))
     for text, got in zip(texts, words.ids(texts), strict=True):
         assert np.frombuffer(got, "<u4").tolist() == direct.encode(text, add_special_tokens=False).ids
