@@ -1,43 +1,6 @@
-"""Registered queries and the SQL that checks them."""
+"""All registered queries; importing this module registers them."""
 
-from __future__ import annotations
+from lineshed.plans import spectra, tables  # noqa: F401
+from lineshed.plans.registry import ORACLES, QUERIES
 
-from collections.abc import Callable
-
-from pyspark.sql import DataFrame, SparkSession
-
-from lineshed.session import read
-
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLES: dict[str, str] = {}
-
-
-def query(sql: str | None = None):
-    """Registers a query under its function name, with the SQL that must give the same rows."""
-
-    def add(f):
-        QUERIES[f.__name__] = f
-        if sql:
-            ORACLES[f.__name__] = sql
-        return f
-
-    return add
-
-
-@query(
-    """
-    WITH med AS (SELECT event_type, median(value) AS center FROM events GROUP BY event_type),
-    mad AS (SELECT e.event_type, any_value(m.center) AS center, median(abs(e.value - m.center)) AS mad
-            FROM events e JOIN med m USING (event_type) GROUP BY e.event_type)
-    SELECT e.event_id, e.event_type, e.value, round(center + 3 * 1.4826 * mad, 6) AS threshold
-    FROM events e JOIN mad USING (event_type)
-    WHERE mad >= 1e-10 AND e.value > center + 3 * 1.4826 * mad
-    """
-)
-def mad_anomaly(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from lineshed.operators.robust import mad_outliers
-
-    out = mad_outliers(read(spark, sf_dir, "events"), "value", ["event_type"])
-    from pyspark.sql import functions as F
-
-    return out.select("event_id", "event_type", "value", F.round("threshold", 6).alias("threshold"))
+__all__ = ["ORACLES", "QUERIES"]
