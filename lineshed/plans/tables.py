@@ -457,8 +457,8 @@ def quantize_int16(spark: SparkSession, d: str) -> DataFrame:
 
 @query(
     """WITH p AS (SELECT p_partkey, (p_size % 4)::BIGINT AS x, ((p_partkey // 3) % 4)::BIGINT AS y FROM part),
-    h(x, y, d) AS (VALUES (0,0,0),(1,0,1),(1,1,2),(0,1,3),(0,2,4),(0,3,5),(1,3,6),(1,2,7),(2,2,8),(2,3,9),(3,3,10),(3,2,11),(3,1,12),(2,1,13),(2,0,14),(3,0,15))
-    SELECT p_partkey, p.x, p.y, h.d::BIGINT AS hilbert FROM p JOIN h ON p.x = h.x AND p.y = h.y"""
+    h(x,y,d,u) AS (VALUES (0,0,0,0),(1,0,2,1),(1,1,1,2),(0,1,3,3),(0,2,8,4),(0,3,10,5),(1,3,9,6),(1,2,11,7),(2,2,4,8),(2,3,6,9),(3,3,5,10),(3,2,7,11),(3,1,12,12),(2,1,14,13),(2,0,13,14),(3,0,15,15))
+    SELECT p_partkey, p.x, p.y, h.d::BIGINT AS hilbert, h.u::BIGINT AS curve FROM p JOIN h ON p.x = h.x AND p.y = h.y"""
 )
 def hilbert2d_order2(spark: SparkSession, d: str) -> DataFrame:
     p = read(spark, d, "part").select("p_partkey", (F.col("p_size") % 4).cast("bigint").alias("x"), (F.floor(F.col("p_partkey") / 3) % 4).cast("bigint").alias("y"))
@@ -506,12 +506,12 @@ def sampling_depth(spark: SparkSession, d: str) -> DataFrame:
 
 @query(
     """WITH x AS (SELECT p_partkey, 1 + p_size / 10.0::DOUBLE AS l, 5 + p_retailprice / 100 AS t, p_size AS a FROM part), w AS (SELECT *, l / (l + t) AS w FROM x)
-    SELECT p_partkey, round(w, 8) AS albedo, round(l * (1 - 0.738 * w), 8) AS eal, round(l * cos(radians(a)) * (1 - 0.736 * w), 8) AS med, round(l * cos(radians(a)) * ln(1 / (1 - 95.0::DOUBLE / 100)) * (1 - 0.787 * w), 8) AS depth FROM w"""
+    SELECT p_partkey, round(w, 6) AS albedo, round(l * (1 - 0.738 * w), 6) AS eal, round(l * cos(radians(a)) * (1 - 0.736 * w), 6) AS med, round(l * cos(radians(a)) * ln(1 / (1 - 95.0::DOUBLE / 100)) * (1 - 0.787 * w), 6) AS depth FROM w"""
 )
 def albedo_eal(spark: SparkSession, d: str) -> DataFrame:
     imfp, trmfp, angle = 1 + F.col("p_size") / 10.0, 5 + F.col("p_retailprice") / 100, F.col("p_size")
     cols = {"albedo": physics.albedo(imfp, trmfp), "eal": physics.overlayer_eal(imfp, trmfp), "med": physics.mean_escape_depth(imfp, trmfp, angle), "depth": physics.information_depth(imfp, trmfp, angle, 95.0)}
-    return read(spark, d, "part").select("p_partkey", *[F.round(v, 8).alias(k) for k, v in cols.items()])
+    return read(spark, d, "part").select("p_partkey", *[F.round(v, 6).alias(k) for k, v in cols.items()])
 
 
 @query("SELECT p_partkey, round(1 - (p_size / 30.0::DOUBLE) / 2 * ((3 * pow(cos(radians(p_size * 3)), 2) - 1) / 2), 8) AS factor FROM part")
