@@ -21,30 +21,50 @@ def dequantize(code: Value, low: Value, scale: Value) -> Column:
     return c(code) / c(scale) + c(low)
 
 
+def _bound(value: Column, body) -> Column:
+    """body(value), with value evaluated once however often the body names it."""
+    return F.transform(F.array(value), body)[0]
+
+
+def _bit(k: Column) -> Column:
+    return F.call_function("shiftleft", F.lit(1).cast("bigint"), k)
+
+
 def hilbert_2d(x: Column, y: Column, order: int, unit_steps: bool = False) -> Column:
     """Index of a cell of a grid of 2^order cells a side, by Skilling's transform for two axes.
 
     From the highest bit down each axis reflects or swaps what lies below, then the bits are Gray coded
     and interleaved. With x in the lower bits the index is a bijection; with unit_steps x has the higher
-    bits, and cells of neighbouring indices are neighbours.
+    bits, and cells of neighbouring indices are neighbours. Bits are folded over, so the expression's
+    size doesn't grow with the order.
     """
-    x, y = x.cast("bigint"), y.cast("bigint")
-    for bit in range(order - 1, -1, -1):
-        high, below = 1 << bit, (1 << bit) - 1
-        x = F.when(x.bitwiseAND(F.lit(high)) != 0, x.bitwiseXOR(F.lit(below))).otherwise(x)
-        swap = x.bitwiseXOR(y).bitwiseAND(F.lit(below))
-        reflect = y.bitwiseAND(F.lit(high)) != 0
-        x, y = F.when(reflect, x.bitwiseXOR(F.lit(below))).otherwise(x.bitwiseXOR(swap)), F.when(reflect, y).otherwise(y.bitwiseXOR(swap))
-    y = y.bitwiseXOR(x)
-    flips = F.lit(0).cast("bigint")
-    for bit in range(order - 1, 0, -1):
-        flips = F.when(y.bitwiseAND(F.lit(1 << bit)) != 0, flips.bitwiseXOR(F.lit((1 << bit) - 1))).otherwise(flips)
-    x, y = x.bitwiseXOR(flips), y.bitwiseXOR(flips)
-    index = F.lit(0).cast("bigint")
-    low, high = (y, x) if unit_steps else (x, y)
-    for bit in range(order):
-        index = index + F.shiftleft(F.shiftright(low, bit).bitwiseAND(F.lit(1)), 2 * bit) + F.shiftleft(F.shiftright(high, bit).bitwiseAND(F.lit(1)), 2 * bit + 1)
-    return index
+
+    def set_at(v: Column, high: Column) -> Column:
+        return v.bitwiseAND(high) != 0
+
+    def step(at: Column, k: Column) -> Column:
+        high = _bit(k)
+        below = high - 1
+        turned = F.when(set_at(at["x"], high), at["x"].bitwiseXOR(below)).otherwise(at["x"])
+        swap = turned.bitwiseXOR(at["y"]).bitwiseAND(below)
+        reflect = set_at(at["y"], high)
+        new_x = F.when(reflect, turned.bitwiseXOR(below)).otherwise(turned.bitwiseXOR(swap))
+        return F.struct(new_x.alias("x"), F.when(reflect, at["y"]).otherwise(at["y"].bitwiseXOR(swap)).alias("y"))
+
+    def grayed(at: Column) -> Column:
+        coded = at["y"].bitwiseXOR(at["x"])
+        flips = F.aggregate(
+            F.sequence(F.lit(order - 1), F.lit(0), F.lit(-1)), F.lit(0).cast("bigint"), lambda t, k: F.when(set_at(coded, _bit(k)), t.bitwiseXOR(_bit(k) - 1)).otherwise(t)
+        )
+        return F.struct(at["x"].bitwiseXOR(flips).alias("x"), coded.bitwiseXOR(flips).alias("y"))
+
+    def woven(at: Column) -> Column:
+        low, high = (at["y"], at["x"]) if unit_steps else (at["x"], at["y"])
+        part = lambda v, k, odd: F.call_function("shiftleft", F.call_function("shiftright", v, k).bitwiseAND(F.lit(1).cast("bigint")), 2 * k + odd)
+        return F.aggregate(F.sequence(F.lit(0), F.lit(order - 1)), F.lit(0).cast("bigint"), lambda index, k: index + part(low, k, 0) + part(high, k, 1))
+
+    start = F.struct(x.cast("bigint").alias("x"), y.cast("bigint").alias("y"))
+    return _bound(_bound(F.aggregate(F.sequence(F.lit(order - 1), F.lit(0), F.lit(-1)), start, step), grayed), woven)
 
 
 def to_channel(value: Value, low: float, high: float) -> Column:

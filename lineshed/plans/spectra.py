@@ -6,7 +6,8 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lineshed.operators import analyse, background, fit, quantify, synthetic
+from lineshed.functions import encode
+from lineshed.operators import analyse, background, fit, kernels, poisson, quantify, refine, synthetic, templates
 from lineshed.operators.kernels import Peaks
 from lineshed.plans.registry import query
 from lineshed.session import read
@@ -122,3 +123,83 @@ def cross_section_status(spark: SparkSession, d: str) -> DataFrame:
     table = p.filter("p_size % 2 = 0").groupBy("p_brand", F.col("p_size").cast("double").alias("energy")).agg(F.avg("p_retailprice").alias("cross_section"))
     rows = p.select("p_partkey", "p_brand", (F.col("p_retailprice") / 30).alias("photon_energy"))
     return analyse.cross_section(rows, table, ["p_brand"]).select("p_partkey", "value", "status")
+
+
+@query()
+def six_step_fit(spark: SparkSession, d: str) -> DataFrame:
+    return refine.fit_six_step(spectra(spark, d), ONE)
+
+
+@query()
+def dict3d_fit(spark: SparkSession, d: str) -> DataFrame:
+    return refine.fit_gamma(spectra(spark, d), ONE, np.linspace(-0.1, 0.1, 5))
+
+
+@query()
+def grouped_fit(spark: SparkSession, d: str) -> DataFrame:
+    return refine.fit_grouped(spectra(spark, d, TWO), TWO)
+
+
+@query()
+def gauss_newton_refine(spark: SparkSession, d: str) -> DataFrame:
+    y = spectra(spark, d)
+    flagged = fit.flag_anomalies(fit.fit(y, ONE, "preview")).filter("is_anomaly").select("spectrum_id")
+    return refine.refine(y.join(flagged, "spectrum_id", "left_semi"), ONE, "full")
+
+
+@query()
+def swap_correction(spark: SparkSession, d: str) -> DataFrame:
+    k = F.col("p_partkey")
+    rows = read(spark, d, "part").select(k.alias("spectrum_id"), F.array(F.lit(0.1), F.lit(-0.2), F.lit(0.4)).alias("true"), F.when(k % 2 == 0, F.array(F.lit(-0.2), F.lit(0.1), F.lit(0.4))).otherwise(F.array(F.lit(0.1), F.lit(-0.2), F.lit(0.4))).alias("found"))
+    return refine.correct_swaps(rows, "found", "true", ["found"])
+
+
+@query()
+def poisson_mle(spark: SparkSession, d: str) -> DataFrame:
+    k = F.col("s_suppkey")
+    t = read(spark, d, "supplier").select(k.alias("spectrum_id"), F.array(F.lit(200.0)).alias("amplitudes"), F.lit(0.05).alias("shift"), F.lit(0.0).alias("width"))
+    counts = synthetic.generate(t, ONE, poisson=100.0).select("spectrum_id", F.transform("intensity", lambda v: F.round(v)).alias("intensity"))
+    return poisson.fit_counts(counts, poisson.peak_model(ENERGY, 0.0, 0.5, 0.2), (150.0, 0.0, 1.0), (1e-3, -1.0, 1e-3), 1)
+
+
+@query()
+def crlb_grid_sweep(spark: SparkSession, d: str) -> DataFrame:
+    n = F.col("n_nationkey")
+    grid = read(spark, d, "nation").select(n.alias("cell"), (0.2 + 0.1 * n).alias("separation"), F.lit(0.4).alias("sigma"), F.lit(0.1).alias("gamma"), F.lit(1e4).alias("height"))
+    return poisson.grid_sweep(grid, ENERGY)
+
+
+@query()
+def encoder_neighbours(spark: SparkSession, d: str) -> DataFrame:
+    from lineshed.functions import codec
+
+    p = read(spark, d, "part").select(F.col("p_partkey").alias("id"), (F.col("p_size") % 32).alias("x"), F.pmod(F.xxhash64("p_partkey"), F.lit(32)).alias("y"))
+    coded = p.withColumn("code", codec.hilbert_2d(F.col("x"), F.col("y"), 5, True))
+    return poisson.neighbour_preservation(coded, coded.filter("id % 20 = 0"), ["x", "y"], "code")
+
+
+@query()
+def template_fit(spark: SparkSession, d: str) -> DataFrame:
+    t = templates.TEMPLATES["C1s_organic"]
+    e = np.linspace(281.0, 293.0, 121)
+    k = F.col("s_suppkey")
+    total = F.array(*[F.lit(float(sum(p.area * 1000 * kernels.voigt(np.array([x]), t.reference + 0.2 + p.shift, p.fwhm_g / kernels.FWHM_PER_SIGMA, p.fwhm_l / 2)[0] for p in t.peaks))) for x in e])
+    y = read(spark, d, "supplier").select(k.alias("spectrum_id"), F.array(*[F.lit(float(x)) for x in e]).alias("energy"), F.transform(total, lambda v, j: v + 10 + F.pmod(F.xxhash64(k, j), F.lit(100)) / 100.0).alias("intensity"))
+    return templates.fit_template(y, t)
+
+
+@query("SELECT p_partkey, round(2.0 * (p_size / 50.0 - 0.5) + 1.0 * (p_retailprice / 2000 - 0.5), 8) AS u, round(3.0 * (p_retailprice / 2000 - 0.5), 8) AS v FROM part")
+def fisher_coordinates(spark: SparkSession, d: str) -> DataFrame:
+    lower = np.array([[2.0, 0.0], [1.0, 3.0]])
+    u, v = encode.fisher_coordinates(lower @ lower.T, [F.col("p_size") / 50.0, F.col("p_retailprice") / 2000], np.array([0.5, 0.5]))
+    return read(spark, d, "part").select("p_partkey", F.round(u, 8).alias("u"), F.round(v, 8).alias("v"))
+
+
+@query(
+    """WITH a AS (SELECT p_partkey, greatest(p_size / 2.0, 0) AS a0, greatest(p_retailprice / 400.0, 0) AS a1 FROM part), m AS (SELECT greatest(max(a0), max(a1)) AS top FROM a)
+    SELECT p_partkey, round(a0 / top, 8) AS a0, round(a1 / top, 8) AS a1 FROM a, m"""
+)
+def image_decomposition(spark: SparkSession, d: str) -> DataFrame:
+    pixels = read(spark, d, "part").select("p_partkey", F.col("p_size").cast("double").alias("r"), (F.col("p_retailprice") / 100).alias("g"), F.lit(0.0).alias("b"))
+    out = encode.image_amplitudes(pixels, np.array([[2.0, 0.0], [0.0, 4.0], [0.0, 0.0]]))
+    return out.select("p_partkey", F.round("a0", 8).alias("a0"), F.round("a1", 8).alias("a1"))
