@@ -16,8 +16,9 @@ from lineshed.llm import decontaminate, jaccard_join, language_id, packing, qual
 from lineshed.llm.queries import BATCH_ROWS, HELD_OUT, tokenizer_path
 from lineshed.session import materialize, read, ship
 
-#: A text that is less like every language than this is taken for no language.
-LEAST_COSINE = 0.05
+#: A text that is less like every language than this is taken for no language. Texts of a word or two are
+#: little like any, so only those without any likeness go.
+LEAST_COSINE = 1e-3
 
 
 def _prepare(spark: SparkSession) -> None:
