@@ -1,8 +1,8 @@
-"""Fit scores as expressions over sums: information criteria, deviance, errors, PSNR."""
+"""Fit scores as expressions over sums: information criteria, deviance, PSNR."""
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from lineshed.functions.lineshape import Value, c
@@ -28,14 +28,6 @@ def deviance_term(y: Value, mu: Value) -> Column:
     return F.when((yy >= 0) & ((m > 0) | ((m == 0) & (yy == 0))), 2 * (log - (yy - m)))
 
 
-def error_stats(df: DataFrame, error: str, by: list[str]) -> DataFrame:
-    """bias, std (population), rmse, mae (the median of absolute errors) and p95 by group."""
-    e = F.col(error)
-    return df.groupBy(*by).agg(
-        F.avg(e).alias("bias"), F.stddev_pop(e).alias("std"), F.sqrt(F.avg(e * e)).alias("rmse"), F.median(F.abs(e)).alias("mae"), F.percentile(F.abs(e), 0.95).alias("p95")
-    )
-
-
 def psnr(mean_square: Value, peak: Value) -> Column:
     """In decibels; infinite for equal images."""
     return F.when(c(mean_square) == 0, F.lit(float("inf"))).otherwise(20 * F.log10(c(peak) / F.sqrt(c(mean_square))))

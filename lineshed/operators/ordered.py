@@ -7,6 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from lineshed.session import materialize
+
 
 def _w(by: Sequence[str], order: Sequence[str]) -> Window:
     return Window.partitionBy(*by).orderBy(*order)
@@ -113,7 +115,7 @@ def evenly_spaced(df: DataFrame, order: str, n: int) -> DataFrame:
 
 def numbered(df: DataFrame, order: str) -> DataFrame:
     """Adds __number, the row's place in the order from 0, without gathering rows in one task."""
-    parts = df.repartitionByRange(order).withColumn("__part", F.spark_partition_id())
+    parts = materialize(df.repartitionByRange(order).withColumn("__part", F.spark_partition_id()), "numbered")
     sizes = parts.groupBy("__part").agg(F.count("*").alias("__size"))
     before = F.coalesce(F.sum("__size").over(Window.orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     offsets = sizes.withColumn("__before", before).drop("__size")  # a row a partition

@@ -47,7 +47,11 @@ def condition_dependence(df: DataFrame, value: str, condition: str, baseline: st
 
 
 def weibull_quantile(df: DataFrame, value: str, q: float, by: Sequence[str]) -> DataFrame:
-    """The quantile at plotting positions k / (n + 1), as replicates of a bootstrap need it."""
+    """The quantile at plotting positions k / (n + 1), as replicates of a bootstrap need it.
+
+    A group is one estimate's replicates, which are as many as were drawn; it is sorted as an array. Groups
+    of any size go through exact_quantile.
+    """
     sorted_ = df.groupBy(*by).agg(F.sort_array(F.collect_list(value)).alias("v"))
     place = F.least(F.greatest(F.lit(q) * (F.size("v") + 1), F.lit(1.0)), F.size("v").cast("double"))
     low = F.floor(place).cast("int")

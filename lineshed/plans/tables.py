@@ -57,7 +57,7 @@ def error_stats(spark: SparkSession, d: str) -> DataFrame:
     items = read(spark, d, "lineitem").select("l_returnflag", "l_extendedprice", "l_quantity")
     unit = items.agg(F.avg(F.col("l_extendedprice") / F.col("l_quantity")).alias("unit"))
     rows = items.crossJoin(unit).withColumn("e", F.col("l_extendedprice") - F.col("l_quantity") * F.col("unit"))
-    s = scores.error_stats(rows, "e", ["l_returnflag"])
+    s = robust.error_stats(rows, "e", ["l_returnflag"])
     return s.select("l_returnflag", *[F.round(x, 4).alias(x) for x in ("bias", "std", "rmse", "mae", "p95")])
 
 
@@ -623,11 +623,11 @@ def condition_dependence(spark: SparkSession, d: str) -> DataFrame:
 
 
 @query(
-    """WITH v AS (SELECT event_type, list_sort(list(value)) AS v FROM events GROUP BY 1), p AS (SELECT *, least(greatest(0.9 * (len(v) + 1), 1), len(v)) AS k FROM v)
-    SELECT event_type, round(v[floor(k)::INT] + (k - floor(k)) * (v[least(floor(k) + 1, len(v))::INT] - v[floor(k)::INT]), 6) AS quantile FROM p"""
+    """WITH v AS (SELECT user_id, list_sort(list(value)) AS v FROM events GROUP BY 1), p AS (SELECT *, least(greatest(0.9 * (len(v) + 1), 1), len(v)) AS k FROM v)
+    SELECT user_id, round(v[floor(k)::INT] + (k - floor(k)) * (v[least(floor(k) + 1, len(v))::INT] - v[floor(k)::INT]), 6) AS quantile FROM p"""
 )
 def weibull_quantile(spark: SparkSession, d: str) -> DataFrame:
-    return quantify.weibull_quantile(read(spark, d, "events"), "value", 0.9, ["event_type"]).select("event_type", r6(F.col("quantile"), "quantile"))
+    return quantify.weibull_quantile(read(spark, d, "events"), "value", 0.9, ["user_id"]).select("user_id", r6(F.col("quantile"), "quantile"))
 
 
 @query(

@@ -134,3 +134,19 @@ def test_hilbert_is_a_bijection_with_unit_steps(spark, order):
     assert sorted(r["h"] for r in rows) == list(range(n * n)) and next(r for r in rows if r["h"] == 0)[:2] == (0, 0)
     path = [tuple(r[:2]) for r in sorted(rows, key=lambda r: r["u"])]
     assert all(abs(a[0] - b[0]) + abs(a[1] - b[1]) == 1 for a, b in zip(path, path[1:]))
+
+
+def test_exact_quantile_is_exact(spark):
+    from lineshed.operators.robust import exact_quantile, mad_thresholds
+
+    rng = np.random.default_rng(5)
+    rows = [("a", float(x)) for x in rng.normal(size=3001)] + [("b", 7.0)] * 500 + [("c", 1.0), ("c", 2.0)] + [("d", float(x)) for x in rng.integers(0, 5, 1000)] + [("e", None)]
+    df = spark.createDataFrame(rows, "g string, v double")
+    for q in (0.0, 0.03, 0.5, 0.95, 1.0):
+        for accuracy in (100, 10_000):
+            got = {r["g"]: r["quantile"] for r in exact_quantile(df, "v", q, ["g"], accuracy=accuracy).collect()}
+            assert got == pytest.approx({g: float(np.quantile([v for h, v in rows if h == g], q)) for g in "abcd"})
+    whole = [v for _, v in rows if v is not None]
+    r = mad_thresholds(df, "v").first()
+    center = np.median(whole)
+    assert r["center"] == pytest.approx(center) and r["mad"] == pytest.approx(np.median(np.abs(np.array(whole) - center)))
