@@ -4,7 +4,8 @@ The model is over characters: `ORDER` = 4 symbols of an alphabet of 64 classes.
 counted; tasks pre-aggregate their n-grams, the counts are summed in shards, and the shards of n-grams
 and of contexts are joined into interpolated probabilities. There are at most 64^4 n-grams whatever the
 input, so the finished table has a proven bound (64^4 floats, 64 MiB in a worker) and is sent to the
-tasks that score the documents: texts are never shuffled for scoring.
+tasks that score the documents: texts are never shuffled for scoring. They are shuffled once, compressed,
+to meet their labels.
 
 A document is kept if its perplexity is at most its language's threshold: the `QUANTILE` of the
 perplexities of that language's trusted texts, times `SLACK`. A language without trusted text takes the
@@ -22,6 +23,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
+import zstandard
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -72,25 +74,36 @@ def gram_codes(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
     return grams[at - ORDER + 1], sizes
 
 
-def count_grams(docs: DataFrame, text: str = "text") -> DataFrame:
-    """(g, c): how often each n-gram stands in the texts."""
+def packed(docs: DataFrame, text: str, keep: tuple[str, ...]) -> DataFrame:
+    """The columns in `keep` and the compressed text, for a shuffle; rows without text are left out."""
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        press = zstandard.ZstdCompressor(level=3)
+        for pdf in byte_batches(frames, "__t"):
+            yield pdf[list(keep)].assign(__z=[press.compress(t.encode("utf-8", "surrogatepass")) for t in pdf["__t"]])
+
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.select(*keep).schema) + ", __z binary"
+    return docs.select(*keep, F.col(text).alias("__t")).filter("__t is not null and __t != ''").mapInPandas(run, schema)
+
+
+def count_grams(texts: DataFrame, column: str = "text") -> DataFrame:
+    """(g, c): how often each n-gram stands in the texts, a column of strings or of compressed ones."""
+    plain = dict(texts.dtypes)[column] == "string"
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         held = None
+        unpress = zstandard.ZstdDecompressor()
         for pdf in byte_batches(frames, "t"):
-            held = np.zeros(SYMBOLS**ORDER, dtype=np.int32) if held is None else held
-            grams, _ = gram_codes([t or "" for t in pdf["t"]])
-            if len(grams) > 1 << 20:
-                held += np.bincount(grams, minlength=len(held)).astype(np.int32)
-            else:
-                g, c = np.unique(grams, return_counts=True)
-                held[g] += c.astype(np.int32)
+            held = np.zeros(SYMBOLS**ORDER, dtype=np.int64) if held is None else held
+            grams, _ = gram_codes([t or "" for t in pdf["t"]] if plain else [unpress.decompress(bytes(z)).decode("utf-8", "surrogatepass") for z in pdf["t"]])
+            g, c = np.unique(grams, return_counts=True) if len(grams) < 1 << 20 else (slice(None), np.bincount(grams, minlength=len(held)))
+            held[g] += c
         if held is not None:
             g = np.flatnonzero(held)
             for k in range(0, len(g), 100_000):
-                yield pd.DataFrame({"g": g[k : k + 100_000].astype(np.int32), "c": held[g[k : k + 100_000]].astype(np.int64)})
+                yield pd.DataFrame({"g": g[k : k + 100_000].astype(np.int32), "c": held[g[k : k + 100_000]]})
 
-    return docs.select(F.col(text).alias("t")).mapInPandas(run, "g int, c long").groupBy("g").agg(F.sum("c").alias("c"))
+    return texts.select(F.col(column).alias("t")).mapInPandas(run, "g int, c long").groupBy("g").agg(F.sum("c").alias("c"))
 
 
 def discounts(counts: DataFrame) -> tuple[float, float, float]:
@@ -122,9 +135,9 @@ class Model:
         return np.log(p, dtype=np.float32)
 
 
-def fit(trusted: DataFrame, text: str = "text") -> Model:
-    """Counts all texts and joins the shards of counts order by order, lowest first."""
-    counts = [materialize(count_grams(trusted, text), "grams")]
+def fit(trusted: DataFrame, column: str = "text") -> Model:
+    """Counts all texts, plain or compressed, and joins the shards of counts order by order, lowest first."""
+    counts = [materialize(count_grams(trusted, column), "grams")]
     for order in range(ORDER - 1, 0, -1):  # lower orders count the different symbols before
         mask = SYMBOLS**order - 1
         counts.insert(0, materialize(counts[0].groupBy(F.col("g").bitwiseAND(F.lit(mask)).alias("g")).agg(F.count("*").alias("c")), "grams"))
@@ -171,15 +184,16 @@ def perplexity(docs: DataFrame, model: Model, text: str = "text", keep: tuple[st
 def thresholds(scored: DataFrame, quantile: float = QUANTILE, slack: float = SLACK, lang: str = "lang") -> DataFrame:
     """(lang, threshold) for each language of the rows, and one row for all with `everything` true.
 
-    The exact quantile of perplexities rounded up to 1/1000, from counts of the rounded values.
+    The exact quantile of the logarithms of perplexities rounded up to 1/1000: the perplexity of a uniform
+    guess is 64 and that of the rarest n-gram bounded, so there are a few thousand values a language.
     """
-    rounded = scored.filter("perplexity is not null").select(F.col(lang).alias("lang"), F.ceil(F.col("perplexity") * 1000).alias("v"))
+    rounded = scored.filter("perplexity is not null").select(F.col(lang).alias("lang"), F.ceil(F.ln("perplexity") * 1000).alias("v"))
     counted = rounded.groupBy("lang", "v").agg(F.count("*").alias("n"))
     every = counted.groupBy("v").agg(F.sum("n").alias("n")).select(F.lit(None).cast("string").alias("lang"), "v", "n", F.lit(True).alias("everything"))
     both = counted.select("lang", "v", "n", F.lit(False).alias("everything")).unionByName(every)
     w = Window.partitionBy("everything", "lang")
     ranked = both.withColumn("below", F.sum("n").over(w.orderBy("v"))).withColumn("all", F.sum("n").over(w))
-    return ranked.filter(F.col("below") >= F.lit(quantile) * F.col("all")).groupBy("everything", "lang").agg((F.min("v") / 1000 * slack).alias("threshold"))
+    return ranked.filter(F.col("below") >= F.lit(quantile) * F.col("all")).groupBy("everything", "lang").agg((F.exp(F.min("v") / 1000) * slack).alias("threshold"))
 
 
 def trusted_keys(labels: DataFrame, key: str) -> DataFrame:
@@ -187,29 +201,33 @@ def trusted_keys(labels: DataFrame, key: str) -> DataFrame:
     return labels.filter("quality = 1 and coalesce(toxic, 0) = 0 and doc_id is not null").select(F.col("doc_id").alias(key)).distinct()
 
 
-def fit_thresholds(docs: DataFrame, labels: DataFrame, text: str = "text", key: str = "doc_id", lang: str = "lang", quantile: float = QUANTILE, slack: float = SLACK) -> tuple[Model, Column]:
-    """The model of the trusted texts, and the threshold as a column over `lang`."""
-    trusted = materialize(docs.select(F.col(lang).alias("lang"), F.col(text).alias("text"), key).join(trusted_keys(labels, key), key, "left_semi").drop(key), "trusted")
-    model = fit(trusted)
-    rows = thresholds(perplexity(trusted, model, keep=("lang",)), quantile, slack).collect()  # one for each language
+def fit_thresholds(docs: DataFrame, labels: DataFrame, text: str = "text", key: str = "doc_id", lang: str = "lang", quantile: float = QUANTILE, slack: float = SLACK) -> tuple[Model, Column, DataFrame]:
+    """The model of the trusted texts, the threshold as a column over `lang`, and all perplexities.
+
+    Texts meet their labels in a shuffle, compressed, at every size alike: labels grow with the documents,
+    so they are never sent to all tasks.
+    """
+    trusted = trusted_keys(labels, key)
+    model = fit(packed(docs, text, (key,)).hint("merge").join(trusted, key, "left_semi"), "__z")
+    scored = materialize(perplexity(docs.select(F.col(key).alias("doc_id"), F.col(lang).alias("lang"), F.col(text).alias("text")), model), "scored")
+    known = scored.hint("merge").join(trusted.withColumnRenamed(key, "doc_id"), "doc_id", "left_semi")
+    rows = thresholds(known, quantile, slack).collect()  # one for each language
     bound = F.lit(next((float(r["threshold"]) for r in rows if r["everything"]), float("inf")))
     for r in rows:
         if not r["everything"]:
             bound = F.when(F.col(lang).eqNullSafe(F.lit(r["lang"])), F.lit(float(r["threshold"]))).otherwise(bound)
-    return model, bound
+    return model, bound, scored
 
 
 def judge(docs: DataFrame, labels: DataFrame, text: str = "text", key: str = "doc_id", lang: str = "lang", quantile: float = QUANTILE, slack: float = SLACK) -> DataFrame:
     """(doc_id, lang, perplexity, threshold, kept) for each row; trusted are labels of quality 1 and toxic 0."""
-    model, bound = fit_thresholds(docs, labels, text, key, lang, quantile, slack)
-    scored = perplexity(docs, model, text, (key, lang)).withColumn("threshold", bound)
-    return scored.select(
-        F.col(key).alias("doc_id"), F.col(lang).alias("lang"), "perplexity", "threshold", F.coalesce(F.col("perplexity") <= F.col("threshold"), F.lit(False)).alias("kept")
-    )
+    _, bound, scored = fit_thresholds(docs, labels, text, key, lang, quantile, slack)
+    named = scored.withColumnRenamed("lang", lang).withColumn("threshold", bound).withColumnRenamed(lang, "lang")
+    return named.select("doc_id", "lang", "perplexity", "threshold", F.coalesce(F.col("perplexity") <= F.col("threshold"), F.lit(False)).alias("kept"))
 
 
 def keep(docs: DataFrame, labels: DataFrame, text: str = "text", key: str = "doc_id", lang: str = "lang", quantile: float = QUANTILE, slack: float = SLACK) -> DataFrame:
-    """The rows of docs that are kept, with all their columns."""
-    model, bound = fit_thresholds(docs, labels, text, key, lang, quantile, slack)
+    """The rows of docs that are kept, with all their columns; texts are scored again rather than moved."""
+    model, bound, _ = fit_thresholds(docs, labels, text, key, lang, quantile, slack)
     scored = perplexity(docs, model, text, tuple(docs.columns), "__perplexity")
     return scored.filter(F.col("__perplexity") <= bound).select(*docs.columns)
