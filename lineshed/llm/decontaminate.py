@@ -25,11 +25,10 @@ from collections.abc import Iterator
 from dataclasses import dataclass, field
 
 import numpy as np
-import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lineshed.llm.textops import byte_batches, hashed_words, shingle_hashes
+from lineshed.llm.textops import filter_texts, hashed_words, map_texts, shingle_hashes
 
 SIZE = 5
 THRESHOLD = 0.8
@@ -163,16 +162,16 @@ def item_parts(benchmark: DataFrame, item: str, text: str, threshold: float, per
 
 def find(docs: DataFrame, benchmark: DataFrame, text: str = "text", key: str = "doc_id", item: str = "item_id", item_text: str = "text", threshold: float = THRESHOLD) -> DataFrame:
     """(doc_id, item_id, start_word, n_words, similarity, distance), a row for each document and item it holds."""
-    source = docs.select(F.col(key).alias("d"), F.col(text).alias("t"))
+    named = docs.select(F.col(key).cast("long").alias("doc_id"), F.col(text).alias("text"))
     out = None
     for index in item_parts(benchmark, item, item_text, threshold):
 
-        def run(frames: Iterator[pd.DataFrame], index: ItemIndex = index) -> Iterator[pd.DataFrame]:
-            for pdf in byte_batches(frames, "t"):
-                rows = [(d, *m) for d, t in zip(pdf["d"], pdf["t"]) for m in index.matches(t)]
-                yield pd.DataFrame(rows, columns=["doc_id", "item_id", "start_word", "n_words", "similarity", "distance"])
+        def run(texts: list, index: ItemIndex = index) -> tuple:
+            rows = [(k, *m) for k, t in enumerate(texts) for m in index.matches(t)]
+            number, *columns = zip(*rows) if rows else [[] for _ in range(6)]
+            return number, columns
 
-        part = source.mapInPandas(run, "doc_id long, item_id long, start_word long, n_words int, similarity double, distance int")
+        part = map_texts(named, "text", ["doc_id"], "item_id long, start_word long, n_words int, similarity double, distance int", run)
         out = part if out is None else out.unionByName(part)
     return out
 
@@ -180,10 +179,5 @@ def find(docs: DataFrame, benchmark: DataFrame, text: str = "text", key: str = "
 def clean(docs: DataFrame, benchmark: DataFrame, text: str = "text", item: str = "item_id", item_text: str = "text", threshold: float = THRESHOLD) -> DataFrame:
     """The rows of docs that hold no benchmark item, with all their columns."""
     for index in item_parts(benchmark, item, item_text, threshold):
-
-        def run(frames: Iterator[pd.DataFrame], index: ItemIndex = index) -> Iterator[pd.DataFrame]:
-            for pdf in byte_batches(frames, text):
-                yield pdf[[not index.matches(t) for t in pdf[text]]]
-
-        docs = docs.mapInPandas(run, docs.schema)
+        docs = filter_texts(docs, text, lambda texts, index=index: [not index.matches(t) for t in texts])
     return docs

@@ -28,7 +28,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lineshed.llm.textops import byte_batches
+from lineshed.llm.textops import byte_batches, map_texts
 
 _TOKEN = re.compile(
     r"(?P<text>[^<]+)|<!--.*?(?:-->|\Z)|<!\[CDATA\[(?P<data>.*?)(?:\]\]>|\Z)|<[!?][^>]*+(?:>|\Z)"
@@ -264,10 +264,8 @@ def fit(pages: DataFrame, column: str = "html") -> Weights:
 def extract(pages: DataFrame, weights: Weights, column: str = "html", keep: tuple[str, ...] = ("page_id", "url")) -> DataFrame:
     """The columns in `keep`, text and n_chars for every page."""
 
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in byte_batches(frames, "__h"):
-            texts = [main_text(page, weights) for page in pdf["__h"]]
-            yield pdf.drop(columns="__h").assign(text=texts, n_chars=[len(t) for t in texts])
+    def run(found: list) -> list:
+        texts = [main_text(page, weights) for page in found]
+        return [texts, [len(t) for t in texts]]
 
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in pages.select(*keep).schema) + ", text string, n_chars long"
-    return pages.select(*keep, F.col(column).alias("__h")).mapInPandas(run, schema)
+    return map_texts(pages, column, keep, "text string, n_chars long", run)

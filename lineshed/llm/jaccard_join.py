@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from lineshed.llm.graph import components
-from lineshed.llm.textops import byte_batches, mix64, shingle_hashes, word_hashes
+from lineshed.llm.textops import byte_batches, map_texts, mix64, shingle_hashes, word_hashes
 from lineshed.session import materialize
 
 SIZE = 5
@@ -151,16 +151,16 @@ def forest(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
 def sign(docs: DataFrame, text: str, key: str, size: int) -> DataFrame:
     """(doc_id, set_key, bands) for each row; both null for a text without words."""
 
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in byte_batches(frames, "t"):
-            keys, bands = [], []
-            for t in pdf["t"]:
-                s = shingle_set(t, size)
-                keys.append(hashlib.blake2b(s.tobytes(), digest_size=16).digest() if len(s) else None)
-                bands.append(band_keys(minhash(s)).view(np.int64) if len(s) else None)
-            yield pd.DataFrame({"doc_id": pdf["d"], "set_key": keys, "bands": bands})
+    def run(texts: list) -> list:
+        keys, bands = [], []
+        for t in texts:
+            s = shingle_set(t, size)
+            keys.append(hashlib.blake2b(s.tobytes(), digest_size=16).digest() if len(s) else None)
+            bands.append(band_keys(minhash(s)).view(np.int64) if len(s) else None)
+        return [keys, bands]
 
-    return docs.select(F.col(key).alias("d"), F.col(text).alias("t")).mapInPandas(run, "doc_id long, set_key binary, bands array<long>")
+    named = docs.select(F.col(key).cast("long").alias("doc_id"), F.col(text).alias("text"))
+    return map_texts(named, "text", ["doc_id"], "set_key binary, bands array<long>", run)
 
 
 def _verify(threshold: float):

@@ -24,7 +24,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lineshed.llm.textops import byte_batches
+from lineshed.llm.textops import byte_batches, filter_texts, map_texts
 
 DIM = 1024
 CLASSES = 64
@@ -81,17 +81,17 @@ class Profiles:
     languages: list[str]
     prototypes: np.ndarray
 
-    def score(self, texts: list[str]) -> tuple[list[str], np.ndarray]:
+    def score(self, texts: list[str]) -> list:
         """Language and cosine of each text; cosines under 0 count as 0."""
         best = np.full(len(texts), UND, dtype=object)
         scores = np.zeros(len(texts))
         if not self.languages:
-            return list(best), scores
+            return [list(best), scores]
         letters = letter_vectors(self.prototypes.shape[1])
         code, doc = trigram_codes(texts)
         used = np.flatnonzero(np.bincount(code, minlength=CLASSES**3))
         if not len(used):
-            return list(best), scores
+            return [list(best), scores]
         column = np.zeros(CLASSES**3, dtype=np.int64)
         column[used] = np.arange(len(used))
         column = column[code]
@@ -110,7 +110,7 @@ class Profiles:
         known = np.bincount(doc, minlength=len(texts)) > 0
         best[known] = np.array(self.languages, dtype=object)[top[known]]
         scores[known] = np.clip(cosine[np.arange(len(texts)), top], 0, 1)[known]
-        return list(best), scores
+        return [list(best), scores]
 
 
 def fit(training: DataFrame, text: str = "text", lang: str = "lang", dim: int = DIM) -> Profiles:
@@ -150,27 +150,15 @@ def fit(training: DataFrame, text: str = "text", lang: str = "lang", dim: int =
 
 
 def predict(docs: DataFrame, profiles: Profiles, text: str = "text", keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
-    """The columns in `keep`, lang_pred and score for every row of docs.
-
-    The text itself may be one of the columns in `keep`.
-    """
-
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in byte_batches(frames, text):
-            best, scores = profiles.score([t or "" for t in pdf[text]])
-            yield pdf[list(keep)].assign(lang_pred=best, score=scores)
-
-    source = docs.select(*dict.fromkeys([*keep, text]))
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.select(*keep).schema) + ", lang_pred string, score double"
-    return source.mapInPandas(run, schema)
+    """The columns in `keep`, lang_pred and score for every row of docs."""
+    return map_texts(docs, text, keep, "lang_pred string, score double", lambda texts: profiles.score([t or "" for t in texts]))
 
 
 def keep_known(docs: DataFrame, profiles: Profiles, least: float, text: str = "text") -> DataFrame:
     """The rows of docs, with all their columns, whose text has a language and a cosine of `least` or more."""
 
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in byte_batches(frames, text):
-            best, scores = profiles.score([t or "" for t in pdf[text]])
-            yield pdf[(np.array(best, dtype=object) != UND) & (scores >= least)]
+    def known(texts: list) -> np.ndarray:
+        best, scores = profiles.score([t or "" for t in texts])
+        return (np.array(best, dtype=object) != UND) & (scores >= least)
 
-    return docs.mapInPandas(run, docs.schema)
+    return filter_texts(docs, text, known)

@@ -17,14 +17,11 @@ from __future__ import annotations
 
 import hashlib
 import zlib
-from collections.abc import Iterator
 from dataclasses import dataclass, field
 
-import pandas as pd
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
-from lineshed.llm.textops import byte_batches
+from lineshed.llm.textops import map_texts
 
 PACKET = 188
 SYNC = 0x47
@@ -238,31 +235,25 @@ def padded(payload: bytes) -> bytes:
 def store(docs: DataFrame, text: str = "text", keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
     """The columns in `keep`, n_bytes (of the UTF-8 text, before filling) and media, the transport stream."""
 
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in byte_batches(frames, "__t"):
-            payloads = [(t or "").encode("utf-8", "surrogatepass") for t in pdf["__t"]]
-            yield pdf.drop(columns="__t").assign(n_bytes=[len(p) for p in payloads], media=[mux(padded(p)) for p in payloads])
+    def write(texts: list) -> list:
+        payloads = [(t or "").encode("utf-8", "surrogatepass") for t in texts]
+        return [[len(p) for p in payloads], [mux(padded(p)) for p in payloads]]
 
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.select(*keep).schema) + ", n_bytes long, media binary"
-    return docs.select(*keep, F.col(text).alias("__t")).mapInPandas(run, schema)
+    return map_texts(docs, text, keep, "n_bytes long, media binary", write)
 
 
 def probe(stored: DataFrame, media: str = "media") -> DataFrame:
     """Replaces the media column by what is read from it, digests included."""
-    rest = stored.drop(media)
-
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in byte_batches(frames, media):
-            rows = []
-            for stream in pdf[media]:
-                stream = bytes(stream or b"")
-                got = demux(stream)
-                payload = got.payload
-                points = [{"pts": u.pts, "packet": u.packet} for u in got.units if u.key]
-                rows.append((len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-ALIGN:]), len(stream), hashlib.sha256(stream).hexdigest(), got.feature, points))
-            extra = pd.DataFrame(rows, columns=["payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature", "access_points"], index=pdf.index)
-            yield pd.concat([pdf.drop(columns=media), extra], axis=1)
-
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rest.schema)
-    schema += ", payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string, access_points array<struct<pts: long, packet: long>>"
-    return stored.select(*rest.columns, media).mapInPandas(run, schema)
+
+    def read(streams: list) -> list:
+        rows = []
+        for stream in streams:
+            stream = stream or b""
+            got = demux(stream)
+            payload = got.payload
+            points = [{"pts": u.pts, "packet": u.packet} for u in got.units if u.key]
+            rows.append((len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-ALIGN:]), len(stream), hashlib.sha256(stream).hexdigest(), got.feature, points))
+        return list(zip(*rows))
+
+    fields = "payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string, access_points array<struct<pts: long, packet: long>>"
+    return map_texts(stored, media, [c for c in stored.columns if c != media], fields, read)

@@ -13,13 +13,14 @@ no rows; further columns pass through `pack` untouched.
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from lineshed.llm.textops import map_texts
+
 CAPACITY = 4096
 GROUP_SIZE = 8192
 END_ID = 2
@@ -86,25 +87,24 @@ class WordIds(dict):
 
 def tokenize(docs: DataFrame, tokenizer_path: str, text: str = "text", key: str = "doc_id", capacity: int = CAPACITY, end_id: int = END_ID) -> DataFrame:
     """Pieces (doc_id, start, length, doc_tokens, ids): ids as little-endian 32-bit numbers."""
-    from lineshed.llm.textops import byte_batches
-
     end = np.array([end_id], dtype="<u4").tobytes()
 
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def cut(texts: list) -> tuple:
         words = _held.get(tokenizer_path)
         if words is None:
             words = _held[tokenizer_path] = WordIds(tokenizer_path)
-        for pdf in byte_batches(frames, "t"):
-            rows: list[tuple] = []
-            for doc, ids in zip(pdf["d"], words.ids([t or "" for t in pdf["t"]]), strict=True):
-                ids += end
-                total = len(ids) // 4
-                for start in range(0, total, capacity):
-                    piece = ids[4 * start : 4 * (start + capacity)]
-                    rows.append((doc, start, len(piece) // 4, total, piece))
-            yield pd.DataFrame(rows, columns=["doc_id", "start", "length", "doc_tokens", "ids"]).astype({"doc_id": pdf["d"].dtype})
-
-    return docs.select(F.col(key).alias("d"), F.col(text).alias("t")).mapInPandas(run, "doc_id long, start long, length long, doc_tokens long, ids binary")
+        rows: list[tuple] = []
+        for row, ids in enumerate(words.ids([t or "" for t in texts])):
+            ids += end
+            total = len(ids) // 4
+            for start in range(0, total, capacity):
+                piece = ids[4 * start : 4 * (start + capacity)]
+                rows.append((row, start, len(piece) // 4, total, piece))
+        number, *columns = zip(*rows)
+        return number, columns
+
+    named = docs.select(F.col(key).cast("long").alias("doc_id"), F.col(text).alias("text"))
+    return map_texts(named, "text", ["doc_id"], "start long, length long, doc_tokens long, ids binary", cut)
 
 
 def first_fit_decreasing(lengths: np.ndarray, capacity: int) -> tuple[np.ndarray, np.ndarray]:

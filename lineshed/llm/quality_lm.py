@@ -18,7 +18,7 @@ repeated label rows count a text once; documents with null ids are scored like o
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -27,7 +27,7 @@ import zstandard
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from lineshed.llm.textops import byte_batches
+from lineshed.llm.textops import byte_batches, map_texts
 from lineshed.session import materialize
 
 ORDER = 4
@@ -77,13 +77,11 @@ def gram_codes(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
 def packed(docs: DataFrame, text: str, keep: tuple[str, ...]) -> DataFrame:
     """The columns in `keep` and the compressed text, for a shuffle; rows without text are left out."""
 
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(texts: list) -> list:
         press = zstandard.ZstdCompressor(level=3)
-        for pdf in byte_batches(frames, "__t"):
-            yield pdf[list(keep)].assign(__z=[press.compress(t.encode("utf-8", "surrogatepass")) for t in pdf["__t"]])
+        return [[press.compress(t.encode("utf-8", "surrogatepass")) for t in texts]]
 
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.select(*keep).schema) + ", __z binary"
-    return docs.select(*keep, F.col(text).alias("__t")).filter("__t is not null and __t != ''").mapInPandas(run, schema)
+    return map_texts(docs.filter(f"`{text}` is not null and `{text}` != ''"), text, keep, "__z binary", run)
 
 
 def count_grams(texts: DataFrame, column: str = "text") -> DataFrame:
@@ -162,23 +160,27 @@ def fit(trusted: DataFrame, column: str = "text") -> Model:
     return Model(seen, gamma)
 
 
-def perplexity(docs: DataFrame, model: Model, text: str = "text", keep: tuple[str, ...] = ("doc_id", "lang"), name: str = "perplexity") -> DataFrame:
-    """The columns in `keep` and the perplexity of each whole text, per character."""
+def perplexities(model: Model) -> Callable[[list], np.ndarray]:
+    """A function from texts to perplexities per character, NaN for empty ones; a task builds its table once."""
+    held: list[np.ndarray] = []
 
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        table = None
-        for pdf in byte_batches(frames, text):
-            table = model.log_table() if table is None else table
-            grams, sizes = gram_codes([t or "" for t in pdf[text]])
-            ends = np.cumsum(sizes)
-            total = np.concatenate([[0.0], np.cumsum(table[grams], dtype=np.float64)])
-            mean = (total[ends] - total[ends - sizes]) / np.maximum(sizes, 1)
-            value = pd.array(np.exp(-mean), dtype="Float64")
-            value[sizes == 0] = pd.NA
-            yield pdf[list(keep)].assign(**{name: value})
+    def run(texts: list) -> np.ndarray:
+        if not held:
+            held.append(model.log_table())
+        grams, sizes = gram_codes([t or "" for t in texts])
+        ends = np.cumsum(sizes)
+        total = np.concatenate([[0.0], np.cumsum(held[0][grams], dtype=np.float64)])
+        with np.errstate(invalid="ignore"):
+            return np.exp(-(total[ends] - total[ends - sizes]) / np.where(sizes, sizes, np.nan))
+
+    return run
+
+
+def perplexity(docs: DataFrame, model: Model, text: str = "text", keep: tuple[str, ...] = ("doc_id", "lang")) -> DataFrame:
+    """The columns in `keep` and the perplexity of each whole text, per character."""
+    score = perplexities(model)
 
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.select(*keep).schema) + f", `{name}` double"
-    return docs.select(*dict.fromkeys([*keep, text])).mapInPandas(run, schema)
+    return map_texts(docs, text, keep, "perplexity double", lambda texts: [[None if v != v else v for v in score(texts).tolist()]])
 
 
 def thresholds(scored: DataFrame, quantile: float = QUANTILE, slack: float = SLACK, lang: str = "lang") -> DataFrame:
@@ -228,6 +230,7 @@ def judge(docs: DataFrame, labels: DataFrame, text: str = "text", key: str = "do
 
 def keep(docs: DataFrame, labels: DataFrame, text: str = "text", key: str = "doc_id", lang: str = "lang", quantile: float = QUANTILE, slack: float = SLACK) -> DataFrame:
     """The rows of docs that are kept, with all their columns; texts are scored again rather than moved."""
-    model, bound, _ = fit_thresholds(docs, labels, text, key, lang, quantile, slack)
-    scored = perplexity(docs, model, text, tuple(docs.columns), "__perplexity")
-    return scored.filter(F.col("__perplexity") <= bound).select(*docs.columns)
+    model, bounds, _ = fit_thresholds(docs, labels, text, key, lang, quantile, slack)
+    score = perplexities(model)
+    fine = map_texts(docs.withColumn("__bound", bounds), text, [*docs.columns, "__bound"], "__perplexity double", lambda texts: [score(texts)])
+    return fine.filter(~F.isnan("__perplexity") & (F.col("__perplexity") <= F.col("__bound"))).select(*docs.columns)

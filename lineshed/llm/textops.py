@@ -1,4 +1,4 @@
-"""Vectorised word and shingle hashing of one text, shared by the corpus operators.
+"""Vectorised word and shingle hashing of one text, and maps over texts, shared by the corpus operators.
 
 Words are the lower-cased runs of bytes between ASCII white space. A text of fewer than
 `size` words has one shingle of all its words; a text without words has none.
@@ -6,12 +6,19 @@ Words are the lower-cased runs of bytes between ASCII white space. A text of few
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator, Sequence
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
+from pyspark.sql.types import StructType
 
 U = np.uint64
+MOST = 4_000_000
 _SPACE = np.zeros(256, dtype=bool)
 _SPACE[[9, 10, 11, 12, 13, 32]] = True
 _PUNCTUATION = np.array([b < 128 and not chr(b).isalnum() for b in range(256)])
@@ -79,8 +86,8 @@ def shingle_hashes(words: np.ndarray, size: int = 5) -> np.ndarray:
     return mix64(out + U(take))
 
 
-def byte_batches(frames: Iterator[pd.DataFrame], column: str, most: int = 4_000_000) -> Iterator[pd.DataFrame]:
-    """Cuts Arrow batches so that each holds about `most` characters at most, one row at least."""
+def byte_batches(frames: Iterator[pd.DataFrame], column: str, most: int = MOST) -> Iterator[pd.DataFrame]:
+    """Cuts pandas batches so that each holds about `most` characters at most, one row at least."""
     for pdf in frames:
         if pdf.empty:
             continue
@@ -91,3 +98,50 @@ def byte_batches(frames: Iterator[pd.DataFrame], column: str, most: int = 4_000_
         part = np.cumsum(sizes) // most
         for _, rows in pdf.groupby(part, sort=True):
             yield rows
+
+
+def text_slices(batches: Iterator[pa.RecordBatch], most: int = MOST) -> Iterator[tuple[pa.RecordBatch, list]]:
+    """Slices of about `most` bytes of the last column at most, one row at least, and that column's values."""
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        column = batch.column(batch.num_columns - 1)
+        part = np.cumsum(pc.fill_null(pc.binary_length(column), 0).to_numpy(zero_copy_only=False).astype(np.int64)) // most
+        edges = [0, *(np.flatnonzero(np.diff(part)) + 1).tolist(), batch.num_rows]
+        for start, end in zip(edges, edges[1:]):
+            piece = batch.slice(start, end - start)
+            yield piece, piece.column(piece.num_columns - 1).to_pylist()
+
+
+def map_texts(df: DataFrame, text: str, keep: Sequence[str], fields: str, compute: Callable[[list], Sequence]) -> DataFrame:
+    """The columns in `keep`, untouched, and `fields`: compute(values of the text column) gives a sequence for each.
+
+    compute may instead give (rows, sequences) with the number of the row that each result belongs to.
+    """
+    added = StructType.fromDDL(fields)
+    types = [to_arrow_type(f.dataType) for f in added]
+    names = [*keep, *added.names]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch, texts in text_slices(batches):
+            got = compute(texts)
+            kept = [batch.column(k) for k in range(len(keep))]
+            if isinstance(got, tuple):
+                rows = pa.array(got[0], type=pa.int64())
+                kept, got = [c.take(rows) for c in kept], got[1]
+            yield pa.RecordBatch.from_arrays([*kept, *[pa.array(v, type=t) for v, t in zip(got, types, strict=True)]], names=names)
+
+    schema = StructType([*df.select(*keep).schema.fields, *added.fields])
+    return df.select(*keep, F.col(text).alias("__text")).mapInArrow(run, schema)
+
+
+def filter_texts(df: DataFrame, text: str, wanted: Callable[[list], Sequence[bool]]) -> DataFrame:
+    """The rows of df, with all their columns untouched, for which wanted(values of the text column) is true."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch, texts in text_slices(batches):
+            mask = pa.array(np.asarray(wanted(texts), dtype=bool))
+            kept = batch.filter(mask)
+            yield pa.RecordBatch.from_arrays(kept.columns[:-1], names=batch.schema.names[:-1])
+
+    return df.select(*df.columns, F.col(text).alias("__text")).mapInArrow(run, df.schema)

@@ -16,12 +16,9 @@ import base64
 from collections import deque
 from collections.abc import Iterator
 
-import numpy as np
-import pandas as pd
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
-from lineshed.llm.textops import byte_batches
+from lineshed.llm.textops import map_texts
 
 CACHE = 1_000_000
 _held: dict[str, "PieceCounter"] = {}
@@ -128,14 +125,10 @@ def read_ranks(path: str) -> list[bytes]:
 def token_counts(docs: DataFrame, vocabulary_path: str, text: str = "text", keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
     """The columns in `keep` and n_tokens for every row."""
 
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def count(texts: list) -> list:
         counter = _held.get(vocabulary_path)
         if counter is None:
             counter = _held[vocabulary_path] = PieceCounter(read_ranks(vocabulary_path))
-        for pdf in byte_batches(frames, "__t"):
-            counts = counter.of_texts([t or "" for t in pdf["__t"]])
-            yield pdf.drop(columns="__t").assign(n_tokens=np.array(counts, dtype=np.int64))
+        return [counter.of_texts([t or "" for t in texts])]
 
-    rest = docs.select(*keep)
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rest.schema) + ", n_tokens long"
-    return docs.select(*keep, F.col(text).alias("__t")).mapInPandas(run, schema)
+    return map_texts(docs, text, keep, "n_tokens long", count)
