@@ -177,3 +177,14 @@ def test_media_query(spark):
         assert r["payload_sha256"] == hashlib.sha256(payload).hexdigest() and r["tail_crc32"] == zlib.crc32(payload[-64:])
     got = media_ts.probe(media_ts.store(odd_docs(spark))).collect()
     assert [r["payload_bytes"] for r in got][:3] == [64, 64, 64]
+
+
+def test_other_columns_pass_untouched(spark):
+    rows = [(2**60 + 1, "one two", None, [1, None]), (None, None, 2**55 + 1, None), (3, "", 5, [])]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang_pred long, __z array<int>")
+    same = textops.filter_texts(docs, "text", lambda texts: [True] * len(texts))
+    assert [tuple(r) for r in same.collect()] == rows and same.schema == docs.schema
+    counted = token_counts.token_counts(docs, tokenizer_path("byte_bpe_50k.tiktoken"), keep=("doc_id", "lang_pred", "__z")).collect()
+    assert [tuple(r)[:3] for r in counted] == [(r[0], r[2], r[3]) for r in rows]
+    long = spark.createDataFrame([(k, "w" * 3_000_000) for k in range(5)], "doc_id long, text string")
+    assert [r["n"] for r in textops.map_texts(long, "text", ["doc_id"], "n int", lambda texts: [[len(texts)] * len(texts)]).collect()] != [5] * 5
