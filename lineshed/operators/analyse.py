@@ -247,3 +247,47 @@ def cross_section(df: DataFrame, table: DataFrame, by: Sequence[str], x: str = "
 
     udf = F.pandas_udf(at, "value double, status string")
     return joined.withColumn("__r", udf(F.col(x).cast("double"), "__grid")).withColumns({"value": F.col("__r.value"), "status": F.col("__r.status")}).drop("__r", "__grid")
+
+
+def detect_convention(energy: np.ndarray, intensity: np.ndarray) -> str:
+    """KE if the filled side, the brighter one, lies at lower energies, else BE."""
+    order = np.argsort(energy)
+    y = np.asarray(intensity, dtype=np.float64)[order]
+    m = max(1, len(y) // 5)
+    return "KE" if y[:m].mean() > y[-m:].mean() else "BE"
+
+
+def edge_axis(energy, edge, kinetic: bool = True):
+    """The binding energy axis with the edge at 0, as an array expression."""
+    return F.transform(energy, lambda x: (edge - x) if kinetic else (x - edge))
+
+
+def differential_edge(df: DataFrame, baseline: int, temperature: float = 300.0, key: str = "spectrum_id", energy: str = "energy", intensity: str = "intensity") -> DataFrame:
+    """(key, delta, delta_sd): each edge less that of the baseline spectrum, fitted alike; errors add in squares."""
+    edges = fermi_edge(df, temperature, key, energy, intensity).select(key, "edge", "edge_sd")
+    base = edges.filter(F.col(key) == baseline).select(F.col("edge").alias("__e"), F.col("edge_sd").alias("__s"))
+    return edges.crossJoin(F.broadcast(base)).select(key, (F.col("edge") - F.col("__e")).alias("delta"), F.sqrt(F.col("edge_sd") ** 2 + F.col("__s") ** 2).alias("delta_sd"))  # one row
+
+
+def fit_in_order(df: DataFrame, index: str, chunk: int, centers: Sequence[float], width: float, key: str = "spectrum_id", energy: str = "energy", intensity: str = "intensity") -> DataFrame:
+    """Fits along an index; each fit starts where the one before it in its chunk ended, if that succeeded.
+
+    Chunks are ranges of the index, so the result doesn't depend on partitions, and no group is larger
+    than a chunk.
+    """
+    k = len(centers)
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        rows, start = [], list(centers)
+        origin = None
+        for _, r in pdf.sort_values(index).iterrows():
+            e, y = np.asarray(r[energy], dtype=np.float64), np.asarray(r[intensity], dtype=np.float64)
+            f = _fit_peaks(e, y, start, width)
+            rows.append((r[key], f["p"][k : 2 * k].tolist(), f["p"][:k].tolist(), f["cost"] / len(e), bool(f["done"]), origin))
+            if f["done"]:
+                start, origin = f["p"][k : 2 * k].tolist(), int(r[index])
+        return pd.DataFrame(rows, columns=[key, "centers", "areas", "chi2", "success", "inherited_from"]).astype({"inherited_from": "Int64"})
+
+    kind = df.schema[key].dataType.simpleString()
+    chunks = df.select(key, index, energy, intensity).withColumn("__chunk", F.floor(F.col(index) / chunk))
+    return chunks.groupBy("__chunk").applyInPandas(run, f"{key} {kind}, centers array<double>, areas array<double>, chi2 double, success boolean, inherited_from long")
