@@ -11,7 +11,20 @@ from lineshed.llm import decontaminate, html_text, jaccard_join, language_id, li
 from lineshed.session import read
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLES: dict[str, str] = {}
+#: By brute force over all pairs that share a shingle, and their transitive closure.
+ORACLES: dict[str, str] = {
+    "op7_ngram_jaccard_join": r"""WITH RECURSIVE w AS (SELECT doc_id, list_filter(string_split_regex(lower(text), '[\t\n\x0B\f\r ]+'), lambda x: x <> '') AS w FROM documents),
+s AS (SELECT doc_id, unnest(list_distinct(CASE WHEN len(w) <= 5 THEN [array_to_string(w, ' ')] ELSE list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i + 4], ' ')) END)) AS g FROM w WHERE len(w) > 0),
+n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+j AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS c FROM s a JOIN s b ON a.g = b.g AND a.doc_id <> b.doc_id GROUP BY a.doc_id, b.doc_id),
+l AS (SELECT a, b, c = x.n AND c = y.n AS same FROM j JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b WHERE c >= 0.8 * (x.n + y.n - c) - 1e-9),
+r(a, b) AS (SELECT a, b FROM l UNION SELECT r.a, l.b FROM r JOIN l ON r.b = l.a),
+copies AS (SELECT d.doc_id, least(d.doc_id, coalesce(min(b), d.doc_id)) AS copy_id, count(b) + 1 AS n_copies FROM documents d LEFT JOIN l ON a = d.doc_id AND same GROUP BY d.doc_id),
+links AS (SELECT a, count(*) AS n_links, count(DISTINCT CASE WHEN NOT same THEN copy_id END) AS n_class_links FROM l JOIN copies ON copies.doc_id = b GROUP BY a),
+classes AS (SELECT a, min(b) AS least_id FROM r GROUP BY a)
+SELECT c.doc_id, least(c.doc_id, coalesce(least_id, c.doc_id)) AS class_id, copy_id, n_copies, coalesce(n_links, 0) AS n_links, coalesce(n_class_links, 0) AS n_class_links
+FROM copies c LEFT JOIN links k ON k.a = c.doc_id LEFT JOIN classes z ON z.a = c.doc_id""",
+}
 HELD_OUT = "coalesce(crc32(cast(doc_id as string)) % 4 = 2, false)"
 BATCH_ROWS = 1000
 
