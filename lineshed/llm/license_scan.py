@@ -24,6 +24,11 @@ SIZE = 5
 SEGMENT = 40
 BANDS, ROWS = 16, 2
 CONTAINMENT = 0.8
+#: An index of up to so many segments (some 50 MB) is sent to all tasks; a larger one is joined by a shuffle.
+MOST_SENT = 5000
+
+# Words that make poor anchors; a choice of speed only.
+COMMON = "a all an and any are as at be been by can do for from had has have if in is it its may more no not of on or other out over shall so such than that the their them there these they this those to under up was were which who will with without you your".split()
 
 # Notices by which texts state their license, as their publishers word them.
 NOTICES = [
@@ -85,10 +90,11 @@ def segments(templates: DataFrame) -> DataFrame:
 
 
 def anchors(cut: DataFrame) -> list[str]:
-    """For each shingle its longest word, the first by name of several: one of these is in every shingle."""
+    """For each shingle its longest uncommon word, the first by name of several: one of these is in every shingle."""
     runs = cut.select(F.explode(F.transform(F.sequence(F.lit(1), F.greatest(F.size("w") - SIZE + 1, F.lit(1))), lambda k: F.slice("w", k, SIZE))).alias("run"))
-    longest = runs.select(F.array_max(F.transform("run", lambda x: F.struct(F.length(x).alias("n"), x.alias("x"))))["x"].alias("x"))
-    return sorted(r["x"] for r in longest.distinct().collect())  # at most the templates' words
+    rank = lambda x: F.struct((~x.isin(*COMMON)).alias("rare"), F.length(x).alias("n"), x.alias("x"))
+    best = runs.select(F.array_max(F.transform("run", rank))["x"].alias("x"))
+    return sorted(r["x"] for r in best.distinct().collect())  # at most the templates' words
 
 
 def scan(docs: DataFrame, templates: DataFrame, text: str = "text", key: str = "doc_id", containment: float = CONTAINMENT) -> DataFrame:
@@ -116,6 +122,7 @@ def scan(docs: DataFrame, templates: DataFrame, text: str = "text", key: str = "
     )
     banded = windows.withColumn("band", F.explode(band_keys(F.col("s"))))
     index = cut.select("template_id", "license", "segment", "n_segments", "m", "own", F.explode(band_keys(F.col("own"))).alias("band"))
+    index = F.broadcast(index) if cut.count() <= MOST_SENT else index
     share = F.size(F.array_intersect("s", "own")) / F.size("own")
     pairs = banded.join(index, ["m", "band"]).withColumn("share", share).filter(F.col("share") >= containment)
     best = pairs.groupBy("doc_id", "template_id", "license", "segment", "n_segments").agg(
