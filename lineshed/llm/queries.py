@@ -27,6 +27,23 @@ FROM copies c LEFT JOIN links k ON k.a = c.doc_id LEFT JOIN classes z ON z.a = c
 }
 HELD_OUT = "coalesce(crc32(cast(doc_id as string)) % 4 = 2, false)"
 BATCH_ROWS = 1000
+#: Notices of 5 to 40 words are one segment each. A shingle at a position lies in the windows that start at
+#: the multiples of the step from size - 5 words before it up to it.
+ORACLES["op4_license_scan"] = (
+    r"""WITH t(template_id, license, template) AS (VALUES """
+    + ", ".join(f"({k}, '{name}', '{text}')" for k, (name, text) in enumerate(license_scan.NOTICES))
+    + r"""),
+tw AS (SELECT template_id, license, list_filter(string_split_regex(lower(template), '[^\p{L}\p{N}]+'), lambda x: x <> '') AS w FROM t),
+ts AS (SELECT template_id, license, len(w) AS m, 1 + (len(w) - 4) // 4 AS step, unnest(list_distinct(list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i + 4], ' ')))) AS g FROM tw),
+own AS (SELECT template_id, count(*) AS n FROM ts GROUP BY template_id),
+dw AS (SELECT doc_id, list_filter(string_split_regex(lower(text), '[^\p{L}\p{N}]+'), lambda x: x <> '') AS w FROM documents),
+ds AS (SELECT doc_id, unnest(list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i + 4], ' '))) AS g, unnest(range(0, len(w) - 4)) AS p FROM dw WHERE len(w) >= 5),
+h AS (SELECT doc_id, p, ds.g, template_id, license, step, m + step - 1 AS size FROM ds JOIN ts ON ds.g = ts.g),
+x AS (SELECT doc_id, template_id, license, g, unnest(range(greatest(0, (p - size + 5 + step - 1) // step), p // step + 1)) * step AS start FROM h),
+v AS (SELECT doc_id, template_id, license, start, count(DISTINCT g) AS c FROM x GROUP BY ALL),
+f AS (SELECT doc_id, v.template_id, license, start, c / n AS share FROM v JOIN own ON own.template_id = v.template_id WHERE c / n >= 0.8)
+SELECT doc_id, template_id::BIGINT AS template_id, license, max(share) AS containment, min(start)::BIGINT AS start_word, count(DISTINCT start) AS n_windows FROM f GROUP BY doc_id, template_id, license"""
+)
 
 
 def query(f: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
