@@ -4,15 +4,23 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
+def beside(df: DataFrame, by: Sequence[str], **aggregates: Column) -> DataFrame:
+    """Each row with aggregates of its group.
+
+    Aggregates are taken partially before the shuffle and joined back, so that a group with very many rows
+    isn't gathered in one task, as a window would.
+    """
+    return df.join(df.groupBy(*by).agg(*[a.alias(name) for name, a in aggregates.items()]), list(by))
+
+
 def shares(df: DataFrame, weight: str, by: Sequence[str], out: str = "fraction") -> DataFrame:
     """Each row's weight over its group's; null unless all weights of the group are positive."""
-    w = Window.partitionBy(*by)
-    fine = F.min(F.when(F.col(weight) > 0, 1).otherwise(0)).over(w) == 1
-    return df.withColumn(out, F.when(fine, F.col(weight) / F.sum(weight).over(w)))
+    rows = beside(df, by, __sum=F.sum(weight), __fine=F.min(F.coalesce(F.col(weight) > 0, F.lit(False))))
+    return rows.withColumn(out, F.when(F.col("__fine"), F.col(weight) / F.col("__sum"))).drop("__sum", "__fine")
 
 
 def composition(lines: DataFrame, sample: str = "sample", element: str = "element", area: str = "area", cross_section: str = "cross_section", imfp: str = "imfp", assumed: str | None = None) -> DataFrame:

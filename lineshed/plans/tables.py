@@ -113,7 +113,7 @@ def composition_refusal(spark: SparkSession, d: str) -> DataFrame:
 
 @query("SELECT event_id, round(value / max(value) OVER (PARTITION BY user_id), 9) AS scaled FROM events")
 def normalise_max(spark: SparkSession, d: str) -> DataFrame:
-    return read(spark, d, "events").select("event_id", F.round(F.col("value") / F.max("value").over(Window.partitionBy("user_id")), 9).alias("scaled"))
+    return quantify.beside(read(spark, d, "events"), ["user_id"], top=F.max("value")).select("event_id", F.round(F.col("value") / F.col("top"), 9).alias("scaled"))
 
 
 @query(
@@ -121,9 +121,8 @@ def normalise_max(spark: SparkSession, d: str) -> DataFrame:
     FROM events WINDOW w AS (PARTITION BY user_id)"""
 )
 def normalise_minmax(spark: SparkSession, d: str) -> DataFrame:
-    w = Window.partitionBy("user_id")
-    low, high = F.min("value").over(w), F.max("value").over(w)
-    return read(spark, d, "events").select("event_id", F.when(high > low, F.round((F.col("value") - low) / (high - low), 9)).alias("scaled"))
+    low, high = F.col("low"), F.col("high")
+    return quantify.beside(read(spark, d, "events"), ["user_id"], low=F.min("value"), high=F.max("value")).select("event_id", F.when(high > low, F.round((F.col("value") - low) / (high - low), 9)).alias("scaled"))
 
 
 @query(
@@ -148,13 +147,13 @@ def normalise_area(spark: SparkSession, d: str) -> DataFrame:
 
 
 @query(
-    f"""WITH e AS (SELECT event_id, event_type, value, {SQL_SECONDS} AS s FROM events),
-    p AS (SELECT *, coalesce((value + lag(value) OVER w) / 2 * (s - lag(s) OVER w), 0) AS part FROM e WINDOW w AS (PARTITION BY event_type ORDER BY s, event_id))
-    SELECT event_id, round(sum(part) OVER (PARTITION BY event_type ORDER BY s, event_id ROWS UNBOUNDED PRECEDING) / sum(part) OVER (PARTITION BY event_type), 6) AS integral FROM p"""
+    f"""WITH e AS (SELECT event_id, user_id, value, {SQL_SECONDS} AS s FROM events),
+    p AS (SELECT *, coalesce((value + lag(value) OVER w) / 2 * (s - lag(s) OVER w), 0) AS part FROM e WINDOW w AS (PARTITION BY user_id ORDER BY s, event_id))
+    SELECT event_id, round(sum(part) OVER (PARTITION BY user_id ORDER BY s, event_id ROWS UNBOUNDED PRECEDING) / sum(part) OVER (PARTITION BY user_id), 6) AS integral FROM p"""
 )
 def running_integral(spark: SparkSession, d: str) -> DataFrame:
-    e = read(spark, d, "events").select("event_id", "event_type", "value", seconds())
-    return ordered.running_integral(e, "s", "value", ["event_type"], ["s", "event_id"]).select("event_id", r6(F.col("integral"), "integral"))
+    e = read(spark, d, "events").select("event_id", "user_id", "value", seconds())
+    return ordered.running_integral(e, "s", "value", ["user_id"], ["s", "event_id"]).select("event_id", r6(F.col("integral"), "integral"))
 
 
 @query(
