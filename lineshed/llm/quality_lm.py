@@ -8,8 +8,9 @@ tasks that score the documents: texts are never shuffled for scoring. They are s
 to meet their labels.
 
 A document is kept if its perplexity is at most its language's threshold: the `QUANTILE` of the
-perplexities of that language's trusted texts, times `SLACK`. A language without trusted text takes the
-threshold over all languages.
+perplexities of that language's trusted texts, times `SLACK`. The mean over n characters scatters as
+1 / sqrt(n), so perplexities are compared after division by exp(`SHORT` / sqrt(n)), which is 1.04 at 3000
+characters and 1.7 at 14. A language without trusted text takes the threshold over all languages.
 
 Edge cases: null and empty texts have a null perplexity and aren't kept; a null language is a language
 of its own; without trusted text the probabilities are uniform and every text with characters is kept;
@@ -36,6 +37,7 @@ SYMBOLS = 1 << BITS
 PAD = 1
 QUANTILE = 0.995
 SLACK = 1.2
+SHORT = 2.0
 _classes: np.ndarray | None = None
 
 
@@ -177,10 +179,18 @@ def perplexities(model: Model) -> Callable[[list], np.ndarray]:
 
 
 def perplexity(docs: DataFrame, model: Model, text: str = "text", keep: tuple[str, ...] = ("doc_id", "lang")) -> DataFrame:
-    """The columns in `keep` and the perplexity of each whole text, per character."""
+    """The columns in `keep`, the perplexity of each whole text, per character, and how many characters it has."""
     score = perplexities(model)
 
-    return map_texts(docs, text, keep, "perplexity double", lambda texts: [[None if v != v else v for v in score(texts).tolist()]])
+    def run(texts: list) -> list:
+        return [[None if v != v else v for v in score(texts).tolist()], [len(t or "") for t in texts]]
+
+    return map_texts(docs, text, keep, "perplexity double, chars long", run)
+
+
+def allowance(chars: Column) -> Column:
+    """How much more perplexity a short text may have by chance."""
+    return F.exp(F.lit(SHORT) / F.sqrt(F.greatest(chars, F.lit(1))))
 
 
 def thresholds(scored: DataFrame, quantile: float = QUANTILE, slack: float = SLACK, lang: str = "lang") -> DataFrame:
@@ -189,7 +199,7 @@ def thresholds(scored: DataFrame, quantile: float = QUANTILE, slack: float = SLA
     The exact quantile of the logarithms of perplexities rounded up to 1/1000: the perplexity of a uniform
     guess is 64 and that of the rarest n-gram bounded, so there are a few thousand values a language.
     """
-    rounded = scored.filter("perplexity is not null").select(F.col(lang).alias("lang"), F.ceil(F.ln("perplexity") * 1000).alias("v"))
+    rounded = scored.filter("perplexity is not null").select(F.col(lang).alias("lang"), F.ceil(F.ln(F.col("perplexity") / allowance(F.col("chars"))) * 1000).alias("v"))
     counted = rounded.groupBy("lang", "v").agg(F.count("*").alias("n"))
     every = counted.groupBy("v").agg(F.sum("n").alias("n")).select(F.lit(None).cast("string").alias("lang"), "v", "n", F.lit(True).alias("everything"))
     both = counted.select("lang", "v", "n", F.lit(False).alias("everything")).unionByName(every)
@@ -224,7 +234,7 @@ def fit_thresholds(docs: DataFrame, labels: DataFrame, text: str = "text", key:
 def judge(docs: DataFrame, labels: DataFrame, text: str = "text", key: str = "doc_id", lang: str = "lang", quantile: float = QUANTILE, slack: float = SLACK) -> DataFrame:
     """(doc_id, lang, perplexity, threshold, kept) for each row; trusted are labels of quality 1 and toxic 0."""
     _, bound, scored = fit_thresholds(docs, labels, text, key, lang, quantile, slack)
-    named = scored.withColumnRenamed("lang", lang).withColumn("threshold", bound).withColumnRenamed(lang, "lang")
+    named = scored.withColumnRenamed("lang", lang).withColumn("threshold", bound * allowance(F.col("chars"))).withColumnRenamed(lang, "lang")
     return named.select("doc_id", "lang", "perplexity", "threshold", F.coalesce(F.col("perplexity") <= F.col("threshold"), F.lit(False)).alias("kept"))
 
 
@@ -232,5 +242,5 @@ def keep(docs: DataFrame, labels: DataFrame, text: str = "text", key: str = "doc
     """The rows of docs that are kept, with all their columns; texts are scored again rather than moved."""
     model, bounds, _ = fit_thresholds(docs, labels, text, key, lang, quantile, slack)
     score = perplexities(model)
-    fine = map_texts(docs.withColumn("__bound", bounds), text, [*docs.columns, "__bound"], "__perplexity double", lambda texts: [score(texts)])
+    fine = map_texts(docs.withColumn("__bound", bounds * allowance(F.length(text))), text, [*docs.columns, "__bound"], "__perplexity double", lambda texts: [score(texts)])
     return fine.filter(~F.isnan("__perplexity") & (F.col("__perplexity") <= F.col("__bound"))).select(*docs.columns)
