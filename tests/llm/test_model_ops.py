@@ -231,3 +231,10 @@ def test_pipeline(spark):
     assert sum(d in ids for d in clean) >= 0.98 * len(clean)
     pieces = corpus_pipeline.STAGES[-1][1](spark, kept[-1], SF).collect()
     assert {r["doc_id"] for r in pieces} == {r["doc_id"] for r in kept[-1].collect()}
+
+
+def test_short_texts_have_an_allowance(spark):
+    from pyspark.sql import functions as F
+
+    got = [r[0] for r in spark.createDataFrame([(0,), (4,), (10_000,)], "n long").select(quality_lm.allowance(F.col("n"))).collect()]
+    assert got == pytest.approx([math.exp(2), math.exp(1), math.exp(0.02)])
