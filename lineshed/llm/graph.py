@@ -1,8 +1,9 @@
 """Connected components of an edge table by alternating large and small stars.
 
 Every round rewires each node's neighbours to its smallest neighbour; rounds are aggregates and
-equi-joins, so a node with very many neighbours is pre-aggregated and its join can be split. The
-edges of each round are written to the shared folder, which cuts the lineage.
+equi-joins, so a node with very many neighbours is pre-aggregated. The minima and the edges of each
+round are written to the shared folder: this cuts the lineage, and leaves both sides of every join as
+plain shuffles, which the adaptive planner can split where a node has very many neighbours.
 """
 
 from __future__ import annotations
@@ -15,13 +16,13 @@ from lineshed.session import materialize
 
 def _large_star(edges: DataFrame) -> DataFrame:
     both = edges.select("u", "v").unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-    least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
+    least = materialize(both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m")), "least")
     return both.filter("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v"))
 
 
 def _small_star(edges: DataFrame) -> DataFrame:
     down = edges.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v"))
-    least = down.groupBy("u").agg(F.min("v").alias("m"))
+    least = materialize(down.groupBy("u").agg(F.min("v").alias("m")), "least")
     joined = down.join(least, "u")
     return joined.select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u != v").unionByName(least.select("u", F.col("m").alias("v")))
 
