@@ -27,8 +27,8 @@ END_ID = 2
 CACHE = 200_000
 # The pattern of the word tokenizer for these characters, and the characters that its
 # vocabulary has for bytes: the visible ones of Latin-1 as they are, the others from U+0100 on.
-_PARTS = re.compile("'s|'t|'re|'ve|'m|'ll|'d|[a-z\xdf-\xf6\xf8-\xff]+|[0-9]|[^a-z\xdf-\xf6\xf8-\xff0-9]+")
-_PLAIN = re.compile("[!-~\xc0-\xd6\xd8-\xf6\xf8-\xff]+")
+_PARTS = re.compile("'s|'t|'re|'ve|'m|'ll|'d|[a-z\xdf-\xf6\xf8-\xff]+|[0-9]|[^\\sa-z\xdf-\xf6\xf8-\xff0-9]+")
+_PLAIN = re.compile("[\\t-\\r -~\xc0-\xd6\xd8-\xf6\xf8-\xff]*")
 _SHOWN = {*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)}
 _VISIBLE = {b: 0x100 + k for k, b in enumerate(b for b in range(256) if b not in _SHOWN)}
 _ODD = re.compile("[\x1c-\x1f]")  # str.split parts at these, the tokenizer doesn't
@@ -36,11 +36,12 @@ _held: dict[str, "WordIds"] = {}
 
 
 class WordIds(dict):
-    """Little-endian ids of white-space free runs of text; the tokenizer never joins ids across white space.
+    """Little-endian ids of texts, in `kind`, by the parts that the tokenizer cuts them into before merging.
 
-    A run of ASCII and Latin-1 letters, digits and signs is parted as the tokenizer's own pattern parts
-    it, and each part goes to the tokenizer's merges once; any other run goes to the whole tokenizer. The
-    first `CACHE` runs and parts that a worker meets are kept, which changes speed only.
+    A text, or else a white-space free run of it, of ASCII and Latin-1 letters, digits and signs is cut as
+    the tokenizer's own pattern cuts it, and each part goes to the tokenizer's merges once; other runs go to
+    the whole tokenizer, which never joins ids across white space. The first `CACHE` parts and runs that a
+    worker meets are kept, the others for a batch; this changes speed only.
     """
 
     def __init__(self, path: str):
@@ -53,34 +54,43 @@ class WordIds(dict):
         self.tokenizer = Tokenizer.from_file(path)
         self.merge = self.tokenizer.model.tokenize
         self.kind = np.dtype("<u2" if self.tokenizer.get_vocab_size() <= 1 << 16 else "<u4")
-        self.parts: dict[str, bytes] = {}
         self.batch: dict[str, bytes] = {}
+        self.runs: dict[str, bytes] = {}
 
     def whole(self, text: str) -> bytes:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, dtype=self.kind).tobytes()
 
-    def part(self, part: str) -> bytes:
-        got = self.parts.get(part)
+    def __missing__(self, part: str) -> bytes:
+        got = self.batch.get(part)
         if got is None:
             got = np.array([t.id for t in self.merge(part.encode().decode("latin-1").translate(_VISIBLE))], dtype=self.kind).tobytes()
-            if len(self.parts) < CACHE:
-                self.parts[part] = got
+            if len(self) < CACHE:
+                self[part] = got
+            else:
+                self.batch[part] = got
         return got
 
-    def __missing__(self, run: str) -> bytes:
-        got = self.batch.get(run)
+    def plain(self, text: str) -> bytes:
+        return b"".join(map(self.__getitem__, _PARTS.findall(text.lower())))
+
+    def run(self, run: str) -> bytes:
+        got = self.runs.get(run)
         if got is None:
-            got = b"".join(map(self.part, _PARTS.findall(run.lower()))) if _PLAIN.fullmatch(run) and "<|" not in run else self.whole(run)
-            if len(self) < CACHE:
-                self[run] = got
-            else:
-                self.batch[run] = got
+            got = self.plain(run) if _PLAIN.fullmatch(run) and "<|" not in run else self.whole(run)
+            if len(self.runs) < CACHE:
+                self.runs[run] = got
         return got
 
+    def text(self, text: str) -> bytes:
+        if _PLAIN.fullmatch(text) and "<|" not in text:
+            return self.plain(text)
+        if _ODD.search(text):
+            return self.whole(text)
+        return b"".join(map(self.run, text.split()))
+
     def ids(self, texts: list[str]) -> list[bytes]:
         """Little-endian 32-bit ids of each text."""
-        held = self.__getitem__
-        out = [np.frombuffer(self.whole(t) if _ODD.search(t) else b"".join(map(held, t.split())), dtype=self.kind).astype("<u4").tobytes() for t in texts]
+        out = [np.frombuffer(self.text(t), dtype=self.kind).astype("<u4").tobytes() for t in texts]
         self.batch.clear()
         return out
 
