@@ -3,7 +3,8 @@
 Words are lower-cased and parted by white space and ASCII punctuation. For every benchmark item of L
 words, the windows of L words of a document are compared with it: 64-bit SimHash fingerprints of the
 words, in `RADIUS` + 1 blocks of bits. Two fingerprints within the radius agree in one block at least,
-so the index by (length, block, bits) finds all of them. Found pairs are verified exactly: weighted
+so the index by (length, block, bits) finds all of them. A text shorter than an item is one window,
+compared with every item of that length whatever the distance. Found pairs are verified exactly: weighted
 Jaccard similarity of the word five-shingles, each weighing the letters of its words, of `THRESHOLD`
 or more.
 
@@ -85,6 +86,7 @@ class ItemIndex:
     blocks: dict[tuple[int, int, int], list[int]] = field(default_factory=dict)
     least: dict[int, int] = field(default_factory=dict)  # by length: the fewest shared shingles of a match
     shingles: dict[int, np.ndarray] = field(default_factory=dict)  # by shingle size, rising
+    by_length: dict[int, list[int]] = field(default_factory=dict)
 
     def add(self, item_id: int, text: str | None) -> None:
         words, lengths = hashed_words(text, plain=True)
@@ -95,6 +97,7 @@ class ItemIndex:
         print_ = int(fingerprints(words, np.zeros(1, dtype=np.int64), n)[0])
         for b, value in enumerate(block_values(print_)):
             self.blocks.setdefault((n, b, value), []).append(len(self.items))
+        self.by_length.setdefault(n, []).append(len(self.items))
         self.items.append((item_id, n, print_, own))
         fewest = max(1, int(np.ceil(self.threshold * sum(own.values()) / max(own.values()) - 1e-9)))
         self.least[n] = min(self.least.get(n, fewest), fewest)
@@ -124,7 +127,11 @@ class ItemIndex:
                 continue
             seen = np.concatenate([[0], np.cumsum(hit)])
             for n, fewest in self.least.items():
-                if min(n, SIZE) != size or n > len(words):
+                if min(n, SIZE) != size:
+                    continue
+                if n > len(words):
+                    if seen[-1] >= fewest:
+                        self._compare_whole(words, lengths, n, best)
                     continue
                 # a repeated shingle weighs as often as it stands, so positions bound the shared weight
                 inside = seen[n - size + 1 :] - seen[: len(words) - n + 1]
@@ -148,6 +155,16 @@ class ItemIndex:
                 if sim >= self.threshold and (k not in best or sim > best[k][0]):
                     best[k] = (sim, start, n, distance)
 
+    def _compare_whole(self, words: np.ndarray, lengths: np.ndarray, n: int, best: dict[int, tuple]) -> None:
+        own = shingle_weights(words, lengths)
+        found = int(fingerprints(words, np.zeros(1, dtype=np.int64), len(words))[0])
+        for k in self.by_length[n]:
+            if own.keys().isdisjoint(self.items[k][3]):
+                continue
+            sim = similarity(self.items[k][3], own)
+            if sim >= self.threshold:
+                best[k] = (sim, 0, len(words), (self.items[k][2] ^ found).bit_count())
+
 
 def item_parts(benchmark: DataFrame, item: str, text: str, threshold: float, per_pass: int = ITEMS_PER_PASS) -> Iterator[ItemIndex]:
     """Indexes of parts of the benchmark, each of about `per_pass` items."""

@@ -170,3 +170,20 @@ def test_decontamination_finds_edited_passages(spark):
     kept = {r["doc_id"] for r in decontaminate.clean(frame, bench).collect()}
     assert kept == {d for d, _ in docs} - set(got)
     assert decontaminate.find(frame, bench.filter("false")).count() == 0
+
+
+def test_decontamination_finds_items_cut_short(spark):
+    rng = random.Random(5)
+    words = [[f"term{rng.randrange(300)}" for _ in range(n)] for n in (16, 30, 60)]
+    items = [(k, " ".join(w)) for k, w in enumerate(words)]
+    docs = [(100 * k + cut, " ".join(w[:-cut])) for k, w in enumerate(words) for cut in (1, 2, 12)] + [(1000 + k, " ".join(w[1:])) for k, w in enumerate(words)]
+    want = set()
+    for d, t in docs:
+        shorter = decontaminate.shingle_weights(*decontaminate.hashed_words(t, plain=True))
+        want |= {(d, k) for k, body in items if decontaminate.similarity(shorter, decontaminate.shingle_weights(*decontaminate.hashed_words(body, plain=True))) >= 0.8}
+    assert {(100 * k + 1, k) for k in range(3)} <= want and len(want) < len(docs)
+    frame, bench = spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")
+    got = decontaminate.find(frame, bench).collect()
+    assert {(r["doc_id"], r["item_id"]) for r in got} == want
+    assert all(r["start_word"] == 0 and r["n_words"] < len(words[r["item_id"]]) for r in got)
+    assert {r["doc_id"] for r in decontaminate.clean(frame, bench).collect()} == {d for d, _ in docs} - {d for d, _ in want}
