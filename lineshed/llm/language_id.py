@@ -83,15 +83,21 @@ class Profiles:
 
     def score(self, texts: list[str]) -> list:
         """Language and cosine of each text; cosines under 0 count as 0."""
+        return self.measure(texts)[:2]
+
+    def measure(self, texts: list[str]) -> list:
+        """Language, cosine and number of trigrams of each text."""
         best = np.full(len(texts), UND, dtype=object)
         scores = np.zeros(len(texts))
+        sizes = np.zeros(len(texts), dtype=np.int64)
         if not self.languages:
-            return [list(best), scores]
+            return [list(best), scores, sizes]
         letters = letter_vectors(self.prototypes.shape[1])
         code, doc = trigram_codes(texts)
         used = np.flatnonzero(np.bincount(code, minlength=CLASSES**3))
         if not len(used):
-            return [list(best), scores]
+            return [list(best), scores, sizes]
+        sizes = np.bincount(doc, minlength=len(texts))
         column = np.zeros(CLASSES**3, dtype=np.int64)
         column[used] = np.arange(len(used))
         column = column[code]
@@ -107,10 +113,10 @@ class Profiles:
         length = np.linalg.norm(bundles, axis=1)
         cosine = (bundles @ self.prototypes.T) / np.maximum(length, 1e-9)[:, None]
         top = cosine.argmax(axis=1)
-        known = np.bincount(doc, minlength=len(texts)) > 0
+        known = sizes > 0
         best[known] = np.array(self.languages, dtype=object)[top[known]]
         scores[known] = np.clip(cosine[np.arange(len(texts)), top], 0, 1)[known]
-        return [list(best), scores]
+        return [list(best), scores, sizes]
 
 
 def fit(training: DataFrame, text: str = "text", lang: str = "lang", dim: int = DIM) -> Profiles:
@@ -154,11 +160,14 @@ def predict(docs: DataFrame, profiles: Profiles, text: str = "text", keep: tuple
     return map_texts(docs, text, keep, "lang_pred string, score double", lambda texts: profiles.score([t or "" for t in texts]))
 
 
-def keep_known(docs: DataFrame, profiles: Profiles, least: float, text: str = "text") -> DataFrame:
-    """The rows of docs, with all their columns, whose text has a language and a cosine of `least` or more."""
+def keep_known(docs: DataFrame, profiles: Profiles, least: float, half: float, text: str = "text") -> DataFrame:
+    """The rows of docs, with all their columns, whose text has a language and a cosine that is large enough.
+
+    A text of n trigrams needs `least` * n / (n + half) or more: a short text is little like its language.
+    """
 
     def known(texts: list) -> np.ndarray:
-        best, scores = profiles.score([t or "" for t in texts])
-        return (np.array(best, dtype=object) != UND) & (scores >= least)
+        best, scores, sizes = profiles.measure([t or "" for t in texts])
+        return (np.array(best, dtype=object) != UND) & (scores >= least * sizes / (sizes + half))
 
     return filter_texts(docs, text, known)

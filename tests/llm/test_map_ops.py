@@ -46,6 +46,20 @@ def test_language_id_edges(spark):
     assert {r["lang_pred"] for r in language_id.predict(docs, none).collect()} == {"und"}
 
 
+def test_long_texts_of_unseen_languages_go(spark):
+    import corpus_pipeline
+
+    rng = random.Random(6)
+    scripts = [(0x430, 0x44F), (0x3B1, 0x3C9), (0x5D0, 0x5EA), (0x4E00, 0x9FA5), (97, 122)]
+    unseen = [" ".join("".join(chr(rng.randint(*s)) for _ in range(rng.randint(2, 8))) for _ in range(n)) for s in scripts for n in (150, 1000)]
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    known = [r["text"] for r in docs.filter("length(text) > 500").limit(20).collect()]
+    rows = [(-1 - k, t) for k, t in enumerate(unseen)] + [(-1000 - k, t) for k, t in enumerate(known)]
+    frame = docs.unionByName(spark.createDataFrame(rows, "doc_id long, text string"), allowMissingColumns=True)
+    kept = {r["doc_id"] for r in corpus_pipeline.identify_language(spark, frame, SF).filter("doc_id < 0").collect()}
+    assert kept == {-1000 - k for k in range(len(known))}
+
+
 def test_language_id_is_the_bundle_by_hand():
     texts = ["abc ab", "zzz"]
     letters = language_id.letter_vectors(64)
