@@ -113,6 +113,14 @@ def text_slices(batches: Iterator[pa.RecordBatch], most: int = MOST) -> Iterator
             yield piece, piece.column(piece.num_columns - 1).to_pylist()
 
 
+def fresh(name: str, taken: Sequence[str]) -> str:
+    """The name, with underscores in front until no taken one equals it, whatever the case."""
+    low = {t.lower() for t in taken}
+    while name.lower() in low:
+        name = "_" + name
+    return name
+
+
 def map_texts(df: DataFrame, text: str, keep: Sequence[str], fields: str, compute: Callable[[list], Sequence]) -> DataFrame:
     """The columns in `keep`, untouched, and `fields`: compute(values of the text column) gives a sequence for each.
 
@@ -132,7 +140,7 @@ def map_texts(df: DataFrame, text: str, keep: Sequence[str], fields: str, comput
             yield pa.RecordBatch.from_arrays([*kept, *[pa.array(v, type=t) for v, t in zip(got, types, strict=True)]], names=names)
 
     schema = StructType([*df.select(*keep).schema.fields, *added.fields])
-    return df.select(*keep, F.col(text).alias("__text")).mapInArrow(run, schema)
+    return df.select(*keep, F.col(text).alias(fresh("__text", keep))).mapInArrow(run, schema)
 
 
 def filter_texts(df: DataFrame, text: str, wanted: Callable[[list], Sequence[bool]]) -> DataFrame:
@@ -144,4 +152,4 @@ def filter_texts(df: DataFrame, text: str, wanted: Callable[[list], Sequence[boo
             kept = batch.filter(mask)
             yield pa.RecordBatch.from_arrays(kept.columns[:-1], names=batch.schema.names[:-1])
 
-    return df.select(*df.columns, F.col(text).alias("__text")).mapInArrow(run, df.schema)
+    return df.select(*df.columns, F.col(text).alias(fresh("__text", df.columns))).mapInArrow(run, df.schema)

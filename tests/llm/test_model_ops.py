@@ -15,12 +15,15 @@ from lineshed.llm.queries import QUERIES, URL_RULES  # noqa: E402
 SF = "/root/testdata/sf0.001"
 
 
-def brute_kneser_ney(texts, order=4):
-    """log2-free reference: interpolated modified Kneser-Ney from dictionaries."""
-    cls = quality_lm.symbol_classes()
+def brute_kneser_ney(texts, order=quality_lm.ORDER):
+    """Interpolated modified Kneser-Ney over bytes, from dictionaries."""
+
+    def symbols(t):
+        return [0] * (order - 1) + list(t.encode())
+
     counts = [Counter() for _ in range(order + 1)]
     for t in texts:
-        s = [1] * (order - 1) + [int(cls[ord(c)]) for c in t]
+        s = symbols(t)
         for k in range(order - 1, len(s)):
             counts[order][tuple(s[k - order + 1 : k + 1])] += 1
     for n in range(order - 1, 0, -1):
@@ -39,7 +42,7 @@ def brute_kneser_ney(texts, order=4):
 
     def p(g):
         n = len(g)
-        lower = 1 / 64 if n == 1 else p(g[1:])
+        lower = 1 / 256 if n == 1 else p(g[1:])
         if (n, g[:-1]) not in total:
             return lower
         c = counts[n].get(g, 0)
@@ -47,24 +50,26 @@ def brute_kneser_ney(texts, order=4):
         return own + off[n, g[:-1]] / total[n, g[:-1]] * lower
 
     def perplexity(t):
-        s = [1] * (order - 1) + [int(cls[ord(c)]) for c in t]
+        s = symbols(t)
         return math.exp(-sum(math.log(p(tuple(s[k - order + 1 : k + 1]))) for k in range(order - 1, len(s))) / len(t)) if t else None
 
     return perplexity
 
 
-def test_quality_model_is_kneser_ney(spark):
+def test_quality_model_is_kneser_ney(spark, monkeypatch):
+    monkeypatch.setattr(quality_lm, "SHARD", 1000)  # several shards, each dealt to several tasks
+    monkeypatch.setattr(quality_lm, "BLOCK_TASK", 10_000)
     rng = random.Random(1)
     texts = ["".join(rng.choices("abcdé. ,\nXY7!", weights=[9, 5, 4, 3, 2, 2, 8, 1, 1, 1, 1, 1, 1], k=rng.randint(1, 400))) for _ in range(30)]
     model = quality_lm.fit(spark.createDataFrame([(t,) for t in texts], "text string"))
     want = brute_kneser_ney(texts)
-    probe = texts[:5] + ["zzz???", "aXb", "", None, "日本 \U0001f600"]
-    frame = spark.createDataFrame(list(enumerate(probe)), "doc_id long, text string")
-    for r in quality_lm.perplexity(frame, model, keep=("doc_id",)).collect():
-        exact = want(probe[r["doc_id"]] or "")
-        assert r["perplexity"] == (pytest.approx(exact, rel=1e-4) if exact else None)
-    table = np.exp(model.log_table().astype(np.float64)).reshape(-1, 64)
-    assert np.allclose(table.sum(axis=1), 1, atol=1e-3)
+    probe = texts[:5] + texts[:1] + ["zzz???", "aXb", "", None, "日本 \U0001f600", "a\0b", "ab" * 30_000]
+    frame = spark.createDataFrame(list(enumerate(probe)), "doc_id long, text string").repartition(3)
+    rows = {r["doc_id"]: r for r in quality_lm.perplexity(frame, model, keep=("doc_id",)).collect()}
+    assert len(rows) == len(probe) and rows[0]["perplexity"] == rows[5]["perplexity"]
+    for k, r in rows.items():
+        exact = want(probe[k] or "")
+        assert r["perplexity"] == (pytest.approx(exact, rel=1e-9) if exact else None) and r["chars"] == len(probe[k] or "")
 
 
 def test_quality_query(spark):
