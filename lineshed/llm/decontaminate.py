@@ -2,21 +2,23 @@
 
 Words are lower-cased and parted by white space and ASCII punctuation. For every benchmark item of L
 words, the windows of L words of a document are compared with it: 64-bit SimHash fingerprints of the
-words, in `RADIUS` + 1 blocks of bits. Two fingerprints within the radius agree in one block at least,
-so the index by (length, block, bits) finds all of them. A text shorter than an item is one window,
-compared with every item of that length whatever the distance. Found pairs are verified exactly: weighted
-Jaccard similarity of the word five-shingles, each weighing the letters of its words, of `THRESHOLD`
-or more.
+words, in `BLOCKS` blocks of 16 bits. Two fingerprints within `RADIUS` differ in at most `PER_BLOCK` bits
+in one block at least, so looking up all values that near in each block, by length, finds all of them, and
+some 4 % of the unlike ones. A text shorter than an item is one window, compared with every item of that
+length whatever the distance. Found pairs are verified exactly: weighted Jaccard similarity of the word
+five-shingles, each weighing the letters of its words, of `THRESHOLD` or more.
 
 Only windows that hold enough benchmark shingles to reach the threshold with some item of their
 length get a fingerprint; the bound is exact, so none that could be verified is passed over.
 
-The benchmark is read in parts of at most `ITEMS_PER_PASS` items, one pass over the documents each,
-so what a task holds is bounded whatever the benchmark's size.
+The benchmark is read in parts of about `PART_BYTES` of text, so what a task holds is bounded whatever
+the benchmark's size; all parts are searched in the same pass when documents are cleaned.
 
 Edge cases: null, empty or word-less texts and items match nothing; an item of fewer than five words
 has one shingle of all its words; items with equal words each match; of several windows the most
-similar counts, then the first; rows with null ids are judged like others.
+similar counts, then the first; rows with null ids are judged like others; repeated rows are each judged;
+very long texts are read whole; an empty benchmark or table matches nothing; further columns, of any name,
+pass through `clean` untouched.
 """
 
 from __future__ import annotations
@@ -24,6 +26,7 @@ from __future__ import annotations
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
+from itertools import combinations
 
 import numpy as np
 from pyspark.sql import DataFrame
@@ -33,10 +36,12 @@ from lineshed.llm.textops import filter_texts, hashed_words, map_texts, shingle_
 
 SIZE = 5
 THRESHOLD = 0.8
-RADIUS = 16
-ITEMS_PER_PASS = 20_000
-_BLOCKS = [(64 * b // (RADIUS + 1), 64 * (b + 1) // (RADIUS + 1)) for b in range(RADIUS + 1)]
+BLOCKS, PER_BLOCK = 4, 3
+RADIUS = BLOCKS * (PER_BLOCK + 1) - 1
+PART_BYTES = 4 << 20
 U = np.uint64
+#: All 16-bit patterns of at most PER_BLOCK bits.
+NEAR = np.array([sum(1 << k for k in bits) for n in range(PER_BLOCK + 1) for bits in combinations(range(16), n)], dtype=np.int64)
 
 
 def bit_signs(words: np.ndarray) -> np.ndarray:
@@ -54,7 +59,7 @@ def fingerprints(words: np.ndarray, starts: np.ndarray, length: int) -> np.ndarr
 
 
 def block_values(fingerprint: int) -> list[int]:
-    return [fingerprint >> low & (1 << high - low) - 1 for low, high in _BLOCKS]
+    return [fingerprint >> 16 * b & 0xFFFF for b in range(BLOCKS)]
 
 
 def weights(lengths: np.ndarray, size: int) -> np.ndarray:
@@ -83,7 +88,7 @@ class ItemIndex:
 
     threshold: float = THRESHOLD
     items: list[tuple] = field(default_factory=list)  # id, length, fingerprint, shingle weights
-    blocks: dict[tuple[int, int, int], list[int]] = field(default_factory=dict)
+    blocks: dict[int, list[tuple[np.ndarray, np.ndarray]]] = field(default_factory=dict)  # by length and block: values, rising, and items
     least: dict[int, int] = field(default_factory=dict)  # by length: the fewest shared shingles of a match
     shingles: dict[int, np.ndarray] = field(default_factory=dict)  # by shingle size, rising
     by_length: dict[int, list[int]] = field(default_factory=dict)
@@ -95,8 +100,6 @@ class ItemIndex:
             return
         own = shingle_weights(words, lengths)
         print_ = int(fingerprints(words, np.zeros(1, dtype=np.int64), n)[0])
-        for b, value in enumerate(block_values(print_)):
-            self.blocks.setdefault((n, b, value), []).append(len(self.items))
         self.by_length.setdefault(n, []).append(len(self.items))
         self.items.append((item_id, n, print_, own))
         fewest = max(1, int(np.ceil(self.threshold * sum(own.values()) / max(own.values()) - 1e-9)))
@@ -107,8 +110,22 @@ class ItemIndex:
         for _, n, _, own in self.items:
             by_size.setdefault(min(n, SIZE), set()).update(own)
         self.shingles = {k: np.array(sorted(v), dtype=U) for k, v in by_size.items()}
+        for n, members in self.by_length.items():
+            at = np.array(members)
+            values = np.array([block_values(self.items[k][2]) for k in members])
+            order = np.argsort(values, axis=0, kind="stable")
+            self.blocks[n] = [(values[order[:, b], b], at[order[:, b]]) for b in range(BLOCKS)]
         return self
 
+    def near(self, fingerprint: int, n: int) -> np.ndarray:
+        """Items of n words of which a block differs in at most PER_BLOCK bits."""
+        found = []
+        for value, (values, items) in zip(block_values(fingerprint), self.blocks[n]):
+            wanted = value ^ NEAR
+            low, high = np.searchsorted(values, wanted), np.searchsorted(values, wanted, side="right")
+            found += [items[i:j] for i, j in zip(low[low < high].tolist(), high[low < high].tolist())]
+        return np.unique(np.concatenate(found)) if found else np.zeros(0, np.int64)
+
     def matches(self, text: str | None) -> list[tuple]:
         """(item_id, start word, words, similarity, Hamming distance) for every item that the text holds."""
         if not self.items or not text:
@@ -143,9 +160,8 @@ class ItemIndex:
     def _compare(self, words: np.ndarray, lengths: np.ndarray, n: int, starts: np.ndarray, best: dict[int, tuple]) -> None:
         low, high = int(starts[0]), int(starts[-1]) + n
         for start, found in zip(starts.tolist(), fingerprints(words[low:high], starts - low, n).tolist()):
-            near = {k for b, value in enumerate(block_values(found)) for k in self.blocks.get((n, b, value), ())}
             own = None
-            for k in near:
+            for k in self.near(found, n).tolist():
                 distance = (self.items[k][2] ^ found).bit_count()
                 if distance > RADIUS:
                     continue
@@ -166,13 +182,14 @@ class ItemIndex:
                 best[k] = (sim, 0, len(words), (self.items[k][2] ^ found).bit_count())
 
 
-def item_parts(benchmark: DataFrame, item: str, text: str, threshold: float, per_pass: int = ITEMS_PER_PASS) -> Iterator[ItemIndex]:
-    """Indexes of parts of the benchmark, each of about `per_pass` items."""
-    parts = max(1, -(-benchmark.count() // per_pass))
+def item_parts(benchmark: DataFrame, item: str, text: str, threshold: float, part_bytes: int = PART_BYTES) -> Iterator[ItemIndex]:
+    """Indexes of parts of the benchmark, each of about `part_bytes` of text."""
+    rows = benchmark.select(F.col(item).alias("i"), F.col(text).alias("t"))
+    parts = max(1, -(-(rows.agg(F.sum(F.octet_length("t"))).first()[0] or 0) // part_bytes))
     for part in range(parts):
-        rows = benchmark.select(F.col(item).alias("i"), F.col(text).alias("t")).filter(F.pmod(F.xxhash64("i"), F.lit(parts)) == part)
         index = ItemIndex(threshold)
-        for r in sorted(rows.collect(), key=lambda r: (r["i"] is None, r["i"] or 0, r["t"] or "")):  # one part, of bounded size
+        own = rows.filter(F.pmod(F.xxhash64("i", "t"), F.lit(parts)) == part)
+        for r in sorted(own.collect(), key=lambda r: (r["i"] is None, r["i"] or 0, r["t"] or "")):  # one part, of bounded size
             index.add(r["i"], r["t"])
         yield index.seal()
 

@@ -1,16 +1,18 @@
 """Language identification by hyperdimensional profiles.
 
-Every letter has a random vector of +1 and -1. A letter trigram is the elementwise product
-(binding) of its three letters' vectors, the first rotated twice, the second once. A text is the
-sum (bundle) of its trigrams' vectors; a language prototype is the bundle of all its training
+Every letter has a random vector of +1 and -1, drawn from its code point. A letter trigram is the
+elementwise product (binding) of its three letters' vectors, the first rotated twice, the second once. A
+text is the sum (bundle) of its trigrams' vectors; a language prototype is the bundle of all its training
 texts. A text gets the language whose prototype has the largest cosine with it.
 
 Trigrams with a space in the middle are left out; a word's first and last letters form trigrams
 with the space beside them. Letters are compared in lower case; what is no letter counts as space.
 
-Edge cases: a null text, or one without letters, gives `und` with score 0; without training rows
-every text gives `und`; a tie goes to the alphabetically first language; null languages train
-nothing; equal texts give equal rows.
+Edge cases: a null text, or one without letters, gives `und` with score 0; without training rows, as for an
+empty table, every text gives `und`; a tie goes to the alphabetically first language; null languages train
+nothing; equal texts give equal rows, in whatever batch they are: bundles and their products with the
+prototypes, which are kept as whole numbers, are sums of whole numbers that a double holds exactly; very
+long texts are read whole; columns in `keep` pass untouched, whatever their names.
 """
 
 from __future__ import annotations
@@ -24,59 +26,80 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lineshed.llm.textops import byte_batches, filter_texts, map_texts
+from lineshed.llm.textops import byte_batches, filter_texts, map_texts, mix64
 
 DIM = 1024
-CLASSES = 64
 SEED = 20240607
+SCALE = 1 << 20  # prototypes are whole numbers of this length
+MOST_CELLS = 1 << 22
+MOST_BOUND = 16_384
 UND = "und"
+U = np.uint64
 _letters: np.ndarray | None = None
 
 
-def letter_classes() -> np.ndarray:
-    """Class of each code point: 0 for no letter, 1 to 26 for a to z, 27 to 63 for any other letter."""
+def letter_points() -> np.ndarray:
+    """Whether each code point is a letter."""
     global _letters
     if _letters is None:
-        table = np.zeros(0x110000, dtype=np.uint8)
-        for cp in range(0x110000):
-            if unicodedata.category(chr(cp))[0] == "L":
-                table[cp] = 27 + cp % 37
-        table[ord("a") : ord("z") + 1] = np.arange(1, 27)
-        table[ord("A") : ord("Z") + 1] = np.arange(1, 27)
-        _letters = table
+        _letters = np.array([unicodedata.category(chr(cp))[0] == "L" for cp in range(0x110000)])
     return _letters
 
 
-def letter_vectors(dim: int = DIM) -> np.ndarray:
-    """Shape (3, CLASSES, dim): the letters' vectors rotated by 2, 1 and 0 places."""
-    base = np.random.default_rng(SEED).choice(np.array([-1, 1], dtype=np.int8), size=(CLASSES, dim))
-    return np.stack([np.roll(base, 2, axis=1), np.roll(base, 1, axis=1), base]).astype(np.float32)
+def letter_vectors(points: np.ndarray, dim: int = DIM) -> np.ndarray:
+    """A row of +1 and -1 for each code point; 0 stands for a space."""
+    blocks = np.arange(dim // 64, dtype=U) * U(0x9E3779B97F4A7C15)
+    words = mix64(mix64(points.astype(U)[:, None] + U(SEED)) + blocks)
+    return np.unpackbits(words.view(np.uint8).reshape(len(points), -1), axis=1).astype(np.float32) * 2 - 1
 
 
-def bind(trigrams: np.ndarray, letters: np.ndarray) -> np.ndarray:
+def bind(trigrams: np.ndarray, dim: int = DIM) -> np.ndarray:
     """The vectors of trigram codes, one a row."""
-    return letters[0][trigrams >> 12] * letters[1][(trigrams >> 6) & 63] * letters[2][trigrams & 63]
+    parts = [(trigrams >> shift) & 0x1FFFFF for shift in (42, 21, 0)]
+    points = np.unique(np.concatenate(parts))
+    vectors = letter_vectors(points, dim)
+    first, second, third = (np.searchsorted(points, p) for p in parts)
+    return np.roll(vectors, 2, axis=1)[first] * np.roll(vectors, 1, axis=1)[second] * vectors[third]
 
 
 def trigram_codes(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
-    """Trigram codes of all texts, and the number of the text that each comes from."""
+    """Trigram codes, of three code points, of all texts, and the number of the text that each comes from."""
     points = np.frombuffer(("\n" + "\n".join(t.replace("\n", " ").lower() for t in texts) + "\n").encode("utf-32-le", "surrogatepass"), dtype=np.uint32)
-    kind = letter_classes()[points]
+    letter = letter_points()[points]
     doc = np.cumsum(points == 10, dtype=np.int64) - 1
-    keep = kind > 0
+    keep = letter.copy()
     keep[0] = True
-    keep[1:] |= kind[:-1] > 0  # of a run of spaces the first stays
-    kind, doc = kind[keep].astype(np.int64), doc[keep]
+    keep[1:] |= letter[:-1]  # of a run of spaces the first stays
+    kind, doc = np.where(letter, points, 0)[keep].astype(np.int64), doc[keep]
     if len(kind) < 3:
         return np.zeros(0, dtype=np.int64), np.zeros(0, dtype=np.int64)
     middle = kind[1:-1] > 0
-    code = (kind[:-2] << 12) | (kind[1:-1] << 6) | kind[2:]
+    code = (kind[:-2] << 42) | (kind[1:-1] << 21) | kind[2:]
     return code[middle], doc[1:-1][middle]
 
 
+def distinct(codes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The distinct codes, rising, and the place of each code among them."""
+    parts = [(codes >> shift) & 0x1FFFFF for shift in (42, 21, 0)]
+    known = np.zeros(0x110000, dtype=bool)
+    for p in parts:
+        known[p] = True
+    points = np.flatnonzero(known)
+    n = len(points)
+    if n**3 > MOST_CELLS:
+        return np.unique(codes, return_inverse=True)
+    place = np.zeros(0x110000, dtype=np.int32)
+    place[points] = np.arange(n)
+    cell = (place[parts[0]] * n + place[parts[1]]) * n + place[parts[2]]
+    used = np.flatnonzero(np.bincount(cell, minlength=n**3))
+    column = np.zeros(n**3, dtype=np.int32)
+    column[used] = np.arange(len(used))
+    return (points[used // (n * n)] << 42) | (points[used // n % n] << 21) | points[used % n], column[cell]
+
+
 @dataclass
 class Profiles:
-    """Language names in alphabetical order and their prototypes, one a row, of length 1."""
+    """Language names in alphabetical order and their prototypes, one a row, whole numbers of length SCALE or so."""
 
     languages: list[str]
     prototypes: np.ndarray
@@ -92,26 +115,28 @@ class Profiles:
         sizes = np.zeros(len(texts), dtype=np.int64)
         if not self.languages:
             return [list(best), scores, sizes]
-        letters = letter_vectors(self.prototypes.shape[1])
         code, doc = trigram_codes(texts)
-        used = np.flatnonzero(np.bincount(code, minlength=CLASSES**3))
-        if not len(used):
+        if not len(code):
             return [list(best), scores, sizes]
+        dim = self.prototypes.shape[1]
         sizes = np.bincount(doc, minlength=len(texts))
-        column = np.zeros(CLASSES**3, dtype=np.int64)
-        column[used] = np.arange(len(used))
-        column = column[code]
+        exact = np.float32 if sizes.max() < 1 << 24 else np.float64  # sums of so many are exact
+        used, column = distinct(code)
         step = max(1, 2_000_000 // len(used))
         first = np.searchsorted(doc, np.arange(0, len(texts) + step, step))
-        bundles = np.zeros((len(texts), self.prototypes.shape[1]), dtype=np.float32)
-        vectors = bind(used, letters)
-        for k, start in enumerate(range(0, len(texts), step)):
-            rows = min(step, len(texts) - start)
-            cell = (doc[first[k] : first[k + 1]] - start) * len(used) + column[first[k] : first[k + 1]]
-            counts = np.bincount(cell, minlength=rows * len(used)).reshape(rows, len(used)).astype(np.float32)
-            bundles[start : start + rows] = counts @ vectors
-        length = np.linalg.norm(bundles, axis=1)
-        cosine = (bundles @ self.prototypes.T) / np.maximum(length, 1e-9)[:, None]
+        bundles = np.zeros((len(texts), dim), dtype=np.float64)
+        for low in range(0, len(used), MOST_BOUND):  # the trigrams' vectors, a part at a time
+            part = bind(used[low : low + MOST_BOUND], dim).astype(exact, copy=False)
+            inside = slice(None) if len(used) <= MOST_BOUND else (column >= low) & (column < low + MOST_BOUND)
+            for k, start in enumerate(range(0, len(texts), step)):
+                rows = min(step, len(texts) - start)
+                here = slice(first[k], first[k + 1])
+                cell = (doc[here] - start) * len(part) + column[here] - low
+                cell = cell if len(used) <= MOST_BOUND else cell[inside[here]]
+                counts = np.bincount(cell, minlength=rows * len(part)).reshape(rows, len(part)).astype(exact)
+                bundles[start : start + rows] += counts @ part
+        length = np.sqrt(np.array([row @ row for row in bundles]) * np.einsum("ij,ij->i", self.prototypes, self.prototypes)[:, None]).T
+        cosine = (bundles @ self.prototypes.T) / np.maximum(length, 1e-9)
         top = cosine.argmax(axis=1)
         known = sizes > 0
         best[known] = np.array(self.languages, dtype=object)[top[known]]
@@ -123,19 +148,16 @@ def fit(training: DataFrame, text: str = "text", lang: str = "lang", dim: int =
     """Bundles every training text. Each task bundles its own rows and sends one vector a language."""
 
     def partial(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        counts: dict[str, np.ndarray] = {}
+        totals: dict[str, np.ndarray] = {}
         for pdf in byte_batches(frames, "t"):
             for name, rows in pdf.groupby("l"):
                 code, _ = trigram_codes(list(rows["t"]))
-                held = counts.setdefault(name, np.zeros(CLASSES**3, dtype=np.int64))
-                held += np.bincount(code, minlength=CLASSES**3)
-        letters = letter_vectors(dim)
-        for name, held in counts.items():
-            used = np.flatnonzero(held)
-            total = np.zeros(dim)
-            for k in range(0, len(used), 4096):
-                part = used[k : k + 4096]
-                total += held[part].astype(np.float64) @ bind(part, letters)
+                used, column = distinct(code)
+                often = np.bincount(column, minlength=len(used)).astype(np.float64)
+                total = totals.setdefault(name, np.zeros(dim))
+                for k in range(0, len(used), 4096):
+                    total += often[k : k + 4096] @ bind(used[k : k + 4096], dim).astype(np.float64)
+        for name, total in totals.items():
             yield pd.DataFrame({"l": name, "k": np.arange(dim), "v": np.rint(total).astype(np.int64)})
 
     rows = (
@@ -152,7 +174,7 @@ def fit(training: DataFrame, text: str = "text", lang: str = "lang", dim: int =
     for r in rows:
         table[place[r["l"]], r["k"]] = r["v"]
     norm = np.linalg.norm(table, axis=1, keepdims=True)
-    return Profiles(names, (table / np.maximum(norm, 1e-9)).astype(np.float32))
+    return Profiles(names, np.rint(table / np.maximum(norm, 1e-9) * SCALE))
 
 
 def predict(docs: DataFrame, profiles: Profiles, text: str = "text", keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:

@@ -5,12 +5,14 @@ and one private elementary stream of access units of `UNIT` bytes. Each unit is
 presentation time stamp; every `KEY_EVERY`-th unit starts at a random-access point with a clock
 reference. `probe` reads such bytes back: it takes the programme tables (sections with a wrong CRC
 don't count), checks every PID's continuity counter, reassembles the elementary packets and lists
-time stamps and random-access points.
+time stamps, clock references and random-access points.
 
 Edge cases: a null payload counts as empty; a payload is filled with bytes 0 to a positive multiple
 of `ALIGN`; a duplicate packet (equal counter) is dropped as the standard says; after a gap in the
 counter the unit at hand is marked as broken and left out of the payload; bytes that don't start with
-a sync byte are skipped up to the next one; equal payloads give equal streams.
+a sync byte are skipped up to the next one; equal payloads give equal streams, repeated or not, so there are
+no ties; a very long text is one stream like any other; an empty table gives no rows; columns in `keep` and
+those beside the media column pass untouched.
 """
 
 from __future__ import annotations
@@ -123,6 +125,7 @@ class Probe:
     programs: dict[int, dict[int, int]] = field(default_factory=dict)
     gaps: int = 0
     duplicates: int = 0
+    clock: list[int] = field(default_factory=list)  # references, in ticks of 27 MHz
     units: list[Unit] = field(default_factory=list)
 
     @property
@@ -135,18 +138,42 @@ class Probe:
         stamps = [u.pts for u in self.units if u.pts is not None]
         return (
             f"ts packets={self.packets} programs={len(self.programs)} streams={streams} gaps={self.gaps} duplicates={self.duplicates} units={len(self.units)} "
-            f"access_points={sum(u.key for u in self.units)} first_pts={min(stamps, default=-1)} last_pts={max(stamps, default=-1)}"
+            f"access_points={sum(u.key for u in self.units)} first_pts={min(stamps, default=-1)} last_pts={max(stamps, default=-1)} "
+            f"clock_references={len(self.clock)} last_clock={max(self.clock, default=-1)}"
         )
 
 
-def _read_section(data: bytes) -> bytes | None:
-    """The section that a packet's payload starts, if it is whole and its CRC is right."""
-    if not data or len(data) < 1 + data[0] + 3:
-        return None
-    at = 1 + data[0]
-    size = 3 + ((data[at + 1] & 0x0F) << 8 | data[at + 2])
-    section = data[at : at + size]
-    return section if len(section) == size and size >= 12 and crc32_mpeg(section) == 0 else None
+class _Sections:
+    """The sections of one PID, put together from packets."""
+
+    def __init__(self) -> None:
+        self.pending: bytes | None = None  # None: waiting for a packet in which a section starts
+
+    def feed(self, data: bytes, starts: bool) -> list[bytes]:
+        """The sections that end in this packet and whose CRC is right."""
+        out: list[bytes] = []
+        if starts:
+            if not data:
+                return out
+            if self.pending is not None:
+                self.pending += data[1 : 1 + data[0]]
+                self._take(out)
+            self.pending = data[1 + data[0] :]
+        elif self.pending is not None:
+            self.pending += data
+        self._take(out)
+        return out
+
+    def _take(self, out: list[bytes]) -> None:
+        while self.pending is not None and len(self.pending) >= 3 and self.pending[0] != 0xFF:
+            size = 3 + ((self.pending[1] & 0x0F) << 8 | self.pending[2])
+            if len(self.pending) < size:
+                return
+            section, self.pending = self.pending[:size], self.pending[size:]
+            if size >= 12 and crc32_mpeg(section) == 0:
+                out.append(section)
+        if self.pending and self.pending[0] == 0xFF:  # filling up to the packet's end
+            self.pending = None
 
 
 def _finish(unit: list, into: Probe) -> None:
@@ -165,6 +192,21 @@ def _finish(unit: list, into: Probe) -> None:
     into.units.append(Unit(packet, pid, pts, key, data[head:end], broken or len(data) < end))
 
 
+def _tables(section: bytes, pid: int, maps: dict[int, int], kinds: dict[int, int], found: Probe) -> None:
+    """Takes over what a programme association or map section says."""
+    if pid == 0 and section[0] == 0:
+        for k in range(8, len(section) - 4, 4):
+            if number := section[k] << 8 | section[k + 1]:
+                maps[(section[k + 2] & 0x1F) << 8 | section[k + 3]] = number
+    elif pid in maps and section[0] == 2:
+        k = 12 + ((section[10] & 0x0F) << 8 | section[11])
+        streams = found.programs.setdefault(maps[pid], {})
+        while k + 5 <= len(section) - 4:
+            own = (section[k + 1] & 0x1F) << 8 | section[k + 2]
+            streams[own] = kinds[own] = section[k]
+            k += 5 + ((section[k + 3] & 0x0F) << 8 | section[k + 4])
+
+
 def demux(stream: bytes) -> Probe:
     """Reads a transport stream."""
     found = Probe()
@@ -172,6 +214,7 @@ def demux(stream: bytes) -> Probe:
     kinds: dict[int, int] = {}
     counters: dict[int, int] = {}
     open_units: dict[int, list] = {}
+    sections: dict[int, _Sections] = {}
     at = 0
     while at + PACKET <= len(stream):
         if stream[at] != SYNC:
@@ -189,6 +232,9 @@ def demux(stream: bytes) -> Probe:
         if b3 & 0x20:
             if stream[body]:
                 flags = stream[body + 1]
+            if flags & 0x10 and stream[body] >= 7:
+                clock = int.from_bytes(stream[body + 2 : body + 8], "big")
+                found.clock.append((clock >> 15) * 300 + (clock & 0x1FF))
             body += 1 + stream[body]
         if not b3 & 0x10:
             continue
@@ -200,21 +246,12 @@ def demux(stream: bytes) -> Probe:
                 continue
             if now != (last + 1) & 15:
                 found.gaps += 1
+                sections.pop(pid, None)
                 if pid in open_units:
                     open_units[pid][4] = True
         if pid == 0 or pid in maps:
-            section = _read_section(stream[body:end]) if b1 & 0x40 else None
-            if section and pid == 0 and section[0] == 0:
-                for k in range(8, len(section) - 4, 4):
-                    if number := section[k] << 8 | section[k + 1]:
-                        maps[(section[k + 2] & 0x1F) << 8 | section[k + 3]] = number
-            elif section and section[0] == 2:
-                k = 12 + ((section[10] & 0x0F) << 8 | section[11])
-                streams = found.programs.setdefault(maps[pid], {})
-                while k + 5 <= len(section) - 4:
-                    own = (section[k + 1] & 0x1F) << 8 | section[k + 2]
-                    streams[own] = kinds[own] = section[k]
-                    k += 5 + ((section[k + 3] & 0x0F) << 8 | section[k + 4])
+            for section in sections.setdefault(pid, _Sections()).feed(stream[body:end], bool(b1 & 0x40)):
+                _tables(section, pid, maps, kinds, found)
         elif pid in kinds:
             if b1 & 0x40:
                 if pid in open_units:

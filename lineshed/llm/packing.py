@@ -1,13 +1,15 @@
-"""Packing token sequences: first-fit decreasing on a tournament tree, in random groups.
-
-`tokenize` cuts each document's ids into pieces of `capacity` ids and a rest. `pack` deals the pieces
-at random into groups of about `group_size` documents and, in each group on its own, puts them by
-falling length into the first sequence that has room. A tournament tree over the sequences' free room
-finds that sequence in logarithmic time. Groups share nothing, so tasks are small, equal and independent.
-
-Edge cases: a null or empty text has no ids but the end id, so one piece; equal lengths go by
-document id and start; rows with equal or null ids are packed like any other; an empty table gives
-no rows; further columns pass through `pack` untouched.
+"""Packing token sequences: first-fit decreasing on a tournament tree, in random groups of documents.
+
+`tokenize` cuts each document's ids into pieces of `capacity` ids and a rest, and numbers the documents'
+rows. `pack` deals the rows at random into groups of about `group_size` documents and, in each group on
+its own, puts the pieces by falling length into the first sequence that has room. A tournament tree over
+the sequences' free room finds that sequence in logarithmic time. Groups share nothing, so tasks are small,
+equal and independent; they are dealt by row, so that rows that share an id, or have none, spread as well.
+
+Edge cases: a null or empty text has no ids but the end id, so one piece; a very long text is cut whole;
+equal lengths go by document id, nulls first, row and start; rows with equal or null ids are packed like any
+other; an empty table gives no rows; further columns pass through `pack` untouched, of any name and type,
+but for `sequence_id` and `offset`, which are replaced.
 """
 
 from __future__ import annotations
@@ -15,16 +17,20 @@ from __future__ import annotations
 import re
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lineshed.llm.textops import map_texts
+from pyspark.sql.types import LongType, StructField, StructType
+
+from lineshed.llm.textops import fresh, map_texts
 
 CAPACITY = 4096
 GROUP_SIZE = 8192
 END_ID = 2
 CACHE = 200_000
+LONGEST_HELD = 64  # characters; a cache so holds a bounded number of bytes
 # The pattern of the word tokenizer for these characters, and the characters that its
 # vocabulary has for bytes: the visible ones of Latin-1 as they are, the others from U+0100 on.
 _PARTS = re.compile("'s|'t|'re|'ve|'m|'ll|'d|[a-z\xdf-\xf6\xf8-\xff]+|[0-9]|[^\\sa-z\xdf-\xf6\xf8-\xff0-9]+")
@@ -64,7 +70,7 @@ class WordIds(dict):
         got = self.batch.get(part)
         if got is None:
             got = np.array([t.id for t in self.merge(part.encode().decode("latin-1").translate(_VISIBLE))], dtype=self.kind).tobytes()
-            if len(self) < CACHE:
+            if len(self) < CACHE and len(part) <= LONGEST_HELD:
                 self[part] = got
             else:
                 self.batch[part] = got
@@ -77,7 +83,7 @@ class WordIds(dict):
         got = self.runs.get(run)
         if got is None:
             got = self.plain(run) if _PLAIN.fullmatch(run) and "<|" not in run else self.whole(run)
-            if len(self.runs) < CACHE:
+            if len(self.runs) < CACHE and len(run) <= LONGEST_HELD:
                 self.runs[run] = got
         return got
 
@@ -96,7 +102,7 @@ class WordIds(dict):
 
 
 def tokenize(docs: DataFrame, tokenizer_path: str, text: str = "text", key: str = "doc_id", capacity: int = CAPACITY, end_id: int = END_ID) -> DataFrame:
-    """Pieces (doc_id, start, length, doc_tokens, ids): ids as little-endian 32-bit numbers."""
+    """Pieces (doc_id, row, start, length, doc_tokens, ids): ids as little-endian 32-bit numbers, row a number of the row."""
     end = np.array([end_id], dtype="<u4").tobytes()
 
     def cut(texts: list) -> tuple:
@@ -113,8 +119,8 @@ def tokenize(docs: DataFrame, tokenizer_path: str, text: str = "text", key: str
         number, *columns = zip(*rows)
         return number, columns
 
-    named = docs.select(F.col(key).cast("long").alias("doc_id"), F.col(text).alias("text"))
-    return map_texts(named, "text", ["doc_id"], "start long, length long, doc_tokens long, ids binary", cut)
+    named = docs.select(F.col(key).cast("long").alias("doc_id"), F.monotonically_increasing_id().alias("row"), F.col(text).alias("text"))
+    return map_texts(named, "text", ["doc_id", "row"], "start long, length long, doc_tokens long, ids binary", cut)
 
 
 def first_fit_decreasing(lengths: np.ndarray, capacity: int) -> tuple[np.ndarray, np.ndarray]:
@@ -149,15 +155,18 @@ def first_fit_decreasing(lengths: np.ndarray, capacity: int) -> tuple[np.ndarray
 
 
 def pack(pieces: DataFrame, documents: int, capacity: int = CAPACITY, group_size: int = GROUP_SIZE, seed: int = 17) -> DataFrame:
-    """Adds sequence_id and offset. documents: how many there are, for the number of groups."""
+    """Adds sequence_id and offset to pieces (doc_id, row, start, length). documents: how many there are, for the number of groups."""
     groups = max(1, -(-documents // group_size))
-    own = pieces.columns
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["length", "doc_id", "start"], ascending=[False, True, True], kind="stable", na_position="first")
-        bins, offsets = first_fit_decreasing(pdf["length"].to_numpy(), capacity)
-        return pdf.assign(sequence_id=(pdf["__group"].to_numpy(dtype=np.int64) << 32) + bins, offset=offsets).drop(columns="__group")
-
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in pieces.schema) + ", sequence_id long, offset long"
-    dealt = pieces.withColumn("__group", F.pmod(F.xxhash64("doc_id", "start", F.lit(seed)), F.lit(groups)))
-    return dealt.groupBy("__group").applyInPandas(run, schema).select(*own, "sequence_id", "offset")
+    own = [c for c in pieces.columns if c.lower() not in ("sequence_id", "offset")]
+    group = fresh("__group", own)
+
+    def run(rows: pa.Table) -> pa.Table:
+        order = pc.sort_indices(rows, sort_keys=[("length", "descending"), ("doc_id", "ascending"), ("row", "ascending"), ("start", "ascending")], null_placement="at_start")
+        rows = rows.take(order)
+        bins, offsets = first_fit_decreasing(rows["length"].to_numpy(), capacity)
+        number = rows[group][0].as_py()
+        return rows.drop_columns([group]).append_column("sequence_id", pa.array((number << 32) + bins)).append_column("offset", pa.array(offsets))
+
+    dealt = pieces.select(*own, F.pmod(F.xxhash64("row", F.lit(seed)), F.lit(groups)).alias(group))
+    schema = StructType([*pieces.select(*own).schema.fields, StructField("sequence_id", LongType()), StructField("offset", LongType())])
+    return dealt.groupBy(group).applyInArrow(run, schema)

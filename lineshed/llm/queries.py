@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lineshed.llm import decontaminate, html_text, jaccard_join, language_id, license_scan, media_ts, packing, quality_lm, token_counts, url_filter
-from lineshed.session import read
+from lineshed.session import materialize, read
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 #: By brute force over all pairs that share a shingle, and their transitive closure.
@@ -77,7 +77,8 @@ def op5_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def op6_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return media_ts.probe(media_ts.store(read(spark, sf_dir, "documents"))).select(
+    stored = materialize(media_ts.store(read(spark, sf_dir, "documents")), "media")  # what is probed is what was stored
+    return media_ts.probe(stored).select(
         "doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature", "access_points"
     )
 

@@ -1,34 +1,39 @@
 """URL filtering by association rules between URL tokens and labels.
 
-A URL's tokens and its label form a transaction. FP-growth finds the token combinations that hold at
-least `SUPPORT` of the labelled URLs, and `LEAST` of them; a rule `tokens => verdict` stays if its confidence and lift reach
-their bounds and no rule of fewer of its tokens with the same verdict is as confident. The number of
-rules depends on the support and on the tokens of a URL, not on how many URLs there are. An inverted
-index lists each rule under its rarest token, so that a URL meets only rules whose rarest token it has.
-Of the fitting rules the most confident decides, then the best supported, then the shortest, then the
-first by name; without any the URL is allowed.
+A URL's tokens and its label form a transaction. Tokens that always stand together count as one, the
+shortest of them, and those in every URL or in too few are left out, as no rule of theirs could stay; so
+the mining isn't swamped by hosts that always bring their parts. FP-growth then finds the token
+combinations that hold at least `SUPPORT` of the labelled URLs, and `LEAST` of them; a rule
+`tokens => verdict` stays if its confidence and lift reach their bounds and no rule of fewer of its tokens
+with the same verdict is as confident. The number of rules depends on the support and on the tokens of a
+URL, not on how many URLs there are. An inverted index lists each rule under its rarest token, so that a URL
+meets only rules whose rarest token it has. Of the fitting rules the most confident decides, then the best
+supported, then the shortest, then the first by name; without any the URL is allowed.
 
 Given rules (host, path, verdict) come first: a rule fits its host and all subdomains if the path
-starts with the rule's; the longest wins.
+starts with the rule's; the longest wins, of equally long ones the last by name.
 
-Edge cases: a null URL or one without `://` has an empty host and path, no tokens, and is allowed;
-labels that are null, of unknown ids or repeated do no harm; without labels nothing is mined.
+Edge cases: a null URL or one without `://` has an empty host and path, no tokens,
+and is allowed unless a rule fits; very long URLs keep their whole tokens; repeated URLs have equal verdicts;
+labels that are null, of unknown ids or repeated do no harm; without labels nothing is mined; an empty table
+of pages gives no rows; other columns, whatever their names, aren't read.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator, Sequence
+from collections.abc import Iterable, Iterator, Sequence
 
 import pandas as pd
 from pyspark.ml.fpm import FPGrowth
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from lineshed.session import materialize
+
 SUPPORT = 0.005
 LEAST = 20
 CONFIDENCE = 0.6
 LIFT = 1.1
-LONGEST = 3
 VERDICTS = ("allow", "block")
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
@@ -45,7 +50,7 @@ def with_parts(pages: DataFrame, url: str = "url") -> DataFrame:
     parts = parts.withColumns({"host": host, "path": path, "__query": query})
 
     def named(prefix: str, items):
-        return F.transform(F.filter(items, lambda x: x != ""), lambda x: F.concat(F.lit(prefix), F.substring(x, 1, 64)))
+        return F.transform(F.filter(items, lambda x: x != ""), lambda x: F.concat(F.lit(prefix), x))
 
     labels = F.split("host", "[.]")
     tokens = F.concat(
@@ -59,27 +64,51 @@ def with_parts(pages: DataFrame, url: str = "url") -> DataFrame:
     return parts.withColumn("tokens", F.array_distinct(tokens)).drop("__rest", "__query")
 
 
-def mine(labelled: DataFrame, support: float = SUPPORT, confidence: float = CONFIDENCE, lift: float = LIFT, longest: int = LONGEST) -> list[tuple]:
+def condensed(labelled: DataFrame, least: float) -> DataFrame:
+    """Rows (items, verdict): of tokens that always stand together the shortest, without those in all rows or in under `least`."""
+    numbered = labelled.withColumn("__row", F.xxhash64(F.monotonically_increasing_id()))
+    found = (
+        numbered.select("__row", F.explode(F.array_distinct("tokens")).alias("t"))
+        .groupBy("t")
+        .agg(F.count("*").alias("n"), F.bit_xor("__row").alias("x"), F.sum(F.col("__row").cast("decimal(20,0)")).alias("s"))
+        .filter((F.col("n") >= least) & (F.col("n") < labelled.count()))
+    )
+    names = [r["t"] for r in found.groupBy("n", "x", "s").agg(F.min_by("t", F.struct(F.length("t"), "t")).alias("t")).collect()]  # at most (tokens of a URL) / support
+    wanted = F.array(*[F.lit(t) for t in sorted(names)]).cast("array<string>")
+    return labelled.select(F.array_intersect("tokens", wanted).alias("items"), "verdict")
+
+
+def mine(labelled: DataFrame, support: float = SUPPORT, confidence: float = CONFIDENCE, lift: float = LIFT, least: int = LEAST) -> list[tuple]:
     """Rules (tokens, verdict, confidence, support) from rows (tokens, verdict)."""
-    baskets = labelled.select(F.array_append("tokens", F.concat(F.lit("="), F.col("verdict"))).alias("items"))
-    n = baskets.count()
-    if n < LEAST:
+    labelled = materialize(labelled, "labelled")
+    n = labelled.count()
+    if n < least:
         return []
-    found = FPGrowth(itemsCol="items", minSupport=max(support, LEAST / n), minConfidence=confidence).fit(baskets).associationRules
+    support = max(support, least / n)
+    baskets = condensed(labelled, support * n).select(F.array_append("items", F.concat(F.lit("="), F.col("verdict"))).alias("items"))
+    found = FPGrowth(itemsCol="items", minSupport=support, minConfidence=confidence).fit(materialize(baskets, "baskets")).associationRules
     verdicts = [f"={v}" for v in VERDICTS]
     rows = (
-        found.filter((F.size("consequent") == 1) & F.col("consequent")[0].isin(verdicts) & (F.size("antecedent") <= longest) & (F.col("lift") >= lift))
+        found.filter((F.size("consequent") == 1) & F.col("consequent")[0].isin(verdicts) & (F.col("lift") >= lift))
         .filter(~F.exists("antecedent", lambda x: x.isin(verdicts)))
         .select(F.sort_array("antecedent").alias("tokens"), F.substring(F.col("consequent")[0], 2, 9).alias("verdict"), "confidence", "support")
         .collect()  # at most (token combinations of a URL) / support rules
     )
-    rules = sorted(((tuple(r["tokens"]), r["verdict"], r["confidence"], r["support"]) for r in rows), key=lambda r: (len(r[0]), r[0], r[1]))
-    kept: dict[tuple, tuple] = {}
-    for r in rules:
-        smaller = (tuple(t for t in r[0] if t != out) for out in r[0])
-        if not any((s, r[1]) in kept and kept[s, r[1]][2] >= r[2] for s in smaller):
-            kept[r[0], r[1]] = r
-    return list(kept.values())
+    return pruned((tuple(r["tokens"]), r["verdict"], r["confidence"], r["support"]) for r in rows)
+
+
+def pruned(rules: Iterable[tuple]) -> list[tuple]:
+    """The rules without those that have a rule of fewer of their tokens, with the same verdict and as confident."""
+    kept: dict[str, dict[frozenset, tuple]] = {}
+    holding: dict[tuple[str, str], list[frozenset]] = {}
+    for r in sorted(rules, key=lambda r: (len(r[0]), r[0], r[1])):
+        own, verdict = frozenset(r[0]), r[1]
+        smaller = {s for t in own for s in holding.get((verdict, t), ()) if s < own}
+        if not any(kept[verdict][s][2] >= r[2] for s in smaller):
+            kept.setdefault(verdict, {})[own] = r
+            for t in own:
+                holding.setdefault((verdict, t), []).append(own)
+    return [r for held in kept.values() for r in held.values()]
 
 
 def rule_index(rules: Sequence[tuple]) -> dict[str, list[tuple]]:

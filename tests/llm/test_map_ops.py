@@ -61,18 +61,32 @@ def test_long_texts_of_unseen_languages_go(spark):
 
 
 def test_language_id_is_the_bundle_by_hand():
-    texts = ["abc ab", "zzz"]
-    letters = language_id.letter_vectors(64)
-    p = language_id.Profiles(["x"], letters[2][1:2] / 8.0)
-    cls = language_id.letter_classes()
+    texts = ["abc ab", "zzz", "\u0436\u0434 a", "\u65e5\u672c"]
+
+    def vector(cp, turn):
+        return np.roll(language_id.letter_vectors(np.array([cp]), 64)[0], turn)
+
+    prototype = np.rint(vector(ord("a"), 0) * 1000)
+    p = language_id.Profiles(["x"], prototype[None])
     for text, score in zip(texts, p.score(texts)[1]):
         bundle = np.zeros(64)
         for word in text.split():
-            w = [0, *[cls[ord(c)] for c in word], 0]
+            w = [0, *map(ord, word), 0]
             for a, b, c in zip(w, w[1:], w[2:]):
-                bundle += letters[0][a] * letters[1][b] * letters[2][c]
-        cos = bundle @ (letters[2][1] / 8.0) / np.linalg.norm(bundle)
-        assert score == pytest.approx(max(0, cos), abs=1e-5)
+                bundle += vector(a, 2) * vector(b, 1) * vector(c, 0)
+        assert score == pytest.approx(max(0, bundle @ prototype / np.linalg.norm(bundle) / np.linalg.norm(prototype)), abs=1e-12)
+
+
+def test_equal_texts_score_equally_in_any_batch(monkeypatch):
+    rng = random.Random(4)
+    texts = ["".join(rng.choices("abcdefghij klmno\u0416\u0434\u65e5", k=rng.randint(1, 3000))) for _ in range(40)]
+    p = language_id.Profiles(["x", "y"], np.rint(np.random.default_rng(1).normal(size=(2, language_id.DIM)) * 1e5))
+    whole = p.measure(texts)
+    monkeypatch.setattr(language_id, "MOST_BOUND", 500)
+    monkeypatch.setattr(language_id, "MOST_CELLS", 10)
+    for k, t in enumerate(texts):
+        one = p.measure([t])
+        assert [x[0] for x in one] == [x[k] for x in whole]
 
 
 def test_tokenize_is_the_tokenizer(spark):
@@ -131,9 +145,14 @@ def test_packing_query(spark):
 
 def test_packing_edges(spark):
     docs = odd_docs(spark)
-    out = packing.pack(packing.tokenize(docs, tokenizer_path("word_bpe_49k.json")).withColumn("offset_note", packing.F.lit(1)), 11)
+    more = {"offset_note": packing.F.lit(1), "__group": packing.F.lit("g"), "Sequence_ID": packing.F.lit(5), "big": packing.F.when(packing.F.col("length") > 1, 2**60 + 1)}
+    out = packing.pack(packing.tokenize(docs, tokenizer_path("word_bpe_49k.json")).withColumns(more), 11)
     rows = out.collect()
-    assert sum(r["length"] == 1 for r in rows) >= 3 and all(r["offset_note"] == 1 for r in rows)
+    assert sum(r["length"] == 1 for r in rows) >= 3 and all(r["offset_note"] == 1 and r["__group"] == "g" for r in rows)
+    assert {r["big"] for r in rows} == {None, 2**60 + 1} and [c.lower() for c in out.columns].count("sequence_id") == 1
+    same = spark.range(3000).select(packing.F.lit(None).cast("long").alias("doc_id"), packing.F.lit("one text").alias("text"))
+    spread = packing.pack(packing.tokenize(same, tokenizer_path("word_bpe_49k.json")), 3000, group_size=150)
+    assert len({r["sequence_id"] >> 32 for r in spread.collect()}) == 20  # rows without id don't share a group
     assert packing.pack(packing.tokenize(docs.filter("false"), tokenizer_path("word_bpe_49k.json")), 0).count() == 0
 
 
@@ -183,6 +202,24 @@ def test_transport_stream_round_trip():
     assert media_ts.demux(b"").packets == 0
 
 
+def test_sections_may_span_packets_and_clocks_are_read():
+    payload = bytes(range(64)) * 2000
+    stream = media_ts.mux(payload)
+    packets = [stream[k : k + 188] for k in range(0, len(stream), 188)]
+    body = b"".join((0xE000 | 0x100 + k).to_bytes(2, "big").join([b"\x06", b"\xf0\x00"]) for k in range(60))  # 60 streams: two packets
+    section = media_ts._section(2, 1, (0xE000 | 0x100).to_bytes(2, "big") + b"\xf0\x00" + body)
+
+    def packet(data, start, counter):
+        return bytes([0x47, (0x40 if start else 0) | 0x10, 0x00, 0x10 | counter]) + data + b"\xff" * (184 - len(data))
+
+    long_map = [packet(section[:184], True, 0), packet(section[184:], False, 1)]
+    got = media_ts.demux(b"".join([packets[0], *long_map, *packets[2:]]))
+    assert got.programs == {1: {0x100 + k: 6 for k in range(60)}} and got.payload == payload
+    lost = media_ts.demux(b"".join([packets[0], long_map[0], packet(section[184:], False, 2), *packets[2:]]))
+    assert lost.programs == {} and lost.gaps == 1
+    assert got.clock == [3600 * 300 * 8 * k for k in range(len(got.clock))] and len(got.clock) == sum(u.key for u in got.units)
+
+
 def test_media_query(spark):
     docs = {r["doc_id"]: (r["text"] or "").encode() for r in spark.read.parquet(f"{SF}/documents.parquet").collect()}
     for r in QUERIES["op6_media_columns"](spark, SF).collect():

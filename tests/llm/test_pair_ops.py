@@ -118,20 +118,45 @@ def test_fingerprints_and_blocks():
         b = a
         for bit in rng.choice(64, decontaminate.RADIUS, replace=False):
             b ^= 1 << int(bit)
-        assert any(x == y for x, y in zip(decontaminate.block_values(a), decontaminate.block_values(b)))
+        near = [(x ^ y).bit_count() <= decontaminate.PER_BLOCK for x, y in zip(decontaminate.block_values(a), decontaminate.block_values(b))]
+        assert any(near) and len(near) == 4
+
+
+def test_index_finds_all_within_the_radius_and_few_others():
+    rng = np.random.default_rng(5)
+    prints = rng.integers(0, 1 << 63, 400).tolist()
+    index = decontaminate.ItemIndex()
+    index.items = [(k, 20, f, {}) for k, f in enumerate(prints)]
+    index.by_length = {20: list(range(400))}
+    index.seal()
+    met = 0
+    for f in prints[:60]:
+        for bit in rng.choice(64, rng.integers(0, 40), replace=False):
+            f ^= 1 << int(bit)
+        got = set(index.near(f, 20).tolist())
+        assert got == {k for k, g in enumerate(prints) if any((x ^ y).bit_count() <= 3 for x, y in zip(decontaminate.block_values(f), decontaminate.block_values(g)))}
+        assert {k for k, g in enumerate(prints) if (f ^ g).bit_count() <= decontaminate.RADIUS} <= got
+        met += len(got)
+    assert met / 60 / 400 < 0.08
 
 
 def brute_contamination(text, items):
-    from lineshed.llm.textops import hashed_words
+    """All windows; those that share no shingle with an item have a similarity of 0."""
+    from lineshed.llm.textops import hashed_words, shingle_hashes
 
     words, lengths = hashed_words(text, plain=True)
     out = {}
     for item, body in items:
         w, n = hashed_words(body, plain=True)
+        if not len(w) or not len(words):
+            continue
         own = decontaminate.shingle_weights(w, n)
-        sims = [decontaminate.similarity(own, decontaminate.shingle_weights(words[k : k + len(w)], lengths[k : k + len(w)])) for k in range(len(words) - len(w) + 1)] if len(w) else []
-        if sims and max(sims) >= 0.8:
-            out[item] = (sims.index(max(sims)), round(max(sims), 9))
+        size = min(len(w), len(words))
+        hits = np.flatnonzero(np.isin(shingle_hashes(words, min(len(w), decontaminate.SIZE)), np.array(list(own), dtype=np.uint64)))
+        starts = sorted({k for h in hits.tolist() for k in range(max(0, h - size), min(h, len(words) - size) + 1)})
+        sims = [(decontaminate.similarity(own, decontaminate.shingle_weights(words[k : k + size], lengths[k : k + size])), -k) for k in starts]
+        if sims and max(sims)[0] >= 0.8:
+            out[item] = (-max(sims)[1], round(max(sims)[0], 9))
     return out
 
 
@@ -141,12 +166,20 @@ def test_decontamination_is_brute_force(spark):
     got = {}
     for r in QUERIES["op8_benchmark_decontamination"](spark, SF).collect():
         got.setdefault(r["doc_id"], {})[r["item_id"]] = (r["start_word"], round(r["similarity"], 9))
-    shortest = sorted(docs.collect(), key=lambda r: (r["doc_id"] not in got, len(r["text"] or "")))
-    for r in shortest[: len(got) + 40]:
+    for r in docs.collect():
         assert got.get(r["doc_id"], {}) == brute_contamination(r["text"], items)
     assert got
 
 
+def test_benchmark_parts_and_odd_columns(spark):
+    items = spark.createDataFrame([(k, " ".join(f"w{k}x{j}" for j in range(20))) for k in range(30)] + [(3, " ".join(f"w3x{j}" for j in range(20)))], "item_id long, text string")
+    docs = spark.createDataFrame([(k, " ".join(f"w{k}x{j}" for j in range(20)), "x") for k in range(40)] + [(None, None, "y"), (5, "", "z")], "doc_id long, text string, __text string")
+    parts = list(decontaminate.item_parts(items, "item_id", "text", 0.8, 500))
+    assert len(parts) > 3 and sum(len(p.items) for p in parts) == 31
+    assert sorted((r["doc_id"] or -1, r["__text"]) for r in decontaminate.clean(docs, items).collect()) == [(-1, "y"), (5, "z"), *[(k, "x") for k in range(30, 40)]]
+    assert decontaminate.clean(docs.filter("false"), items).count() == 0
+
+
 def test_decontamination_finds_edited_passages(spark):
     rng = random.Random(4)
     vocabulary = [f"term{k}" for k in range(300)]
@@ -165,7 +198,6 @@ def test_decontamination_finds_edited_passages(spark):
     got = {}
     for r in decontaminate.find(frame, bench).collect():
         got.setdefault(r["doc_id"], set()).add(r["item_id"])
-    # the most similar window may lie beyond the radius, but not all windows of a match
     assert got == {d: set(m) for d, t in docs if (m := brute_contamination(t, items))}
     kept = {r["doc_id"] for r in decontaminate.clean(frame, bench).collect()}
     assert kept == {d for d, _ in docs} - set(got)
