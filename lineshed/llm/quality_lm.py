@@ -49,6 +49,7 @@ from lineshed.session import materialize
 ORDER = 5
 SHARD = 1 << 18
 BLOCK_TASK = 1 << 26
+BLOCK_BYTES = 6_000_000
 MOST_HELD = 1 << 20
 FILTER_BITS = 1 << 26
 QUANTILE = 0.995
@@ -109,10 +110,10 @@ def shard_of(grams: np.ndarray, shards: int) -> np.ndarray:
     return (mix64(grams.astype(U)) % U(shards)).astype(np.int64)
 
 
-def by_shard(grams: np.ndarray, shards: int) -> Iterator[tuple[int, np.ndarray]]:
-    """Each shard that has n-grams, and where they are, in order."""
+def by_shard(grams: np.ndarray, shards: int, often: np.ndarray | None = None) -> Iterator[tuple[int, np.ndarray]]:
+    """Each shard that has n-grams, and where they are, in order; with `often`, those of like frequency together, as they pack better."""
     shard = shard_of(grams, shards)
-    order = np.argsort(shard, kind="stable")
+    order = np.argsort(shard if often is None else shard << 6 | np.log2(often).astype(np.int64), kind="stable")
     ends = np.cumsum(np.bincount(shard, minlength=shards))
     for s, end in enumerate(ends.tolist()):
         start = int(ends[s - 1]) if s else 0
@@ -277,11 +278,31 @@ def _requests(payloads: list[bytes], shards: int) -> Iterator[tuple[int, bytes]]
     gap = np.diff(holder, prepend=0)
     gap[start] = holder[start]
     key = key[start]
-    for s, at in by_shard(key, shards):
+    for s, at in by_shard(key, shards, holders):
         rows = np.repeat(start[at] - np.cumsum(holders[at]) + holders[at], holders[at]) + np.arange(int(holders[at].sum()))
         yield s, squeeze(steps(key[at]), holders[at].astype(np.uint32), gap[rows].astype(np.uint32), often[rows].astype(np.uint32))
 
 
+def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.RecordBatch, list]]:
+    """Batches put together, or cut, to about `BLOCK_BYTES` of text, one row at least, and their texts."""
+    held: list[tuple[pa.RecordBatch, list]] = []
+    size = 0
+
+    def whole() -> tuple[pa.RecordBatch, list]:
+        table = pa.Table.from_batches([b for b, _ in held]).combine_chunks()
+        return table.to_batches()[0], [t for _, texts in held for t in texts]
+
+    for batch, texts in text_slices(batches, BLOCK_BYTES):
+        own = batch.column(batch.num_columns - 1).nbytes
+        if held and size + own > BLOCK_BYTES:
+            yield whole()
+            held, size = [], 0
+        held.append((batch, texts))
+        size += own
+    if held:
+        yield whole()
+
+
 def _sums(request: bytes, grams: np.ndarray, logp: np.ndarray, texts: int) -> np.ndarray:
     """For each text of a block the sum over a shard's n-grams of their logarithms."""
     delta, holders, gap, often = unsqueeze(request)
@@ -305,7 +326,7 @@ def perplexity(docs: DataFrame, model: Model, text: str = "text", keep: tuple[st
 
     def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         task = TaskContext.get().partitionId()
-        for number, (batch, found) in enumerate(text_slices(batches)):
+        for number, (batch, found) in enumerate(_blocks(batches)):
             block = task << 32 | number
             sizes = pa.array([len(t or "") for t in found], pa.int64())
             head = pa.RecordBatch.from_arrays([*batch.columns[:-1], sizes], names=[str(k) for k in range(batch.num_columns)])
@@ -320,31 +341,29 @@ def perplexity(docs: DataFrame, model: Model, text: str = "text", keep: tuple[st
 
     def offer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            shard = shard_of(batch.column(0).to_numpy(), shards)
+            g, logp = batch.column(0).to_numpy().astype(U), batch.column(1).to_numpy().astype(np.float32)
+            order = np.argsort(g)
+            rows = [(s, squeeze(steps(g[order[at]]), logp[order[at]].view(np.uint32))) for s, at in by_shard(g[order], shards)]
             for deal in range(deals):
-                yield pa.RecordBatch.from_arrays([pa.array(shard * deals + deal, pa.int32()), *batch.columns], names=["task", "g", "logp"])
+                yield pa.RecordBatch.from_arrays([pa.array([s * deals + deal for s, _ in rows], pa.int32()), pa.array([z for _, z in rows], pa.binary())], names=["task", "z"])
 
     def join(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         task, parts, table = None, [], None
         for batch in batches:
-            tasks, offers = batch.column(0).to_numpy(), batch.column(6).is_valid().to_numpy(zero_copy_only=False)
-            edges = (np.flatnonzero((np.diff(tasks) != 0) | (np.diff(offers.astype(np.int8)) != 0)) + 1).tolist()
-            for start, end in zip([0, *edges], [*edges, batch.num_rows]):
-                rows = batch.slice(start, end - start)
-                if tasks[start] != task:
-                    task, parts, table = tasks[start], [], None
-                if offers[start]:
-                    parts.append((rows.column(6).to_numpy(), rows.column(7).to_numpy()))
+            for k, (own, kind, block, shard, n) in enumerate(zip(*[batch.column(c).to_pylist() for c in (0, 1, 2, 3, 5)])):
+                z = batch.column(4)[k].as_py()
+                if own != task:
+                    task, parts, table = own, [], None
+                if kind == 0:
+                    delta, logp = unsqueeze(z)
+                    parts.append((np.cumsum(delta, dtype=U), logp.view(np.float32)))
                     continue
                 if table is None:
-                    g, logp = (np.concatenate(p) for p in zip(*parts)) if parts else (np.zeros(0, np.int64), np.zeros(0))
+                    g, logp = (np.concatenate(p) for p in zip(*parts)) if parts else (np.zeros(0, U), np.zeros(0))
                     order = np.argsort(g)
-                    table = g[order].astype(U), logp[order]
-                shard, texts = rows.column(3).to_pylist(), rows.column(5).to_pylist()
-                for k, (s, n) in enumerate(zip(shard, texts)):
-                    z = rows.column(4)[k].as_py()
-                    sums = z if s < 0 else _sums(z, *table, n).tobytes()
-                    yield pa.RecordBatch.from_arrays([rows.column(2).slice(k, 1), rows.column(3).slice(k, 1), pa.array([sums], pa.binary())], names=["block", "shard", "z"])
+                    table, parts = (g[order], logp[order].astype(np.float64)), []
+                sums = z if shard < 0 else _sums(z, *table, n).tobytes()
+                yield pa.RecordBatch.from_arrays([pa.array([block], pa.int64()), pa.array([shard], pa.int32()), pa.array([sums], pa.binary())], names=["block", "shard", "z"])
 
     def finish(rows: pa.Table) -> pa.Table:
         rows = sorted(zip(rows["shard"].to_pylist(), rows["z"].to_pylist()))
@@ -356,9 +375,9 @@ def perplexity(docs: DataFrame, model: Model, text: str = "text", keep: tuple[st
         value = np.exp(-total / np.maximum(sizes, 1))
         return pa.table([*head.columns[:-1], pa.array(value, mask=sizes == 0), pa.array(sizes)], names=[*keep, "perplexity", "chars"])
 
-    asked = named.mapInArrow(ask, "task int, kind int, block long, shard int, z binary, texts int").withColumns({"g": F.lit(None).cast("long"), "logp": F.lit(None).cast("double")})
-    offered = resolved.mapInArrow(offer, "task int, g long, logp double").withColumns({"kind": F.lit(0), "block": F.lit(None).cast("long"), "shard": F.lit(-1), "z": F.lit(None).cast("binary"), "texts": F.lit(0)})
-    met = asked.unionByName(offered).repartition(shards * deals, "task").sortWithinPartitions("task", "kind")
+    fields = "task int, kind int, block long, shard int, z binary, texts int"
+    offered = resolved.mapInArrow(offer, "task int, z binary").select("task", F.lit(0).alias("kind"), F.lit(-1).cast("long").alias("block"), F.lit(-1).alias("shard"), "z", F.lit(0).alias("texts"))
+    met = named.mapInArrow(ask, fields).unionByName(offered).repartitionById(shards * deals, "task").sortWithinPartitions("task", "kind")
     summed = met.mapInArrow(join, "block long, shard int, z binary")
     schema = StructType([*kept.fields, *StructType.fromDDL("perplexity double, chars long").fields])
     return summed.groupBy("block").applyInArrow(finish, schema)
