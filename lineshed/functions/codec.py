@@ -75,3 +75,75 @@ def to_channel(value: Value, low: float, high: float) -> Column:
 
 def of_channel(channel: Value, low: float, high: float) -> Column:
     return low + c(channel) / 255 * (high - low)
+
+
+def _bits(order: int, falling: bool = False) -> Column:
+    return F.sequence(F.lit(order - 1), F.lit(0), F.lit(-1)) if falling else F.sequence(F.lit(0), F.lit(order - 1))
+
+
+def _set(v: Column, high: Column) -> Column:
+    return v.bitwiseAND(high) != 0
+
+
+def _at(v: Column, k: Column) -> Column:
+    return F.call_function("shiftright", v, k).bitwiseAND(F.lit(1).cast("bigint"))
+
+
+def _put(bit: Column, k: Column) -> Column:
+    return F.call_function("shiftleft", bit, k)
+
+
+def _turn(axes: list[Column], k: Column, falling: bool) -> list[Column]:
+    """One bit of Skilling's transform: each axis reflects the first below the bit, or swaps with it."""
+    high = _bit(k)
+    below = high - 1
+    v = list(axes)
+    for i in range(len(v)) if falling else reversed(range(len(v))):
+        reflect = _set(v[i], high)
+        if i == 0:
+            v[0] = F.when(reflect, v[0].bitwiseXOR(below)).otherwise(v[0])
+            continue
+        swap = v[0].bitwiseXOR(v[i]).bitwiseAND(below)
+        v[0], v[i] = F.when(reflect, v[0].bitwiseXOR(below)).otherwise(v[0].bitwiseXOR(swap)), F.when(reflect, v[i]).otherwise(v[i].bitwiseXOR(swap))
+    return v
+
+
+def _axes(at: Column, n: int) -> list[Column]:
+    return [at[f"v{i}"] for i in range(n)]
+
+
+def _named(v: list[Column]) -> Column:
+    return F.struct(*[x.cast("bigint").alias(f"v{i}") for i, x in enumerate(v)])
+
+
+def hilbert_index(axes: list[Column], order: int) -> Column:
+    """Index of a cell of a grid of 2^order cells a side in any number of dimensions; the first axis has the lowest bits."""
+    n = len(axes)
+
+    def grayed(at: Column) -> Column:
+        v = _axes(at, n)
+        for i in range(1, n):
+            v[i] = v[i].bitwiseXOR(v[i - 1])
+        flips = F.aggregate(_bits(order, True), F.lit(0).cast("bigint"), lambda t, k: F.when(_set(v[n - 1], _bit(k)), t.bitwiseXOR(_bit(k) - 1)).otherwise(t))
+        return _named([x.bitwiseXOR(flips) for x in v])
+
+    def woven(at: Column) -> Column:
+        return F.aggregate(_bits(order), F.lit(0).cast("bigint"), lambda index, k: index + sum((_put(_at(x, k), n * k + i) for i, x in enumerate(_axes(at, n))), F.lit(0).cast("bigint")))
+
+    turned = F.aggregate(_bits(order, True), _named(axes), lambda at, k: _named(_turn(_axes(at, n), k, True)))
+    return _bound(_bound(turned, grayed), woven)
+
+
+def hilbert_cell(index: Column, order: int, n: int) -> Column:
+    """The cell of an index, as a struct (v0, v1, ...): what hilbert_index undoes."""
+
+    def every(i: int) -> Column:
+        return F.aggregate(_bits(order), F.lit(0).cast("bigint"), lambda v, k: v + _put(_at(index.cast("bigint"), n * k + i), k))
+
+    def ungrayed(at: Column) -> Column:
+        v = _axes(at, n)
+        last = F.call_function("shiftright", v[n - 1], F.lit(1))
+        return _named([v[0].bitwiseXOR(last), *[v[i].bitwiseXOR(v[i - 1]) for i in range(1, n)]])
+
+    start = _bound(_named([every(i) for i in range(n)]), ungrayed)
+    return F.aggregate(F.sequence(F.lit(1), F.lit(order - 1)), start, lambda at, k: _named(_turn(_axes(at, n), k, False))) if order > 1 else start

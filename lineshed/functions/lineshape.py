@@ -12,6 +12,7 @@ from collections.abc import Callable
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+BOLTZMANN = 8.617333262e-5  # eV / K
 FWHM_PER_SIGMA = 2 * math.sqrt(2 * math.log(2))
 Value = Column | float | int | str
 
@@ -74,8 +75,7 @@ def doniach_sunjic(x: Value, center: Value, fwhm_l: Value, alpha: float, kinetic
 
 def fermi_dirac(x: Value, edge: Value, temperature: Value, kinetic: bool = False) -> Column:
     """Occupation; on a binding axis states above the edge energy are filled."""
-    boltzmann = 8.617333262e-5  # eV / K
-    z = (c(x) - c(edge)) / (boltzmann * c(temperature))
+    z = (c(x) - c(edge)) / (BOLTZMANN * c(temperature))
     z = z if kinetic else -z
     return 1 / (1 + F.exp(F.least(F.greatest(z, F.lit(-700.0)), F.lit(700.0))))
 
@@ -123,3 +123,35 @@ SHAPES: dict[str, Callable[..., Column]] = {"gaussian": gaussian, "lorentzian":
 def register(name: str, profile: Callable[..., Column]) -> None:
     """Makes a profile of one's own known by name."""
     SHAPES[name.lower()] = profile
+
+
+def gaussian_derivatives(x: Value, center: Value, fwhm: Value) -> tuple[Column, Column, Column]:
+    """A Gaussian of area 1 and its derivatives by center and full width."""
+    d, w = c(x) - c(center), c(fwhm)
+    sigma2 = F.pow(w / FWHM_PER_SIGMA, 2.0)
+    g = gaussian(x, center, fwhm)
+    return g, g * d / sigma2, g * (d * d / sigma2 - 1) / w
+
+
+def lorentzian_derivatives(x: Value, center: Value, fwhm: Value) -> tuple[Column, Column, Column]:
+    """A Lorentzian of area 1 and its derivatives by center and full width."""
+    d, half = c(x) - c(center), c(fwhm) / 2
+    under = d * d + half * half
+    lor = lorentzian(x, center, fwhm)
+    return lor, lor * 2 * d / under, lor * (1 / half - 2 * half / under) / 2
+
+
+def pseudo_voigt_derivatives(x: Value, center: Value, fwhm: Value, eta: Value) -> tuple[Column, ...]:
+    """A pseudo-Voigt profile of area 1 and common width, and its derivatives by center, width and Lorentzian share."""
+    g, lor = gaussian_derivatives(x, center, fwhm), lorentzian_derivatives(x, center, fwhm)
+    share = c(eta)
+    mixed = [share * b + (1 - share) * a for a, b in zip(g, lor)]
+    return (*mixed, lor[0] - g[0])
+
+
+def fermi_edge_derivatives(x: Value, edge: Value, temperature: Value) -> tuple[Column, Column, Column]:
+    """The Fermi-Dirac function and its derivatives by edge and temperature."""
+    t = (c(x) - c(edge)) / (BOLTZMANN * c(temperature))
+    f = 1 / (1 + F.exp(t))
+    slope = f * (1 - f)
+    return f, slope / (BOLTZMANN * c(temperature)), slope * t / c(temperature)

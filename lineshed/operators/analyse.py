@@ -13,9 +13,11 @@ from pyspark.sql import functions as F
 from lineshed.operators import kernels
 from lineshed.operators.background import BACKGROUNDS
 
+FEWEST = 12  # points that the smoothing and the peak search need
+
 
 def _per_spectrum(df: DataFrame, function: Callable[[np.ndarray, np.ndarray, int], dict], schema: str, key: str, energy: str, intensity: str) -> DataFrame:
-    """One result row a spectrum; one that can't be read gives nulls besides its key."""
+    """One result row a spectrum; one that can't be read gives nulls besides its key, and why in `reason`."""
     names = [c.split()[0] for c in schema.split(", ")]
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -23,14 +25,26 @@ def _per_spectrum(df: DataFrame, function: Callable[[np.ndarray, np.ndarray, int
             rows = []
             for k, e, y in zip(pdf[key], pdf[energy], pdf[intensity]):
                 got: dict = {}
-                if e is not None and y is not None and len(e) == len(y) >= 12 and np.isfinite(y).all():
+                reason = unreadable(e, y)
+                if reason is None:
                     e, y = np.asarray(e, dtype=np.float64), np.asarray(y, dtype=np.float64)
                     got = function(e, y, k)
-                rows.append([k, *[got.get(n) for n in names]])
-            yield pd.DataFrame(rows, columns=[key, *names])
+                rows.append([k, *[got.get(n) for n in names], reason])
+            yield pd.DataFrame(rows, columns=[key, *names, "reason"])
 
     kind = df.schema[key].dataType.simpleString()
-    return df.select(key, energy, intensity).mapInPandas(run, f"{key} {kind}, {schema}")
+    return df.select(key, energy, intensity).mapInPandas(run, f"{key} {kind}, {schema}, reason string")
+
+
+def unreadable(energy: np.ndarray | None, intensity: np.ndarray | None) -> str | None:
+    """Why a spectrum can't be analysed, or None."""
+    if energy is None or intensity is None:
+        return "no spectrum"
+    if len(energy) != len(intensity):
+        return "lengths differ"
+    if len(intensity) < FEWEST:
+        return f"fewer than {FEWEST} points"
+    return None if np.isfinite(np.asarray(intensity, dtype=np.float64)).all() else "not finite"
 
 
 def detect_peaks(energy: np.ndarray, net: np.ndarray, most: int = 10) -> np.ndarray:

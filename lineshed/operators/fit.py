@@ -10,14 +10,17 @@ from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lineshed.operators import kernels, robust
 from lineshed.operators.kernels import Dictionary, Peaks
+from lineshed.session import materialize
 
 MOST_CELLS = 20_000_000
-MODES = {"preview": "amp_only", "fast": "four_step", "balanced": "parabola", "precise": "hybrid", "gamma_calibrated": "gamma"}
+MODES = {"preview": "amp_only", "fast": "four_step", "balanced": "parabola", "precise": "hybrid", "gamma_calibrated": "gamma", "adaptive": "taylor"}
+#: What the modes ask of the dictionary solver.
+REFINEMENTS = {"hybrid": "four_step", "dictionary": "none", "six_step": "six_step", "taylor": "taylor", "clean": "clean"}
 FIT_FIELDS = "amplitudes array<double>, shift double, width double, chi2 double"
 
 
@@ -34,6 +37,21 @@ def _matrix(column: pa.ChunkedArray | pa.Array, n_energy: int) -> np.ndarray:
     return out
 
 
+def values(df: DataFrame, intensity: str) -> Column:
+    """The intensities as the solvers take them: lists of floats or doubles go as they are."""
+    kind = dict(df.select(F.col(intensity).alias("y")).dtypes)["y"]
+    return F.col(intensity) if kind in ("array<float>", "array<double>") else F.col(intensity).cast("array<double>")
+
+
+def _lists(v: np.ndarray, good: np.ndarray | None = None) -> pa.ListArray:
+    """The rows of a matrix as lists; null where good is false, for which the matrix has no rows."""
+    n, k = v.shape
+    if good is None:
+        return pa.ListArray.from_arrays(pa.array(np.arange(n + 1) * k, pa.int32()), pa.array(v.ravel()))
+    flat = np.concatenate([[0], np.cumsum(np.where(good, k, 0))]).astype(np.int32)
+    return pa.ListArray.from_arrays(pa.array(flat), pa.array(v.ravel()), mask=pa.array(~good))
+
+
 def _check(d: Dictionary) -> Dictionary:
     if d.profiles.size > MOST_CELLS:
         raise ValueError(f"a dictionary of {d.profiles.size} cells is over {MOST_CELLS}; take a coarser grid or group the peaks")
@@ -43,8 +61,8 @@ def _check(d: Dictionary) -> Dictionary:
 def fit(df: DataFrame, peaks: Peaks, mode: str = "balanced", intensity: str = "intensity", keep: Sequence[str] = ("spectrum_id",)) -> DataFrame:
     """The columns in `keep`, amplitudes, shift, width and chi2 of every spectrum.
 
-    mode: a name of MODES, or amp_only, dictionary, four_step, parabola, hybrid, gamma. A spectrum that
-    is null, of another length or holds NaN gets nulls.
+    mode: a name of MODES, or amp_only, dictionary, four_step, parabola, hybrid, gamma, six_step, taylor,
+    clean. A spectrum that is null, of another length or holds NaN gets nulls.
     """
     mode = MODES.get(mode, mode)
     delta = calibrate_gamma(df, peaks, intensity) if mode == "gamma" else 0.0
@@ -62,39 +80,37 @@ def fit(df: DataFrame, peaks: Peaks, mode: str = "balanced", intensity: str = "i
             elif mode == "four_step":
                 a, shift, width, chi2 = kernels.solve_four_step(y[good], d, d.nominal)
             else:
-                a, shift, width, chi2 = kernels.solve_dictionary(y[good], d, {"hybrid": "four_step", "dictionary": "none"}.get(mode, "parabola"))
+                a, shift, width, chi2 = kernels.solve_dictionary(y[good], d, REFINEMENTS.get(mode, "parabola"), peaks)
             at = np.cumsum(good) - 1
 
             def spread(v: np.ndarray) -> pa.Array:
                 return pa.array(v[np.maximum(at, 0)] if n else np.zeros(len(good)), mask=~good)
 
-            k = a.shape[1]
-            flat = np.concatenate([[0], np.cumsum(np.where(good, k, 0))]).astype(np.int32)
-            lists = pa.ListArray.from_arrays(pa.array(flat), pa.array(a.ravel()), mask=pa.array(~good))
+            lists = _lists(a, good)
             kept = [batch.column(i) for i in range(batch.num_columns - 1)]
             yield pa.RecordBatch.from_arrays([*kept, lists, spread(shift), spread(width), spread(chi2)], names=[*batch.schema.names[:-1], "amplitudes", "shift", "width", "chi2"])
 
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.select(*keep).schema) + ", " + FIT_FIELDS
-    return df.select(*keep, F.transform(intensity, lambda x: x.cast("double")).alias("__y")).mapInArrow(run, schema)
+    return df.select(*keep, values(df, intensity).alias("__y")).mapInArrow(run, schema)
 
 
 def fit_multipeak(df: DataFrame, each: Sequence[Peaks], rounds: int = 3, intensity: str = "intensity", keep: Sequence[str] = ("spectrum_id",)) -> DataFrame:
     """As fit, with a shift and a width for each component: arrays shifts and widths."""
-    ds = [_check(kernels.build_dictionary(p)) for p in each]
+    products = kernels.Products([_check(kernels.build_dictionary(p)) for p in each])
     n_energy = len(each[0].energy)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
-            for start in range(0, whole.num_rows, 512):
-                batch = whole.slice(start, 512)
+            for start in range(0, whole.num_rows, 2048):
+                batch = whole.slice(start, 2048)
                 y = np.nan_to_num(_matrix(batch.column(batch.num_columns - 1), n_energy))
-                a, shifts, widths, chi2 = kernels.solve_multipeak(y, ds, rounds)
-                lists = [pa.array(list(x), type=pa.list_(pa.float64())) for x in (a, shifts, widths)]
+                a, shifts, widths, chi2 = kernels.solve_multipeak(y, products, rounds)
+                lists = [_lists(np.ascontiguousarray(x)) for x in (a, shifts, widths)]
                 kept = [batch.column(i) for i in range(batch.num_columns - 1)]
                 yield pa.RecordBatch.from_arrays([*kept, *lists, pa.array(chi2)], names=[*batch.schema.names[:-1], "amplitudes", "shifts", "widths", "chi2"])
 
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.select(*keep).schema)
-    return df.select(*keep, F.transform(intensity, lambda x: x.cast("double")).alias("__y")).mapInArrow(run, schema + ", amplitudes array<double>, shifts array<double>, widths array<double>, chi2 double")
+    return df.select(*keep, values(df, intensity).alias("__y")).mapInArrow(run, schema + ", amplitudes array<double>, shifts array<double>, widths array<double>, chi2 double")
 
 
 def calibrate_gamma(df: DataFrame, peaks: Peaks, intensity: str = "intensity", half: float = 0.5, n: int = 11) -> float:
@@ -115,7 +131,7 @@ def calibrate_gamma(df: DataFrame, peaks: Peaks, intensity: str = "intensity", h
                 total += [kernels.solve_dictionary(y, d, "none")[3].sum() for d in ds]
         yield pa.RecordBatch.from_arrays([pa.array(range(n), type=pa.int32()), pa.array(total)], names=["k", "chi2"])
 
-    sums = df.select(F.transform(intensity, lambda x: x.cast("double")).alias("__y")).mapInArrow(run, "k int, chi2 double").groupBy("k").agg(F.sum("chi2").alias("chi2")).collect()
+    sums = df.select(values(df, intensity).alias("__y")).mapInArrow(run, "k int, chi2 double").groupBy("k").agg(F.sum("chi2").alias("chi2")).collect()
     chi2 = np.array([r["chi2"] for r in sorted(sums, key=lambda r: r["k"])])
     if not len(chi2):
         return 0.0
@@ -132,12 +148,25 @@ def flag_anomalies(fitted: DataFrame, k: float = 3.0, accuracy: int | None = Non
 
 
 def hybrid(df: DataFrame, peaks: Peaks, first: str = "fast", second: str = "precise", intensity: str = "intensity", key: str = "spectrum_id") -> DataFrame:
-    """Fits all with a quick mode, then the anomalies again with a precise one, whose values replace the first."""
+    """Fits all with a quick mode, then the anomalies again with a precise one, whose values replace the first.
+
+    second `auto` refines by Gauss-Newton instead, as freely as the anomalies are far off (`refinement_mode`);
+    shift and width are then means over the components. The first fit is written, so that its quantiles and
+    the flags don't fit anew.
+    """
+    from lineshed.operators.refine import refine, refinement_mode
     from lineshed.operators.relate import merge
 
-    stage1 = flag_anomalies(fit(df, peaks, first, intensity, (key,)))
+    stage1 = flag_anomalies(materialize(fit(df, peaks, first, intensity, (key,)), "stage1"))
     again = df.join(stage1.filter("is_anomaly").select(key), key, "left_semi")
-    return merge(stage1, fit(again, peaks, second, intensity, (key,)), key, ["amplitudes", "shift", "width", "chi2"])
+    columns = ["amplitudes", "shift", "width", "chi2"]
+    if second == "auto":
+        off = stage1.groupBy("is_anomaly").agg(F.median("chi2").alias("chi2")).collect()
+        median = {r["is_anomaly"]: r["chi2"] or 0.0 for r in off}
+        refined = refine(again, peaks, refinement_mode(median.get(True, 0.0), median.get(False, 0.0)), intensity=intensity, keep=(key,))
+        off_by = lambda name, nominal: (F.aggregate(name, F.lit(0.0), lambda acc, x: acc + x) - float(sum(nominal))) / len(nominal)
+        return merge(stage1, refined.select(key, "amplitudes", off_by("centers", peaks.centers).alias("shift"), off_by("sigmas", peaks.sigmas).alias("width"), "chi2"), key, columns)
+    return merge(stage1, fit(again, peaks, second, intensity, (key,)), key, columns)
 
 
 def to_components(fitted: DataFrame, peaks: Peaks, key: str = "spectrum_id") -> DataFrame:

@@ -51,6 +51,15 @@ def voigt_derivatives(energy: np.ndarray, center: float, sigma: float, gamma: fl
     return k * w.real, -k * slope.real / root, -k / sigma * (w + z * slope).real, -k * slope.imag / root
 
 
+def voigt_curvature(energy: np.ndarray, center: float, sigma: float, gamma: float) -> np.ndarray:
+    """The second derivative by center, from w''(z) = -2 w(z) - 2 z w'(z)."""
+    root = sigma * math.sqrt(2)
+    z = (np.asarray(energy, dtype=np.float64) - center + 1j * gamma) / root
+    w = faddeeva(z)
+    slope = 2j / math.sqrt(math.pi) - 2 * z * w
+    return (-2 * w - 2 * z * slope).real / (root * root * sigma * math.sqrt(2 * math.pi))
+
+
 def uniform_grid(half: float, n: int) -> np.ndarray:
     return np.linspace(-half, half, n) if n > 1 else np.zeros(1)
 
@@ -92,6 +101,16 @@ class Peaks:
             out.append(v[:3])
         return tuple(np.stack(x, axis=1) for x in zip(*out))
 
+    def curvature(self, shift: float = 0.0, width: float = 0.0, gamma: float = 0.0) -> np.ndarray:
+        """Second derivatives of the profiles by center, one column a component."""
+        out = []
+        for center, sigma in zip(self.centers, self.sigmas):
+            h = voigt_curvature(self.energy, center + shift, sigma + width, self.gamma + gamma)
+            if self.split:
+                h = h + voigt_curvature(self.energy, center + shift + self.split, sigma + width, self.gamma + gamma) / self.ratio
+            out.append(h)
+        return np.stack(out, axis=1)
+
 
 @dataclass
 class Dictionary:
@@ -138,92 +157,165 @@ def solve_amplitudes(y: np.ndarray, weights: np.ndarray, profiles: np.ndarray) -
     return a, np.einsum("ij,ij->i", r, r) / y.shape[1]
 
 
-def solve_four_step(y: np.ndarray, d: Dictionary, cell: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+def _dot(u: np.ndarray, v: np.ndarray) -> np.ndarray:
+    return np.einsum("ij,ij->i", u, v)
+
+
+def _ratio(over: np.ndarray, under: np.ndarray) -> np.ndarray:
+    """0 where there is nothing to project on."""
+    fine = under > 1e-20
+    return np.where(fine, over / np.where(fine, under, 1), 0)
+
+
+def solve_four_step(y: np.ndarray, d: Dictionary, cell: int, curvature: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Amplitudes, shift, width and chi2 by projecting residuals on the derivatives at one cell.
 
     Amplitude first; the residual's part along the derivative by center is the shift; what is left
     along the derivative by sigma is the width; last the width's pull on the amplitudes is taken out.
+    With curvature, the second derivatives by center, the six steps: what the shift does to the profile
+    in second order isn't taken for width.
     """
     a, chi2 = solve_amplitudes(y, d.weights[cell], d.profiles[cell])
     rest = y - a @ d.profiles[cell].T
     along_c, along_s = a @ d.by_center[cell].T, a @ d.by_sigma[cell].T
-
-    def dot(u: np.ndarray, v: np.ndarray) -> np.ndarray:
-        return np.einsum("ij,ij->i", u, v)
-
-    cc, ss = dot(along_c, along_c), dot(along_s, along_s)
-    shift = np.where(cc > 1e-20, dot(rest, along_c) / np.where(cc > 1e-20, cc, 1), 0)
-    width = np.where(ss > 1e-20, (dot(rest, along_s) - shift * dot(along_c, along_s)) / np.where(ss > 1e-20, ss, 1), 0)
+    shift = _ratio(_dot(rest, along_c), _dot(along_c, along_c))
+    over = _dot(rest, along_s) - shift * _dot(along_c, along_s)
+    if curvature is not None:
+        over -= 0.5 * shift * shift * _dot(a @ curvature.T, along_s)
+    width = _ratio(over, _dot(along_s, along_s))
+    if a.shape[1] == 1:
+        pull = 1 + width * d.coupling[cell][0, 0]
+        return a / np.where(np.abs(pull) > 1e-6, pull, 1)[:, None], shift, width, chi2
     system = np.eye(a.shape[1]) + width[:, None, None] * d.coupling[cell]
     fine = np.abs(np.linalg.det(system)) > 1e-6
     system[~fine] = np.eye(a.shape[1])
     return np.linalg.solve(system, a[:, :, None])[:, :, 0], shift, width, chi2
 
 
-def solve_dictionary(y: np.ndarray, d: Dictionary, refine: str = "parabola") -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Amplitudes, shift, width and chi2 of each row: best cell, then none, parabola or four_step refinement."""
+#: A grid point up to so many widths off counts as within the range of the linear steps.
+TAYLOR = 0.35
+#: Up to this chi2, in squares of the highest point, the grid's coarseness outweighs the noise.
+CLEAN = 3e-4
+
+
+def solve_dictionary(y: np.ndarray, d: Dictionary, refine: str = "parabola", peaks: Peaks | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Amplitudes, shift, width and chi2 of each row: best cell, then a refinement.
+
+    none, parabola, four_step; six_step (of `peaks`); taylor: four steps from the nominal cell where the
+    best one is near it, else from the best; clean: four steps where the amplitude fit's chi2 is small
+    against the highest point, else the amplitudes at the cell.
+    """
     scores = y @ d.columns
     best = scores.argmax(axis=1)
     n_w = len(d.widths)
     i, j = best // n_w, best % n_w
-    shift, width = d.shifts[i].copy(), d.widths[j].copy()
-    amplitudes = np.empty((len(y), d.profiles.shape[2]))
-    chi2 = np.empty(len(y))
-    for cell in np.unique(best):
-        rows = best == cell
-        if refine == "four_step":
-            amplitudes[rows], ds, dw, chi2[rows] = solve_four_step(y[rows], d, cell)
+    n, k = len(y), d.profiles.shape[2]
+    at_cell = best
+    if refine == "taylor":
+        sigma = float(np.mean(peaks.sigmas))
+        near = (np.abs(d.shifts[i]) / sigma < TAYLOR) & (np.abs(d.widths[j]) / sigma < TAYLOR)
+        at_cell = np.where(near, d.nominal, best)
+    shift, width = d.shifts[at_cell // n_w].copy(), d.widths[at_cell % n_w].copy()
+    steps = refine in ("four_step", "six_step", "taylor", "clean")
+    if k == 1 and not steps:
+        profile = d.profiles[at_cell, :, 0]
+        a = _dot(y, d.weights[at_cell, 0])
+        profile *= a[:, None]
+        np.subtract(y, profile, out=profile)
+        amplitudes, chi2 = a[:, None], _dot(profile, profile) / y.shape[1]
+    else:
+        amplitudes, chi2 = np.empty((n, k)), np.empty(n)
+        order = np.argsort(at_cell, kind="stable")
+        edges = np.flatnonzero(np.diff(at_cell[order])) + 1
+        for rows in np.split(order, edges) if n else []:
+            cell = int(at_cell[rows[0]])
+            if not steps:
+                amplitudes[rows], chi2[rows] = solve_amplitudes(y[rows], d.weights[cell], d.profiles[cell])
+                continue
+            curvature = peaks.curvature(d.shifts[cell // n_w], d.widths[cell % n_w]) if refine == "six_step" else None
+            own, ds, dw, chi2[rows] = solve_four_step(y[rows], d, cell, curvature)
+            if refine == "clean":
+                noisy = chi2[rows] >= CLEAN * (y[rows].max(axis=1) ** 2 + 1e-20)
+                own[noisy] = y[rows[noisy]] @ d.weights[cell].T
+                ds[noisy] = dw[noisy] = 0
+            amplitudes[rows] = own
             shift[rows] += ds
             width[rows] += dw
-        else:
-            amplitudes[rows], chi2[rows] = solve_amplitudes(y[rows], d.weights[cell], d.profiles[cell])
     if refine == "parabola":
-        k = np.arange(len(y))
+        r = np.arange(n)
         for axis, at, grid, step in ((shift, i, d.shifts, n_w), (width, j, d.widths, 1)):
             inside = (at > 0) & (at < len(grid) - 1)
             if inside.any():
                 b = best[inside]
-                axis[inside] += vertex(scores[k[inside], b - step], scores[k[inside], b], scores[k[inside], b + step]) * (grid[1] - grid[0])
+                axis[inside] += vertex(scores[r[inside], b - step], scores[r[inside], b], scores[r[inside], b + step]) * (grid[1] - grid[0])
     return amplitudes, shift, width, chi2
 
 
-def solve_multipeak(y: np.ndarray, dictionaries: list[Dictionary], rounds: int = 3) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+class Products:
+    """Inner products of the profiles of several one-component dictionaries, by pairs of cells."""
+
+    def __init__(self, dictionaries: list[Dictionary]):
+        self.dictionaries = dictionaries
+        self.flat = [d.profiles[:, :, 0] for d in dictionaries]
+        self.grams = [[p @ q.T for q in self.flat] for p in self.flat]
+        self.scale = [1 / np.maximum(np.linalg.norm(p, axis=1), 1e-300) for p in self.flat]
+
+
+def _joint(gram: np.ndarray, right: np.ndarray) -> np.ndarray:
+    """Solves one small symmetric system a row; gram is (k, k, rows), right (k, rows)."""
+    k = len(right)
+    for c in range(k):
+        gram[c, c] += 1e-8
+    if k == 1:
+        return right / gram[0]
+    if k == 2:
+        det = gram[0, 0] * gram[1, 1] - gram[0, 1] * gram[1, 0]
+        return np.stack([gram[1, 1] * right[0] - gram[0, 1] * right[1], gram[0, 0] * right[1] - gram[1, 0] * right[0]]) / det
+    return np.linalg.solve(gram.transpose(2, 0, 1), right.T[:, :, None])[:, :, 0].T
+
+
+def solve_multipeak(y: np.ndarray, dictionaries: list[Dictionary] | Products, rounds: int = 3) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Amplitudes, shifts and widths of each component (columns) and chi2, by alternating projections.
 
     Each component in turn is matched to its own dictionary against what the others leave; then all
-    amplitudes are solved for jointly.
+    amplitudes are solved for jointly. Spectra are projected on every profile once; from then on only
+    products of profiles are needed.
     """
-    n, k = len(y), len(dictionaries)
-    cells = np.tile([d.nominal for d in dictionaries], (n, 1))
+    products = dictionaries if isinstance(dictionaries, Products) else Products(dictionaries)
+    ds, grams = products.dictionaries, products.grams
+    n, k = len(y), len(ds)
+    rows = np.arange(n)
+    cells = [np.full(n, d.nominal) for d in ds]
     shifts, widths = np.zeros((n, k)), np.zeros((n, k))
+    projected = [y @ p.T for p in products.flat]
 
-    def profiles(rows=slice(None)) -> np.ndarray:
-        return np.stack([d.profiles[cells[rows, c], :, 0] for c, d in enumerate(dictionaries)], axis=2)
-
-    def joint(p: np.ndarray) -> np.ndarray:
-        gram = np.einsum("nec,ned->ncd", p, p) + 1e-8 * np.eye(k)
-        return np.linalg.solve(gram, np.einsum("nec,ne->nc", p, y)[:, :, None])[:, :, 0]
+    def amplitudes() -> np.ndarray:
+        gram = np.stack([np.stack([grams[c][e][cells[c], cells[e]] for e in range(k)]) for c in range(k)])
+        return _joint(gram, np.stack([projected[c][rows, cells[c]] for c in range(k)]))
 
-    a = joint(profiles())
+    a = amplitudes()
     for _ in range(rounds):
-        for c, d in enumerate(dictionaries):
-            p = profiles()
-            others = np.einsum("nec,nc->ne", np.delete(p, c, axis=2), np.delete(a, c, axis=1))
-            left = y - others
-            scores = left @ d.columns
+        for c, d in enumerate(ds):
+            scores = projected[c].copy()
+            for e in range(k):
+                if e != c:
+                    scores -= a[e][:, None] * grams[e][c][cells[e]]
+            scores *= products.scale[c]
             best = scores.argmax(axis=1)
-            cells[:, c] = best
-            i, j, n_w = best // len(d.widths), best % len(d.widths), len(d.widths)
+            cells[c] = best
+            n_w = len(d.widths)
+            i, j = best // n_w, best % n_w
             shifts[:, c], widths[:, c] = d.shifts[i], d.widths[j]
-            rows = np.arange(n)
             for axis, at, grid, step in ((shifts, i, d.shifts, n_w), (widths, j, d.widths, 1)):
                 inside = (at > 0) & (at < len(grid) - 1)
                 if inside.any():
                     b = best[inside]
                     axis[inside, c] += vertex(scores[rows[inside], b - step], scores[rows[inside], b], scores[rows[inside], b + step]) * (grid[1] - grid[0])
-            a = joint(profiles())
-    rest = y - np.einsum("nec,nc->ne", profiles(), a)
-    return a, shifts, widths, np.einsum("ij,ij->i", rest, rest) / y.shape[1]
+            a = amplitudes()
+    rest = y.copy()
+    for c in range(k):
+        rest -= a[c][:, None] * products.flat[c][cells[c]]
+    return a.T, shifts, widths, _dot(rest, rest) / y.shape[1]
 
 
 def shirley(energy: np.ndarray, intensity: np.ndarray, rounds: int = 50, tolerance: float = 1e-5) -> np.ndarray:

@@ -10,64 +10,41 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
 from lineshed.operators import kernels
-from lineshed.operators.fit import FIT_FIELDS, _check, _matrix
-from lineshed.operators.kernels import Dictionary, Peaks
+from lineshed.operators.fit import FIT_FIELDS, _check, _lists, _matrix, values
+from lineshed.operators.kernels import Peaks
+
 
 
 def _map_matrix(df: DataFrame, solve, fields: str, n_energy: int, intensity: str, keep: Sequence[str]) -> DataFrame:
     """Applies solve(matrix) -> columns to the finite spectra of each batch; the others get nulls."""
     names = [f.split()[0] for f in fields.split(", ")]
 
+    def column(v: np.ndarray, field: str, good: np.ndarray) -> pa.Array:
+        v = np.asarray(v, dtype=np.float64)
+        if "array" in field:
+            return _lists(np.ascontiguousarray(v), good)
+        at = np.maximum(np.cumsum(good) - 1, 0)
+        return pa.array(v[at] if len(v) else np.zeros(len(good)), mask=~good)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             y = _matrix(batch.column(batch.num_columns - 1), n_energy)
             good = np.isfinite(y).all(axis=1)
-            got = solve(y[good]) if good.any() else [[] for _ in names]
-            place = (np.cumsum(good) - 1).tolist()
-            columns = [pa.array([(v[place[k]].tolist() if isinstance(v[place[k]], np.ndarray) else v[place[k]]) if good[k] else None for k in range(len(good))], type=pa.list_(pa.float64()) if "array" in f else pa.float64()) for v, f in zip(got, fields.split(", "))]
+            got = solve(y[good]) if good.any() else [np.zeros((0, 1) if "array" in f else 0) for f in fields.split(", ")]
+            columns = [column(v, f, good) for v, f in zip(got, fields.split(", "))]
             yield pa.RecordBatch.from_arrays([*[batch.column(i) for i in range(batch.num_columns - 1)], *columns], names=[*batch.schema.names[:-1], *names])
 
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.select(*keep).schema) + ", " + fields
-    return df.select(*keep, F.transform(intensity, lambda x: x.cast("double")).alias("__y")).mapInArrow(run, schema)
-
-
-def solve_six_step(y: np.ndarray, p: Peaks, d: Dictionary, cell: int) -> tuple[np.ndarray, ...]:
-    """The four steps, with the shift solved to second order in the profile's curvature.
-
-    With a shift s the residual is s J + s^2 H / 2; one Newton step on the quadratic model replaces the
-    linear estimate, then width and amplitudes follow as before.
-    """
-    h = 1e-3
-    shift0, width0 = d.shifts[cell // len(d.widths)], d.widths[cell % len(d.widths)]
-    curvature = (p.basis(shift0 + h, width0)[1] - p.basis(shift0 - h, width0)[1]) / (2 * h)
-    a, shift, width, chi2 = kernels.solve_four_step(y, d, cell)
-    first, _ = kernels.solve_amplitudes(y, d.weights[cell], d.profiles[cell])
-    j, c = first @ d.by_center[cell].T, first @ curvature.T
-    rest = y - first @ d.profiles[cell].T - shift[:, None] * j - 0.5 * (shift**2)[:, None] * c
-    slope = j + shift[:, None] * c
-    den = np.einsum("ij,ij->i", slope, slope)
-    step = np.where(den > 1e-20, np.einsum("ij,ij->i", rest, slope) / np.where(den > 1e-20, den, 1), 0)
-    return a, shift + np.clip(step, -np.abs(shift) - 1e-3, np.abs(shift) + 1e-3), width, chi2
+    return df.select(*keep, values(df, intensity).alias("__y")).mapInArrow(run, schema)
 
 
 def fit_six_step(df: DataFrame, peaks: Peaks, intensity: str = "intensity", keep: Sequence[str] = ("spectrum_id",)) -> DataFrame:
     """Best cell of the dictionary, then six steps from it."""
-    d = _check(kernels.build_dictionary(peaks))
-    n_w = len(d.widths)
+    from lineshed.operators.fit import fit
 
-    def solve(y: np.ndarray) -> list:
-        best = (y @ d.columns).argmax(axis=1)
-        a, shift, width, chi2 = np.empty((len(y), d.profiles.shape[2])), np.empty(len(y)), np.empty(len(y)), np.empty(len(y))
-        for cell in np.unique(best):
-            rows = best == cell
-            a[rows], s, w, chi2[rows] = solve_six_step(y[rows], peaks, d, cell)
-            shift[rows], width[rows] = s + d.shifts[cell // n_w], w + d.widths[cell % n_w]
-        return [a, shift, width, chi2]
-
-    return _map_matrix(df, solve, FIT_FIELDS, len(peaks.energy), intensity, keep)
+    return fit(df, peaks, "six_step", intensity, keep)
 
 
 def fit_gamma(df: DataFrame, peaks: Peaks, deltas: Sequence[float], intensity: str = "intensity", keep: Sequence[str] = ("spectrum_id",)) -> DataFrame:

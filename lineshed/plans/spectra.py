@@ -32,42 +32,11 @@ def spectra(spark: SparkSession, d: str, peaks: Peaks = ONE, noise: float = 0.01
     return synthetic.generate(truth(spark, d, len(peaks.centers)), peaks, noise)
 
 
-@query()
-def voigt_fit_amp(spark: SparkSession, d: str) -> DataFrame:
-    return fit.flag_anomalies(fit.fit(spectra(spark, d), ONE, "preview"))
-
-
-@query()
-def four_step_fit(spark: SparkSession, d: str) -> DataFrame:
-    return fit.fit(spectra(spark, d), ONE, "fast")
-
-
-@query()
-def dict2d_parabola_fit(spark: SparkSession, d: str) -> DataFrame:
-    return fit.fit(spectra(spark, d), ONE, "balanced")
-
-
-@query()
-def dict2d_hybrid_fit(spark: SparkSession, d: str) -> DataFrame:
-    return fit.fit(spectra(spark, d), ONE, "precise")
-
-
 @query()
 def gamma_calibrated_fit(spark: SparkSession, d: str) -> DataFrame:
     return fit.fit(spectra(spark, d), Peaks(ENERGY, (0.0,), (0.5,), 0.16), "gamma_calibrated")
 
 
-@query()
-def hybrid_pipeline(spark: SparkSession, d: str) -> DataFrame:
-    return fit.to_components(fit.hybrid(spectra(spark, d), ONE), ONE)
-
-
-@query()
-def multipeak_fit(spark: SparkSession, d: str) -> DataFrame:
-    each = [Peaks(TWO.energy, (c,), (s,), TWO.gamma, n_shift=13) for c, s in zip(TWO.centers, TWO.sigmas)]
-    return fit.fit_multipeak(spectra(spark, d, TWO), each)
-
-
 def _some(spark: SparkSession, d: str) -> DataFrame:
     """Counts over a sloping base, one spectrum for each supplier."""
     k = F.col("s_suppkey")
@@ -125,16 +94,6 @@ def cross_section_status(spark: SparkSession, d: str) -> DataFrame:
     return analyse.cross_section(rows, table, ["p_brand"]).select("p_partkey", "value", "status")
 
 
-@query()
-def six_step_fit(spark: SparkSession, d: str) -> DataFrame:
-    return refine.fit_six_step(spectra(spark, d), ONE)
-
-
-@query()
-def dict3d_fit(spark: SparkSession, d: str) -> DataFrame:
-    return refine.fit_gamma(spectra(spark, d), ONE, np.linspace(-0.1, 0.1, 5))
-
-
 @query()
 def grouped_fit(spark: SparkSession, d: str) -> DataFrame:
     return refine.fit_grouped(spectra(spark, d, TWO), TWO)

@@ -166,14 +166,14 @@ def shirley_step(spark: SparkSession, d: str) -> DataFrame:
 
 
 @query(
-    """WITH p AS (SELECT vec_id, unnest(embedding)::DOUBLE AS y, generate_subscripts(embedding, 1) - 1 AS k FROM embeddings WHERE vec_id < 100),
+    """WITH p AS (SELECT vec_id, unnest(embedding)::DOUBLE AS y, generate_subscripts(embedding, 1) - 1 AS k FROM embeddings),
     b AS (SELECT a.vec_id, a.k, sum(b.y * ((a.k - b.k) * 0.5) / pow(1643 + pow((a.k - b.k) * 0.5, 2), 2)) AS s FROM p a JOIN p b ON a.vec_id = b.vec_id AND b.k <= a.k GROUP BY ALL)
     SELECT vec_id, k::INT AS k, round(s * 1e6, 6) AS loss FROM b"""
 )
 def tougaard_sum(spark: SparkSession, d: str) -> DataFrame:
     from lineshed.operators.background import tougaard_loss
 
-    v = read(spark, d, "embeddings").filter("vec_id < 100").select("vec_id", F.transform("embedding", lambda x: x.cast("double")).alias("y"))
+    v = read(spark, d, "embeddings").select("vec_id", F.transform("embedding", lambda x: x.cast("double")).alias("y"))
     return v.select("vec_id", F.posexplode(tougaard_loss(F.col("y"), 0.5)).alias("k", "s")).select("vec_id", "k", r6(F.col("s") * 1e6, "loss"))
 
 
@@ -405,9 +405,10 @@ def merge_refined(spark: SparkSession, d: str) -> DataFrame:
     return relate.merge(base, refined, "o_orderkey", ["price"])
 
 
-@query("SELECT c_custkey FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders)")
+@query("SELECT c_custkey FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders WHERE o_totalprice > 300000)")
 def cache_miss_anti(spark: SparkSession, d: str) -> DataFrame:
-    return relate.missing(read(spark, d, "customer").select("c_custkey"), read(spark, d, "orders").select(F.col("o_custkey").alias("c_custkey")), ["c_custkey"])
+    cached = read(spark, d, "orders").filter("o_totalprice > 300000").select(F.col("o_custkey").alias("c_custkey"))
+    return relate.missing(read(spark, d, "customer").select("c_custkey"), cached, ["c_custkey"])
 
 
 @query("SELECT c_custkey FROM customer WHERE c_custkey IN (SELECT o_custkey FROM orders WHERE o_totalprice > 300000)")
@@ -650,11 +651,16 @@ def lookup_with_status(spark: SparkSession, d: str) -> DataFrame:
 
 
 @query(
-    """SELECT o_custkey, o_totalprice, o_orderkey FROM (SELECT o_custkey, o_totalprice, o_orderkey, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderdate DESC, o_orderkey DESC) AS rn FROM orders) WHERE rn = 1"""
+    """WITH base AS (SELECT o_custkey, o_totalprice, o_orderkey FROM (SELECT *, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey) AS rn FROM orders) WHERE rn = 1),
+    changed AS (SELECT o_custkey, o_totalprice, o_orderkey FROM (SELECT *, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderdate DESC, o_orderkey DESC) AS rn FROM orders WHERE o_orderstatus = 'O') WHERE rn = 1)
+    SELECT * FROM changed UNION ALL SELECT * FROM base WHERE o_custkey NOT IN (SELECT o_custkey FROM changed)"""
 )
 def latest_fit_upsert(spark: SparkSession, d: str) -> DataFrame:
-    o = read(spark, d, "orders")
-    return o.groupBy("o_custkey").agg(F.max_by(F.struct("o_totalprice", "o_orderkey"), F.struct("o_orderdate", "o_orderkey")).alias("x")).select("o_custkey", "x.o_totalprice", "x.o_orderkey")
+    """The first fit of each customer, replaced by the latest of the open ones where there is one."""
+    o, fit, at = read(spark, d, "orders"), F.struct("o_totalprice", "o_orderkey"), F.struct("o_orderdate", "o_orderkey")
+    base = o.groupBy("o_custkey").agg(F.min_by(fit, at).alias("x")).select("o_custkey", "x.*")
+    changed = o.filter("o_orderstatus = 'O'").groupBy("o_custkey").agg(F.max_by(fit, at).alias("x")).select("o_custkey", "x.*")
+    return relate.upsert(base, changed, ["o_custkey"])
 
 
 @query("SELECT time_bucket(INTERVAL 1 hour, ts) AS start, event_type, count(*) AS n, round(sum(value), 4) AS total FROM events GROUP BY ALL")

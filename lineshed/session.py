@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import re
 import tempfile
 import uuid
 import zipfile
@@ -30,12 +31,18 @@ def ship(spark: SparkSession) -> None:
 
 
 def scratch_root(spark: SparkSession) -> str:
-    """The folder all executors share: spark.checkpoint.dir; set here only where it is unset (tests)."""
+    """The folder all executors share: spark.checkpoint.dir.
+
+    Where it is unset, a session of one machine takes a temporary folder; on a cluster that is an error, as
+    no task could read what another machine has written there.
+    """
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
         held = spark.sparkContext._jsc.sc().getCheckpointDir()
         root = held.get() if held.isDefined() else None
     if not root:
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
         root = "file://" + tempfile.mkdtemp(prefix="lineshed-scratch")
         spark.sparkContext.setCheckpointDir(root)
     return root.rstrip("/")

@@ -15,10 +15,15 @@ def read_nested_json(spark: SparkSession, path: str) -> DataFrame:
 
 
 def read_pipe_table(spark: SparkSession, path: str, columns: list[str]) -> DataFrame:
-    """Rows of text parted by |; lines starting with # and lines of another width are left out."""
+    """Rows of text parted by |, without empty lines and those that start with #.
+
+    A line of another width has nulls and says so in `problem`, which is null for the others.
+    """
     cells = F.transform(F.split("value", "\\|"), lambda x: F.trim(x))
-    rows = spark.read.text(path).filter(~F.col("value").startswith("#")).select(cells.alias("c")).filter(F.size("c") == len(columns))
-    return rows.select(*[F.col("c")[k].alias(name) for k, name in enumerate(columns)])
+    rows = spark.read.text(path).filter(~F.col("value").startswith("#") & (F.trim("value") != "")).select("value", cells.alias("c"))
+    fine = F.size("c") == len(columns)
+    problem = F.when(~fine, F.concat(F.size("c").cast("string"), F.lit(f" cells instead of {len(columns)}: "), F.col("value")))
+    return rows.select(*[F.when(fine, F.col("c")[k]).alias(name) for k, name in enumerate(columns)], problem.alias("problem"))
 
 
 def read_transmission(spark: SparkSession, path: str) -> DataFrame:

@@ -13,8 +13,9 @@ from lineshed.operators.kernels import Peaks
 from lineshed.sources import instruments
 
 
-def _json(df: DataFrame, most: int = 1000) -> str:
-    return json.dumps([json.loads(r[0]) for r in df.select(F.to_json(F.struct("*"), {"ignoreNullFields": "false"})).limit(most).collect()])
+def _json(df: DataFrame) -> str:
+    """All rows as a JSON list, fetched a partition at a time."""
+    return json.dumps([json.loads(r[0]) for r in df.select(F.to_json(F.struct("*"), {"ignoreNullFields": "false"})).toLocalIterator()])
 
 
 def lookup_binding_energy(table: DataFrame, element: str, orbital: str) -> str:

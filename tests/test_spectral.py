@@ -272,7 +272,7 @@ def test_reference_tables(spark, tmp_path):
     (tmp_path / "t.json").write_text('{"Si": {"2p": {"1000": 1.5, "2000": null}}}')
     assert [tuple(r) for r in tables.read_nested_json(spark, str(tmp_path / "t.json")).orderBy("energy").collect()] == [("Si", "2p", 1000.0, 1.5), ("Si", "2p", 2000.0, None)]
     (tmp_path / "p.par").write_text("# h\nSi | 2p | 99.4\nbad\n")
-    assert [tuple(r) for r in tables.read_pipe_table(spark, str(tmp_path / "p.par"), ["e", "o", "b"]).collect()] == [("Si", "2p", "99.4")]
+    assert [tuple(r) for r in tables.read_pipe_table(spark, str(tmp_path / "p.par"), ["e", "o", "b"]).collect()] == [("Si", "2p", "99.4", None), (None, None, None, "1 cells instead of 3: bad")]
     (tmp_path / "Slit0p5_spot1x0p3.tsv").write_text("ratio\tT\n1.0\t2.5\n")
     assert tuple(tables.read_transmission(spark, str(tmp_path / "Slit0p5_spot1x0p3.tsv")).first()) == (1.0, 2.5, 0.5, "1x0p3")
     tables.write_results(spark.range(100).withColumnRenamed("id", "spectrum_id"), str(tmp_path / "r"))
