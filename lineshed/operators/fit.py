@@ -18,6 +18,7 @@ from lineshed.operators.kernels import Dictionary, Peaks
 from lineshed.session import materialize
 
 MOST_CELLS = 20_000_000
+ROWS = 2048  # spectra solved at a time, so that their scores stay near the processor
 MODES = {"preview": "amp_only", "fast": "four_step", "balanced": "parabola", "precise": "hybrid", "gamma_calibrated": "gamma", "adaptive": "taylor"}
 #: What the modes ask of the dictionary solver.
 REFINEMENTS = {"hybrid": "four_step", "dictionary": "none", "six_step": "six_step", "taylor": "taylor", "clean": "clean"}
@@ -25,14 +26,15 @@ FIT_FIELDS = "amplitudes array<double>, shift double, width double, chi2 double"
 
 
 def _matrix(column: pa.ChunkedArray | pa.Array, n_energy: int) -> np.ndarray:
-    """Rows of a list column as a matrix; null rows and rows of another length become NaN."""
+    """Rows of a list column as a matrix, of floats if they are, else doubles; null rows and rows of another length become NaN."""
     array = column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column
     sizes = np.diff(array.offsets.to_numpy())
     fine = (sizes == n_energy) & (~np.asarray(array.is_null()))
-    out = np.full((len(array), n_energy), np.nan)
+    kind = np.float32 if array.type.value_type == pa.float32() else np.float64
     if fine.all():
-        out[:] = array.flatten().to_numpy(zero_copy_only=False).reshape(-1, n_energy)
-    elif fine.any():
+        return array.flatten().to_numpy(zero_copy_only=False).reshape(-1, n_energy).astype(kind, copy=False)
+    out = np.full((len(array), n_energy), np.nan, dtype=kind)
+    if fine.any():
         out[fine] = np.stack([np.asarray(array[int(k)].as_py(), dtype=np.float64) for k in np.flatnonzero(fine)])
     return out
 
@@ -69,18 +71,23 @@ def fit(df: DataFrame, peaks: Peaks, mode: str = "balanced", intensity: str = "i
     d = _check(kernels.build_dictionary(peaks, delta))
     n_energy = len(peaks.energy)
 
+    def solve(y: np.ndarray, d: Dictionary) -> tuple[np.ndarray, ...]:
+        if mode == "amp_only":
+            a, chi2 = kernels.solve_amplitudes(y, d.weights[d.nominal], d.profiles[d.nominal])
+            return a, np.zeros(len(y)), np.zeros(len(y)), chi2
+        if mode == "four_step":
+            return kernels.solve_four_step(y, d, d.nominal)
+        return kernels.solve_dictionary(y, d, REFINEMENTS.get(mode, "parabola"), peaks)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             y = _matrix(batch.column(batch.schema.get_field_index("__y")), n_energy)
             good = np.isfinite(y).all(axis=1)
             n = int(good.sum())
-            if mode == "amp_only":
-                a, chi2 = kernels.solve_amplitudes(y[good], d.weights[d.nominal], d.profiles[d.nominal])
-                shift = width = np.zeros(n)
-            elif mode == "four_step":
-                a, shift, width, chi2 = kernels.solve_four_step(y[good], d, d.nominal)
-            else:
-                a, shift, width, chi2 = kernels.solve_dictionary(y[good], d, REFINEMENTS.get(mode, "parabola"), peaks)
+            y = y if n == len(y) else y[good]
+            own = d.astype(y.dtype)
+            parts = [solve(y[k : k + ROWS], own) for k in range(0, max(n, 1), ROWS)]
+            a, shift, width, chi2 = (np.concatenate(p).astype(np.float64, copy=False) for p in zip(*parts))
             at = np.cumsum(good) - 1
 
             def spread(v: np.ndarray) -> pa.Array:
@@ -96,18 +103,19 @@ def fit(df: DataFrame, peaks: Peaks, mode: str = "balanced", intensity: str = "i
 
 def fit_multipeak(df: DataFrame, each: Sequence[Peaks], rounds: int = 3, intensity: str = "intensity", keep: Sequence[str] = ("spectrum_id",)) -> DataFrame:
     """As fit, with a shift and a width for each component: arrays shifts and widths."""
-    products = kernels.Products([_check(kernels.build_dictionary(p)) for p in each])
+    ds = [_check(kernels.build_dictionary(p)) for p in each]
+    products = {kind: kernels.Products([d.astype(kind) for d in ds]) for kind in (np.dtype(np.float32), np.dtype(np.float64))}
     n_energy = len(each[0].energy)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
-            for start in range(0, whole.num_rows, 2048):
-                batch = whole.slice(start, 2048)
+            for start in range(0, whole.num_rows, ROWS):
+                batch = whole.slice(start, ROWS)
                 y = np.nan_to_num(_matrix(batch.column(batch.num_columns - 1), n_energy))
-                a, shifts, widths, chi2 = kernels.solve_multipeak(y, products, rounds)
-                lists = [_lists(np.ascontiguousarray(x)) for x in (a, shifts, widths)]
+                a, shifts, widths, chi2 = kernels.solve_multipeak(y, products[y.dtype], rounds)
+                lists = [_lists(np.ascontiguousarray(x, dtype=np.float64)) for x in (a, shifts, widths)]
                 kept = [batch.column(i) for i in range(batch.num_columns - 1)]
-                yield pa.RecordBatch.from_arrays([*kept, *lists, pa.array(chi2)], names=[*batch.schema.names[:-1], "amplitudes", "shifts", "widths", "chi2"])
+                yield pa.RecordBatch.from_arrays([*kept, *lists, pa.array(chi2.astype(np.float64))], names=[*batch.schema.names[:-1], "amplitudes", "shifts", "widths", "chi2"])
 
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.select(*keep).schema)
     return df.select(*keep, values(df, intensity).alias("__y")).mapInArrow(run, schema + ", amplitudes array<double>, shifts array<double>, widths array<double>, chi2 double")

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import math
-from dataclasses import dataclass, field
+from dataclasses import dataclass, field, replace
 from functools import lru_cache
 
 import numpy as np
@@ -125,6 +125,10 @@ class Dictionary:
     by_sigma: np.ndarray
     coupling: np.ndarray = field(default=None)
 
+    def astype(self, kind: np.dtype) -> Dictionary:
+        """The same in another precision; shifts and widths stay doubles."""
+        return replace(self, **{name: getattr(self, name).astype(kind, copy=False) for name in ("columns", "profiles", "weights", "by_center", "by_sigma", "coupling")})
+
     @property
     def nominal(self) -> int:
         return int(np.argmin(np.abs(self.shifts))) * len(self.widths) + int(np.argmin(np.abs(self.widths)))
@@ -256,6 +260,7 @@ class Products:
 
     def __init__(self, dictionaries: list[Dictionary]):
         self.dictionaries = dictionaries
+        self.nominal = [d.nominal for d in dictionaries]
         self.flat = [d.profiles[:, :, 0] for d in dictionaries]
         self.grams = [[p @ q.T for q in self.flat] for p in self.flat]
         self.scale = [1 / np.maximum(np.linalg.norm(p, axis=1), 1e-300) for p in self.flat]
