@@ -6,7 +6,8 @@
    candidates; a band's classes are tied to its least class, so that ties stay linear in the rows.
    At a similarity of 0.8 a pair shares no band with probability (1 - 0.8^5)^32, about 3e-6.
 3. Connected ties form clusters. A cluster of over `BLOCK` classes is dealt into blocks, and each
-   pair of blocks is a task of its own, so no task grows with a cluster.
+   pair of blocks is a task of its own, so no task grows with a cluster. Small clusters are put together.
+   Blocks and bundles are bounded in rows and in bytes of shingles, but for a single very long text.
 4. A task compares MinHash values `STEP` at a time. After n values with m equal ones, the similarity
    has the posterior Beta(m + 1, n - m + 1); a pair whose probability of reaching the threshold is
    under `TOLERANCE` is dropped. The exact Jaccard similarity of the others decides. Tasks return
@@ -14,7 +15,8 @@
 5. Links form the near-duplicate classes.
 
 Edge cases: a text without words (null, empty, blank) links to nothing and is its own class; a row
-with null id has a null class and no links; rows that repeat an id with equal text are copies; a text
+with null id has a null class and no links; an empty table gives no rows; very long texts are read whole;
+columns of any name pass `one_of_each` untouched; rows that repeat an id with equal text are copies; a text
 of fewer than five words has one shingle. Ids only name rows: the least id of a class names it.
 """
 
@@ -30,7 +32,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from lineshed.llm.graph import components
-from lineshed.llm.textops import byte_batches, map_texts, mix64, shingle_hashes, word_hashes
+from lineshed.llm.textops import byte_batches, fresh, map_texts, mix64, shingle_hashes, word_hashes
 from lineshed.session import materialize
 
 SIZE = 5
@@ -41,6 +43,7 @@ STEP = 16
 TOLERANCE = 1e-6
 BLOCK = 512
 BUNDLE = 2048
+BYTES = 16 << 20
 U = np.uint64
 _factors = np.random.default_rng(7).integers(1, 1 << 63, HASHES, dtype=np.uint64) * U(2) + U(1)
 
@@ -149,18 +152,19 @@ def forest(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
 
 
 def sign(docs: DataFrame, text: str, key: str, size: int) -> DataFrame:
-    """(doc_id, set_key, bands) for each row; both null for a text without words."""
+    """(doc_id, set_key, bands, n_shingles) for each row; the first two null for a text without words."""
 
     def run(texts: list) -> list:
-        keys, bands = [], []
+        keys, bands, sizes = [], [], []
         for t in texts:
             s = shingle_set(t, size)
             keys.append(hashlib.blake2b(s.tobytes(), digest_size=16).digest() if len(s) else None)
             bands.append(band_keys(minhash(s)).view(np.int64) if len(s) else None)
-        return [keys, bands]
+            sizes.append(len(s))
+        return [keys, bands, sizes]
 
     named = docs.select(F.col(key).cast("long").alias("doc_id"), F.col(text).alias("text"))
-    return map_texts(named, "text", ["doc_id"], "set_key binary, bands array<long>", run)
+    return map_texts(named, "text", ["doc_id"], "set_key binary, bands array<long>, n_shingles long", run)
 
 
 def _verify(threshold: float):
@@ -198,17 +202,20 @@ def near_duplicates(docs: DataFrame, text: str = "text", key: str = "doc_id", si
     named = signed.filter("doc_id is not null and set_key is not null")
     classes = materialize(
         named.groupBy("set_key")
-        .agg(F.min("doc_id").alias("copy_id"), F.count("*").alias("copies"), F.first("bands").alias("bands"))
+        .agg(F.min("doc_id").alias("copy_id"), F.count("*").alias("copies"), F.first("bands").alias("bands"), F.first("n_shingles").alias("n_shingles"))
         .withColumn("cid", F.monotonically_increasing_id()),
         "classes",
     )
     banded = classes.select("cid", F.explode("bands").alias("band"))
     shared = banded.groupBy("band").agg(F.count("*").alias("n"), F.min("cid").alias("head")).filter("n > 1")
     ties = banded.join(shared, "band").filter("cid != head").select("cid", "head")
-    clusters = materialize(components(ties, "cid", "head").withColumnsRenamed({"node": "cid", "component": "cluster"}), "clusters")
-    parts = clusters.groupBy("cluster").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("parts"))
-    members = clusters.join(parts, "cluster").join(classes.select("cid", "set_key", "copy_id", "copies"), "cid")
-    bundles = max(1, clusters.count() // BUNDLE)
+    found = components(ties, "cid", "head").withColumnsRenamed({"node": "cid", "component": "cluster"})
+    clusters = materialize(found.join(classes.select("cid", "n_shingles"), "cid"), "clusters")
+    n, held = F.count("*"), (HASHES * 4 + 8) * F.count("*") + 8 * F.sum("n_shingles")
+    parts = clusters.groupBy("cluster").agg(F.ceil(F.greatest(n / BLOCK, held / BYTES)).cast("int").alias("parts"))
+    members = clusters.drop("n_shingles").join(parts, "cluster").join(classes.select("cid", "set_key", "copy_id", "copies"), "cid")
+    all_of = clusters.agg(n.alias("n"), held.alias("held")).first()
+    bundles = max(1, all_of["n"] // BUNDLE, (all_of["held"] or 0) // BYTES)
 
     def payload(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in byte_batches(frames, "t"):
@@ -275,6 +282,7 @@ def one_of_each(docs: DataFrame, text: str = "text", key: str = "doc_id", size:
     Of rows that repeat an id with equal text one stays.
     """
     first = near_duplicates(docs, text, key, size, threshold).filter("doc_id = class_id").select(F.col("doc_id").alias(key)).distinct()
-    again = Window.partitionBy(key, text).orderBy(key)
-    kept = docs.filter(F.col(key).isNotNull()).join(first, key, "left_semi").withColumn("__again", F.row_number().over(again)).filter("__again = 1").drop("__again")
+    again = Window.partitionBy(key, F.sha2(F.col(text).cast("binary"), 256)).orderBy(key)
+    number = fresh("__again", docs.columns)
+    kept = docs.filter(F.col(key).isNotNull()).join(first, key, "left_semi").withColumn(number, F.row_number().over(again)).filter(F.col(number) == 1)
     return kept.select(*docs.columns).unionByName(docs.filter(F.col(key).isNull()))

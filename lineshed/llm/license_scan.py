@@ -1,18 +1,21 @@
 """License scan with DataFrame functions only: MinHash bands over windows, then exact containment.
 
-Templates are cut into segments of at most `SEGMENT` words. For segments of m words a document is cut
-into overlapping windows of m + s - 1 words, s apart, with s = 1 + (m - 4) div 4: any run of m words lies
-whole in one of them, and the window has few other shingles, so that a window with a share c of the
-segment's five-word shingles has a Jaccard similarity of at least about 0.8 c. `BANDS` bands of `ROWS`
-MinHash values then meet with probability 1 - (1 - 0.64^2)^16, over 0.999 at c = 0.8. Found pairs are
-verified exactly: the share of the segment's shingles in the window must be `CONTAINMENT` or more.
+Templates are cut into segments of at most `SEGMENT` five-word shingles, each place of a shingle in one segment. For
+segments of m words a document is cut into overlapping windows of m + s - 1 words, s apart, with
+s = 1 + (m - 4) div 4: any run of m words lies whole in one of them, and the window has at most 1.25 times
+the segment's shingles, so that a window with a share c of them has a Jaccard similarity of c / (2.25 - c)
+or more. At c = 0.8 that is 0.55, and `BANDS` bands of `ROWS` MinHash values meet with probability
+1 - (1 - 0.55^2)^24, over 0.999. Found pairs are verified exactly: the share of the whole template's shingles
+that the best windows of its segments hold must be `CONTAINMENT` or more.
 
 A window gets MinHash values only if it holds an anchor: every template shingle has one of the anchor
 words, so a window without any shares no shingle with any template.
 
 Words are lower-cased runs of letters and digits. Edge cases: null, empty and word-less texts match
-nothing; a template of fewer than five words has one shingle of all its words; further columns of the
-documents are ignored; rows with equal ids are reported as one document; a null id is an id.
+nothing, nor does an empty table; very long texts are read whole; of windows that hold as much of a segment
+all count in n_windows and the first gives start_word; a template of fewer than five words has one shingle
+of all its words; further columns of the documents, whatever their names, are ignored; rows with equal ids
+are reported as one document; a null id is an id.
 """
 
 from __future__ import annotations
@@ -22,7 +25,7 @@ from pyspark.sql import functions as F
 
 SIZE = 5
 SEGMENT = 40
-BANDS, ROWS = 16, 2
+BANDS, ROWS = 24, 2
 CONTAINMENT = 0.8
 #: An index of up to so many segments (some 50 MB) is sent to all tasks; a larger one is joined by a shuffle.
 MOST_SENT = 5000
@@ -30,7 +33,8 @@ MOST_SENT = 5000
 # Words that make poor anchors; a choice of speed only.
 COMMON = "a all an and any are as at be been by can do for from had has have if in is it its may more no not of on or other out over shall so such than that the their them there these they this those to under up was were which who will with without you your".split()
 
-# Notices by which texts state their license, as their publishers word them.
+# Notices by which texts state their license, as their publishers word them. Those that
+# don't name a version stand for all versions of their license.
 NOTICES = [
     ("Apache-2.0", "Licensed under the Apache License, Version 2.0."),
     ("Apache-2.0", "you may not use this file except in compliance with the License. You may obtain a copy of the License at"),
@@ -38,9 +42,9 @@ NOTICES = [
     ("MIT", "This project is licensed under the MIT License"),
     ("MIT", "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files"),
     ("GPL-3.0", "This work is licensed under the GNU General Public License, version 3."),
-    ("GPL-3.0", "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation"),
-    ("LGPL-3.0", "under the terms of the GNU Lesser General Public License as published by the Free Software Foundation"),
-    ("AGPL-3.0", "under the terms of the GNU Affero General Public License as published by the Free Software Foundation"),
+    ("GPL", "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation"),
+    ("LGPL", "under the terms of the GNU Lesser General Public License as published by the Free Software Foundation"),
+    ("AGPL", "under the terms of the GNU Affero General Public License as published by the Free Software Foundation"),
     ("BSD", "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met"),
     ("MPL-2.0", "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0."),
     ("CC-BY-NC-4.0", "Licensed under CC BY-NC 4.0."),
@@ -79,14 +83,18 @@ def band_keys(s: Column) -> Column:
 
 
 def segments(templates: DataFrame) -> DataFrame:
-    """(template_id, license, segment, n_segments, m, own): templates in parts of nearly equal length of at most SEGMENT words."""
-    w = templates.withColumn("w", words(F.col("template"))).filter("size(w) > 0").withColumn("n_segments", F.ceil(F.size("w") / SEGMENT).cast("int"))
-    cut = w.withColumn("segment", F.explode(F.sequence(F.lit(0), F.col("n_segments") - 1)))
-    first = F.floor(F.col("segment") * F.size("w") / F.col("n_segments"))
-    last = F.floor((F.col("segment") + 1) * F.size("w") / F.col("n_segments"))
-    return cut.withColumn("w", F.slice("w", (first + 1).cast("int"), (last - first).cast("int"))).select(
-        "template_id", "license", "segment", "n_segments", F.size("w").alias("m"), "w", shingles(F.col("w")).alias("own")
-    )
+    """(template_id, license, segment, m, w, own, n_own): templates in parts of nearly as many shingles, at most SEGMENT.
+
+    A shingle that stands in several parts counts in each.
+    """
+    w = templates.withColumn("w", words(F.col("template"))).filter("size(w) > 0")
+    n = F.greatest(F.size("w") - (SIZE - 1), F.lit(1))
+    w = w.withColumn("__n", n).withColumn("__parts", F.ceil(F.col("__n") / SEGMENT).cast("int"))
+    first = lambda k: F.floor(k * F.col("__n") / F.col("__parts")).cast("int")
+    cut = w.withColumn("segment", F.explode(F.sequence(F.lit(0), F.col("__parts") - 1))).withColumn("__first", first(F.col("segment")))
+    size = F.greatest(first(F.col("segment") + 1) - F.col("__first"), F.lit(1)) + (SIZE - 1)
+    cut = cut.withColumn("w", F.slice("w", F.col("__first") + 1, size)).withColumn("own", shingles(F.col("w")))
+    return cut.select("template_id", "license", "segment", F.size("w").alias("m"), "w", "own", F.size("own").alias("n_own"))
 
 
 def anchors(cut: DataFrame) -> list[str]:
@@ -100,14 +108,15 @@ def anchors(cut: DataFrame) -> list[str]:
 def scan(docs: DataFrame, templates: DataFrame, text: str = "text", key: str = "doc_id", containment: float = CONTAINMENT) -> DataFrame:
     """(doc_id, template_id, license, containment, start_word, n_windows): the templates whose segments a document holds.
 
-    containment is the mean over the template's segments of the best window's share of shingles, and
-    start_word that of the first matching window.
+    containment is the share of the template's shingles that the best windows of its segments hold, n_windows
+    how many windows hold that share of a segment, and start_word where the first of them begins.
     """
     cut = segments(templates)
     sizes = sorted(r["m"] for r in cut.select("m").distinct().collect())  # at most SEGMENT
-    known = F.array(*[F.lit(a) for a in anchors(cut)])
+    listed = anchors(cut)
+    known = F.array(*[F.lit(a) for a in listed])
     found = docs.select(F.col(key).alias("doc_id"), words(F.col(text)).alias("w")).filter(F.arrays_overlap("w", known))
-    at = F.filter(F.transform("w", lambda x, k: F.when(F.array_contains(known, x), k)), lambda k: k.isNotNull())
+    at = F.filter(F.transform("w", lambda x, k: F.when(x.isin(*listed), k)), lambda k: k.isNotNull())
     located = found.withColumn("at", at)
 
     def starts(m: int) -> Column:
@@ -121,16 +130,17 @@ def scan(docs: DataFrame, templates: DataFrame, text: str = "text", key: str = "
         "doc_id", "x.m", "x.start", shingles(F.slice("w", F.col("x.start") + 1, F.col("x.size"))).alias("s")
     )
     banded = windows.withColumn("band", F.explode(band_keys(F.col("s"))))
-    index = cut.select("template_id", "license", "segment", "n_segments", "m", "own", F.explode(band_keys(F.col("own"))).alias("band"))
+    totals = cut.groupBy("template_id").agg(F.sum("n_own").alias("n_all"))
+    index = cut.join(totals, "template_id").select("template_id", "license", "segment", "n_all", "n_own", "m", "own", F.explode(band_keys(F.col("own"))).alias("band"))
     index = F.broadcast(index) if cut.count() <= MOST_SENT else index
-    share = F.size(F.array_intersect("s", "own")) / F.size("own")
-    pairs = banded.join(index, ["m", "band"]).withColumn("share", share).filter(F.col("share") >= containment)
-    best = pairs.groupBy("doc_id", "template_id", "license", "segment", "n_segments").agg(
-        F.max("share").alias("share"), F.min("start").alias("start"), F.count_distinct("start").alias("windows")
+    pairs = banded.join(index, ["m", "band"]).withColumn("held", F.size(F.array_intersect("s", "own"))).filter("held > 0")
+    enough = F.col("held") / F.col("n_own") >= containment
+    best = pairs.groupBy("doc_id", "template_id", "license", "segment", "n_all").agg(
+        F.max("held").alias("held"), F.min(F.when(enough, F.col("start"))).alias("start"), F.min_by("start", F.struct(-F.col("held"), F.col("start"))).alias("near"), F.count_distinct(F.when(enough, F.col("start"))).alias("windows")
     )
     return (
-        best.groupBy("doc_id", "template_id", "license", "n_segments")
-        .agg((F.sum("share") / F.first("n_segments")).alias("containment"), F.min("start").cast("long").alias("start_word"), F.sum("windows").alias("n_windows"))
+        best.groupBy("doc_id", "template_id", "license", "n_all")
+        .agg((F.sum("held") / F.col("n_all")).alias("containment"), F.coalesce(F.min("start"), F.min("near")).cast("long").alias("start_word"), F.sum("windows").alias("n_windows"))
         .filter(F.col("containment") >= containment)
-        .drop("n_segments")
+        .drop("n_all")
     )

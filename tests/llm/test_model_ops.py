@@ -212,6 +212,25 @@ def test_license_scan(spark):
     assert license_scan.scan(frame.filter("false"), license_scan.notices(spark)).count() == 0
 
 
+def test_long_templates_are_contained_as_a_whole(spark):
+    words = [f"clause{k}" for k in range(103)]
+    template = spark.createDataFrame([(1, "L", " ".join(words)), (2, "R", " ".join(words[:50] + words[:50]))], "template_id long, license string, template string")
+
+    def cut(*holes):
+        return " ".join(["before"] * 30 + [w if k not in holes else f"other{k}" for k, w in enumerate(words)] + ["after"] * 30)
+
+    docs = [(1, cut()), (2, cut(5, 12, 19)), (3, cut(*range(5, 103, 12))), (4, cut(33, 66)), (5, None)]
+    got = {(r["doc_id"], r["template_id"]): r["containment"] for r in license_scan.scan(spark.createDataFrame(docs, "doc_id long, text string"), template).collect()}
+    assert len(license_scan.segments(template).collect()) > 2
+
+    def share(text):
+        runs = lambda w: {tuple(w[k : k + 5]) for k in range(len(w) - 4)}
+        return len(runs(text.split()) & runs(words)) / 99
+
+    assert {d: v for (d, t), v in got.items() if t == 1} == pytest.approx({d: share(t) for d, t in docs if t and share(t) >= 0.8})
+    assert {d for d, t in got if t == 1} == {1, 2, 4}  # in document 2 one segment alone has too little
+
+
 def test_license_query(spark):
     templates = [(k, n, t) for k, (n, t) in enumerate(license_scan.NOTICES)]
     got = defaultdict(set)
