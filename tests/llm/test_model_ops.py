@@ -347,6 +347,32 @@ def test_pipeline(spark):
     assert {r["doc_id"] for r in pieces} == {r["doc_id"] for r in kept[-1].collect()}
 
 
+def test_stages_take_odd_rows(spark):
+    import corpus_pipeline
+
+    from lineshed.session import materialize
+
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    from pyspark.sql import functions as F
+
+    named = docs.withColumns({"__row": F.lit("r"), "__text": F.lit(7), "__again": F.lit(1.5), "perplexity": F.lit(None).cast("double"), "Offset": F.lit(2)})
+    text = docs.filter("length(text) between 500 and 3000 and lang = 'en'").orderBy("doc_id").first()["text"]
+    odd = [(None, None), (None, text), (None, text), (-1, ""), (-2, text + " one more"), (-2, text + " one more"), (-3, "word"), (-4, "\u65e5\u672c " * 40), (-5, text * 60)]
+    more = spark.createDataFrame(odd, "doc_id long, text string").withColumns({"lang": F.lit("en"), "source": F.lit(None).cast("string"), "n_chars": F.length("text").cast("long")})
+    here = named.unionByName(more.withColumns({"__row": F.lit("r"), "__text": F.lit(7), "__again": F.lit(1.5), "perplexity": F.lit(None).cast("double"), "Offset": F.lit(2)}))
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        before, here = here, materialize(stage(spark, here, SF), name)
+        assert here.schema.simpleString() == before.schema.simpleString() and here.exceptAll(before).count() == 0, name
+        empty = stage(spark, before.filter("false"), SF)
+        assert empty.columns == before.columns and empty.count() == 0, name
+    ids = [r["doc_id"] for r in here.collect()]
+    assert ids.count(None) == 2 and ids.count(-2) <= 1 and not {-1, -4} & set(ids)
+    pieces = corpus_pipeline.STAGES[-1][1](spark, here, SF)
+    assert pieces.columns == ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset"]
+    assert {r["doc_id"] for r in pieces.collect()} == set(ids)
+    assert corpus_pipeline.STAGES[-1][1](spark, here.filter("false"), SF).count() == 0
+
+
 def test_short_texts_have_an_allowance(spark):
     from pyspark.sql import functions as F
 
