@@ -8,8 +8,8 @@ some 4 % of the unlike ones. A text shorter than an item is one window, compared
 length whatever the distance. Found pairs are verified exactly: weighted Jaccard similarity of the word
 five-shingles, each weighing the letters of its words, of `THRESHOLD` or more.
 
-Only windows that hold enough benchmark shingles to reach the threshold with some item of their
-length get a fingerprint; the bound is exact, so none that could be verified is passed over.
+Only windows that hold enough shingles of the items of their length to reach the threshold with one of
+them get a fingerprint; the bound is exact, so none that could be verified is passed over.
 
 The benchmark is read in parts of about `PART_BYTES` of text, so what a task holds is bounded whatever
 the benchmark's size; all parts are searched in the same pass when documents are cleaned.
@@ -92,6 +92,7 @@ class ItemIndex:
     least: dict[int, int] = field(default_factory=dict)  # by length: the fewest shared shingles of a match
     shingles: dict[int, np.ndarray] = field(default_factory=dict)  # by shingle size, rising
     by_length: dict[int, list[int]] = field(default_factory=dict)
+    own_shingles: dict[int, np.ndarray] = field(default_factory=dict)  # by length, rising
 
     def add(self, item_id: int, text: str | None) -> None:
         words, lengths = hashed_words(text, plain=True)
@@ -111,6 +112,7 @@ class ItemIndex:
             by_size.setdefault(min(n, SIZE), set()).update(own)
         self.shingles = {k: np.array(sorted(v), dtype=U) for k, v in by_size.items()}
         for n, members in self.by_length.items():
+            self.own_shingles[n] = np.array(sorted(set().union(*[self.items[k][3] for k in members])), dtype=U)
             at = np.array(members)
             values = np.array([block_values(self.items[k][2]) for k in members])
             order = np.argsort(values, axis=0, kind="stable")
@@ -142,15 +144,19 @@ class ItemIndex:
             hit = known[at] == shingles
             if not hit.any():
                 continue
-            seen = np.concatenate([[0], np.cumsum(hit)])
+            places = np.flatnonzero(hit)
+            found = shingles[places]
             for n, fewest in self.least.items():
-                if min(n, SIZE) != size:
+                if min(n, SIZE) != size or len(places) < fewest:
+                    continue
+                of_length = places[np.isin(found, self.own_shingles[n])]
+                if len(of_length) < fewest:
                     continue
                 if n > len(words):
-                    if seen[-1] >= fewest:
-                        self._compare_whole(words, lengths, n, best)
+                    self._compare_whole(words, lengths, n, best)
                     continue
                 # a repeated shingle weighs as often as it stands, so positions bound the shared weight
+                seen = np.searchsorted(of_length, np.arange(len(shingles) + 1))
                 inside = seen[n - size + 1 :] - seen[: len(words) - n + 1]
                 starts = np.flatnonzero(inside >= fewest)
                 if len(starts):
