@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+import zlib
 from collections.abc import Callable, Iterator, Sequence
 
 import numpy as np
@@ -12,6 +13,8 @@ from pyspark.sql import functions as F
 
 from lineshed.operators import kernels
 from lineshed.operators.background import BACKGROUNDS
+from lineshed.operators.poisson import resample
+from lineshed.operators.quantify import composition
 
 FEWEST = 12  # points that the smoothing and the peak search need
 
@@ -210,9 +213,11 @@ def identifiability(parameters: DataFrame, energy: np.ndarray, exposure: float =
     return parameters.select(key, "area", "center", "sigma", "gamma").mapInPandas(run, f"{key} {kind}, sd_center double, sd_sigma double, sd_gamma double, rank int, condition double, label string")
 
 
-def bootstrap(df: DataFrame, statistic: Callable[[np.ndarray, np.ndarray], float], draws: int = 200, seed: int = 0, key: str = "spectrum_id", energy: str = "energy", intensity: str = "intensity") -> DataFrame:
-    """One row a spectrum and draw: the statistic of counts drawn anew from Poisson distributions of the counts.
+def bootstrap(df: DataFrame, statistic: Callable[[np.ndarray, np.ndarray], float], draws: int = 200, seed: int = 0, key: str = "spectrum_id", energy: str = "energy", intensity: str = "intensity", kind: str = "nonparametric", mean: Callable[[np.ndarray, np.ndarray], np.ndarray] | None = None) -> DataFrame:
+    """One row a spectrum and draw: the statistic of counts drawn anew.
 
+    kind: nonparametric, from Poisson distributions of the counts; parametric, of what mean(energy, counts)
+    says; sweeps, where the intensity is a list of sweeps, which are drawn with replacement and summed.
     Draws are seeded by the spectrum's id, so they don't depend on partitions.
     """
 
@@ -220,11 +225,42 @@ def bootstrap(df: DataFrame, statistic: Callable[[np.ndarray, np.ndarray], float
         for pdf in frames:
             for k, e, y in zip(pdf[key], pdf[energy], pdf[intensity]):
                 rng = np.random.default_rng([seed, int(k)])
-                e, y = np.asarray(e, dtype=np.float64), np.maximum(np.asarray(y, dtype=np.float64), 0)
-                yield pd.DataFrame({key: k, "draw": np.arange(draws, dtype=np.int32), "value": [float(statistic(e, c)) for c in rng.poisson(y, (draws, len(y)))]})
+                e = np.asarray(e, dtype=np.float64)
+                y = np.stack([np.asarray(v, dtype=np.float64) for v in y]) if kind == "sweeps" else np.asarray(y, dtype=np.float64)
+                expected = np.maximum(mean(e, y), 0) if kind == "parametric" else None
+                values = [float(statistic(e, resample(y, kind, rng, expected))) for _ in range(draws)]
+                yield pd.DataFrame({key: k, "draw": np.arange(draws, dtype=np.int32), "value": values})
 
-    kind = df.schema[key].dataType.simpleString()
-    return df.select(key, energy, intensity).mapInPandas(run, f"{key} {kind}, draw int, value double")
+    named = df.schema[key].dataType.simpleString()
+    return df.select(key, energy, intensity).mapInPandas(run, f"{key} {named}, draw int, value double")
+
+
+def composition_uncertainty(lines: DataFrame, draws: int = 200, seed: int = 0, sample: str = "sample", element: str = "element", energy: str = "energy", intensity: str = "intensity", cross_section: str = "cross_section", imfp: str = "imfp") -> DataFrame:
+    """(sample, element, mean, sd, area_noise, n_drawn, n_refused) over Poisson replicates of each line's counts.
+
+    Every replicate is quantified anew: a line's area is the trapezoid above a linear background, and a
+    sample with an area that isn't positive is refused in that replicate. area_noise is the sd of the
+    replicates' areas over the area as measured.
+    """
+
+    def areas(e: np.ndarray, y: np.ndarray) -> np.ndarray:
+        slope = (y[..., -1:] - y[..., :1]) / (e[-1] - e[0])
+        return np.abs(np.trapezoid(y - y[..., :1] - slope * (e - e[0]), e, axis=-1))
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in frames:
+            for s, x, e, y, cs, path in pdf.itertuples(index=False):
+                rng = np.random.default_rng([seed, zlib.crc32(f"{s}\t{x}".encode())])
+                e, y = np.asarray(e, dtype=np.float64), np.maximum(np.asarray(y, dtype=np.float64), 0)
+                got = areas(e, rng.poisson(y, (draws, len(y))).astype(np.float64))
+                yield pd.DataFrame({"s": s, "x": x, "draw": np.arange(draws, dtype=np.int32), "area": got, "measured": float(areas(e, y)), "cs": cs, "path": path})
+
+    kind = dict(lines.dtypes)
+    drawn = lines.select(sample, element, energy, intensity, cross_section, imfp).mapInPandas(run, f"s {kind[sample]}, x {kind[element]}, draw int, area double, measured double, cs double, path double")
+    rows = composition(drawn.withColumn("rep", F.struct("s", "draw")), "rep", "x", "area", "cs", "path")
+    return rows.groupBy(F.col("s").alias(sample), F.col("x").alias(element)).agg(
+        F.avg("fraction").alias("mean"), F.stddev("fraction").alias("sd"), F.try_divide(F.stddev("area"), F.first("measured")).alias("area_noise"), F.count("*").alias("n_drawn"), F.count_if(F.col("status") == "refused").alias("n_refused")
+    )
 
 
 def cross_section(df: DataFrame, table: DataFrame, by: Sequence[str], x: str = "photon_energy", grid: str = "energy", value: str = "cross_section", extrapolate: bool = True) -> DataFrame:

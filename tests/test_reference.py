@@ -146,3 +146,42 @@ def test_the_rest_stands_without_the_corpus_part(tmp_path, also):
             shutil.copy(source, tmp_path / name)
     code = "import __spark_entry__ as e; q = e.queries(); o = e.oracle_sql(); assert len(q) > 90 and set(o) <= set(q) and not any(n.startswith('op') and n[2].isdigit() or n == 'pipeline' for n in q)"
     subprocess.run([sys.executable, "-c", code], cwd=tmp_path, check=True, timeout=120)
+
+
+def test_composition_uncertainty_follows_counts(spark):
+    e = np.linspace(0, 10, 41)
+    rows = [(s, x, e.tolist(), (20 + n * kernels.voigt(e, 5, 0.6, 0.1)).tolist(), 1.0, 1.0) for s, n in (("much", 40_000), ("little", 400)) for x in ("A", "B")] + [("none", "A", e.tolist(), [0.0] * 41, 1.0, 1.0)]
+    df = spark.createDataFrame(rows, "sample string, element string, energy array<double>, intensity array<double>, cross_section double, imfp double")
+    got = {(r["sample"], r["element"]): r for r in analyse.composition_uncertainty(df, 100).collect()}
+    assert got["much", "A"]["mean"] == pytest.approx(0.5, abs=0.01) and got["much", "A"]["sd"] < 0.5 * got["little", "A"]["sd"]
+    assert got["none", "A"]["n_refused"] == 100 and got["none", "A"]["mean"] is None and got["much", "B"]["n_refused"] == 0
+    again = {(r["sample"], r["element"]): r["sd"] for r in analyse.composition_uncertainty(df.repartition(3), 100).collect()}
+    assert again["much", "A"] == pytest.approx(got["much", "A"]["sd"])
+
+
+def test_bootstrap_kinds(spark):
+    e = np.linspace(0, 1, 20)
+    df = spark.createDataFrame([(1, e.tolist(), [100.0] * 20)], "spectrum_id long, energy array<double>, intensity array<double>")
+    total = lambda e, y: float(y.sum())
+    plain = [r["value"] for r in analyse.bootstrap(df, total, 200).collect()]
+    twice = [r["value"] for r in analyse.bootstrap(df, total, 200, kind="parametric", mean=lambda e, y: 2 * y).collect()]
+    sweeps = spark.createDataFrame([(1, e.tolist(), [[float(k)] * 20 for k in range(5)])], "spectrum_id long, energy array<double>, intensity array<array<double>>")
+    drawn = [r["value"] for r in analyse.bootstrap(sweeps, total, 50, kind="sweeps").collect()]
+    assert np.mean(plain) == pytest.approx(2000, rel=0.01) and np.mean(twice) == pytest.approx(4000, rel=0.01)
+    assert np.std(plain) == pytest.approx(math.sqrt(2000), rel=0.25) and {v % 20 for v in drawn} == {0} and len(set(drawn)) > 3
+
+
+def test_neighbours_in_blocks_of_queries(spark):
+    from lineshed.operators import poisson
+
+    rng = np.random.default_rng(7)
+    xy = rng.integers(0, 12, (300, 2))
+    code = (xy[:, 0] * 12 + xy[:, 1]).tolist()
+    df = spark.createDataFrame([(k, int(a), int(b), c) for k, ((a, b), c) in enumerate(zip(xy.tolist(), code))], "id long, x long, y long, code long")
+    got = {r["q"]: r["preserved"] for r in poisson.neighbour_preservation(df, df.filter("id % 20 = 0"), ["x", "y"], "code", block=4).collect()}
+    for q in range(0, 300, 20):
+        others = [k for k in range(300) if k != q]
+        space = sorted(others, key=lambda k: (((xy[k] - xy[q]) ** 2).sum(), k))[:10]
+        near = sorted(others, key=lambda k: (abs(code[k] - code[q]), k))[:10]
+        assert got[q] == pytest.approx(len(set(space) & set(near)) / 10)
+    assert poisson.neighbour_preservation(df, df.filter("false"), ["x", "y"], "code").count() == 0
