@@ -109,3 +109,10 @@ def dedup_names(df: DataFrame, name: str, order: str, out: str = "unique_name")
     """The second and later bearers of a name get _2, _3, ... in the given order."""
     n = F.row_number().over(Window.partitionBy(name).orderBy(order))
     return df.withColumn(out, F.when(n == 1, F.col(name)).otherwise(F.concat(F.col(name), F.lit("_"), n.cast("string"))))
+
+
+def end_means(intensity: Column, share: float = 0.1) -> tuple[Column, Column]:
+    """The means of the first and the last tenth of the points, one point at least."""
+    n = F.greatest(F.floor(F.size(intensity) * share).cast("int"), F.lit(1))
+    mean = lambda part: F.aggregate(part, F.lit(0.0), lambda acc, x: acc + x) / n
+    return mean(F.slice(intensity, F.lit(1), n)), mean(F.slice(intensity, -n, n))

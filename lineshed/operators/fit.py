@@ -7,6 +7,7 @@ checked against `MOST_CELLS` before it is sent to the workers.
 from __future__ import annotations
 
 from collections.abc import Iterator, Sequence
+from dataclasses import replace
 
 import numpy as np
 import pyarrow as pa
@@ -101,24 +102,64 @@ def fit(df: DataFrame, peaks: Peaks, mode: str = "balanced", intensity: str = "i
     return df.select(*keep, values(df, intensity).alias("__y")).mapInArrow(run, schema)
 
 
-def fit_multipeak(df: DataFrame, each: Sequence[Peaks], rounds: int = 3, intensity: str = "intensity", keep: Sequence[str] = ("spectrum_id",)) -> DataFrame:
-    """As fit, with a shift and a width for each component: arrays shifts and widths."""
-    ds = [_check(kernels.build_dictionary(p)) for p in each]
-    products = {kind: kernels.Products([d.astype(kind) for d in ds]) for kind in (np.dtype(np.float32), np.dtype(np.float64))}
-    n_energy = len(each[0].energy)
+#: A fit with another gamma stands only if it lowers chi2 by this share.
+GATE = 0.01
+
+
+def fit_multipeak(df: DataFrame, each: Sequence[Peaks], rounds: int = 3, intensity: str = "intensity", keep: Sequence[str] = ("spectrum_id",), degree: int | None = None, deltas: Sequence[float] = (), polish: int = 0) -> DataFrame:
+    """As fit, with a shift and a width for each component: arrays shifts and widths, and delta_gamma.
+
+    degree: of a polynomial background that is fitted along. deltas: other gammas to try, of which the best
+    is taken where it lowers chi2 by `GATE` or more; delta_gamma is 0 elsewhere. polish: so many damped
+    Gauss-Newton steps off the grid. A spectrum that is null, of another length or holds NaN gets nulls.
+    """
+    energy = each[0].energy
+    base = kernels.polynomial_base(energy, degree) if degree is not None else None
+    tried = [0.0, *[float(x) for x in deltas]]
+    held = [[_check(kernels.build_dictionary(p, x)) for p in each] for x in tried]
+    products = {np.dtype(kind): [kernels.Products([d.astype(kind) for d in ds], base) for ds in held] for kind in (np.float32, np.float64)}
+
+    def solve(y: np.ndarray) -> list[np.ndarray]:
+        first, *others = [list(kernels.solve_multipeak(y, p, rounds)) for p in products[y.dtype]]
+        got = [np.array(v, dtype=np.float64) for v in first] + [np.zeros(len(y))]
+        best = first[3] * (1 - GATE)
+        for delta, other in zip(tried[1:], others):
+            better = other[3] < best
+            best = np.where(better, other[3], best)
+            for old, new in zip(got, [*other, np.full(len(y), delta)]):
+                old[better] = new[better]
+        if polish:
+            for delta in np.unique(got[4]):
+                rows = got[4] == delta
+                own = [replace(p, gamma=p.gamma + delta) for p in each]
+                got[0][rows], got[1][rows], got[2][rows], got[3][rows] = kernels.polish(y[rows].astype(np.float64), own, got[0][rows], got[1][rows], got[2][rows], base, polish)
+        return got
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
             for start in range(0, whole.num_rows, ROWS):
                 batch = whole.slice(start, ROWS)
-                y = np.nan_to_num(_matrix(batch.column(batch.num_columns - 1), n_energy))
-                a, shifts, widths, chi2 = kernels.solve_multipeak(y, products[y.dtype], rounds)
-                lists = [_lists(np.ascontiguousarray(x, dtype=np.float64)) for x in (a, shifts, widths)]
+                y = _matrix(batch.column(batch.num_columns - 1), len(energy))
+                good = np.isfinite(y).all(axis=1)
+                a, shifts, widths, chi2, delta = solve(y[good])
+                at = np.maximum(np.cumsum(good) - 1, 0)
+                lists = [_lists(np.ascontiguousarray(x), good) for x in (a, shifts, widths)]
+                plain = [pa.array(x[at] if len(x) else np.zeros(len(good)), mask=~good) for x in (chi2, delta)]
                 kept = [batch.column(i) for i in range(batch.num_columns - 1)]
-                yield pa.RecordBatch.from_arrays([*kept, *lists, pa.array(chi2.astype(np.float64))], names=[*batch.schema.names[:-1], "amplitudes", "shifts", "widths", "chi2"])
+                yield pa.RecordBatch.from_arrays([*kept, *lists, *plain], names=[*batch.schema.names[:-1], "amplitudes", "shifts", "widths", "chi2", "delta_gamma"])
 
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.select(*keep).schema)
-    return df.select(*keep, values(df, intensity).alias("__y")).mapInArrow(run, schema + ", amplitudes array<double>, shifts array<double>, widths array<double>, chi2 double")
+    return df.select(*keep, values(df, intensity).alias("__y")).mapInArrow(run, schema + ", amplitudes array<double>, shifts array<double>, widths array<double>, chi2 double, delta_gamma double")
+
+
+def fit_multipeak_twice(df: DataFrame, each: Sequence[Peaks], deltas: Sequence[float], rounds: int = 3, intensity: str = "intensity", keep: Sequence[str] = ("spectrum_id",), degree: int | None = None) -> tuple[DataFrame, float]:
+    """Two stages: each spectrum's gamma first, then all again with the median correction of those that took one.
+
+    Returns the second fit and the correction, 0 if no spectrum took one.
+    """
+    first = fit_multipeak(df, each, rounds, intensity, keep, degree, deltas).select("delta_gamma")
+    delta = float(first.filter("delta_gamma != 0").agg(F.median("delta_gamma")).first()[0] or 0.0)
+    return fit_multipeak(df, [replace(p, gamma=p.gamma + delta) for p in each], rounds, intensity, keep, degree), delta
 
 
 def calibrate_gamma(df: DataFrame, peaks: Peaks, intensity: str = "intensity", half: float = 0.5, n: int = 11) -> float:

@@ -255,15 +255,29 @@ def solve_dictionary(y: np.ndarray, d: Dictionary, refine: str = "parabola", pea
     return amplitudes, shift, width, chi2
 
 
+def polynomial_base(energy: np.ndarray, degree: int) -> np.ndarray:
+    """Orthonormal columns that span the polynomials up to a degree."""
+    x = np.linspace(-1, 1, len(energy)) if len(energy) < 2 else 2 * (energy - energy.min()) / np.ptp(energy) - 1
+    return np.linalg.qr(np.stack([x**k for k in range(degree + 1)], axis=1))[0]
+
+
 class Products:
-    """Inner products of the profiles of several one-component dictionaries, by pairs of cells."""
+    """Inner products of the profiles of several one-component dictionaries, by pairs of cells.
 
-    def __init__(self, dictionaries: list[Dictionary]):
+    base: orthonormal columns of a background that is fitted along. What profiles and spectra have of it
+    is taken out before, which gives the amplitudes of the joint fit.
+    """
+
+    def __init__(self, dictionaries: list[Dictionary], base: np.ndarray | None = None):
         self.dictionaries = dictionaries
-        self.nominal = [d.nominal for d in dictionaries]
-        self.flat = [d.profiles[:, :, 0] for d in dictionaries]
+        kind = dictionaries[0].profiles.dtype
+        self.base = None if base is None else base.astype(kind, copy=False)
+        self.flat = [self.apart(d.profiles[:, :, 0]) for d in dictionaries]
         self.grams = [[p @ q.T for q in self.flat] for p in self.flat]
-        self.scale = [1 / np.maximum(np.linalg.norm(p, axis=1), 1e-300) for p in self.flat]
+        self.scale = [1 / np.maximum(np.linalg.norm(p, axis=1), np.finfo(kind).tiny) for p in self.flat]
+
+    def apart(self, rows: np.ndarray) -> np.ndarray:
+        return rows if self.base is None else rows - (rows @ self.base) @ self.base.T
 
 
 def _joint(gram: np.ndarray, right: np.ndarray) -> np.ndarray:
@@ -288,6 +302,7 @@ def solve_multipeak(y: np.ndarray, dictionaries: list[Dictionary] | Products, ro
     """
     products = dictionaries if isinstance(dictionaries, Products) else Products(dictionaries)
     ds, grams = products.dictionaries, products.grams
+    y = products.apart(y)
     n, k = len(y), len(ds)
     rows = np.arange(n)
     cells = [np.full(n, d.nominal) for d in ds]
@@ -323,6 +338,54 @@ def solve_multipeak(y: np.ndarray, dictionaries: list[Dictionary] | Products, ro
     return a.T, shifts, widths, _dot(rest, rest) / y.shape[1]
 
 
+def polish(y: np.ndarray, each: list[Peaks], amplitudes: np.ndarray, shifts: np.ndarray, widths: np.ndarray, base: np.ndarray | None = None, rounds: int = 3) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Damped Gauss-Newton steps off the grid, for all spectra at once: amplitudes, shifts, widths and chi2.
+
+    A spectrum takes a step only if it lowers its residual; else its damping grows.
+    """
+    n, k = shifts.shape
+    e = each[0].energy[None, :]
+    centers = np.array([p.centers[0] for p in each])
+    sigmas = np.array([p.sigmas[0] for p in each])
+    gammas = np.array([p.gamma for p in each])
+    clear = (lambda v: v) if base is None else (lambda v: v - np.einsum("nkb,eb->nke", np.einsum("nke,eb->nkb", v, base), base))
+    y = y - (y @ base) @ base.T if base is not None else y
+
+    def profiles(s: np.ndarray, w: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        width = (sigmas + w)[:, :, None]
+        root = width * math.sqrt(2)
+        z = (e[None] - (centers + s)[:, :, None] + 1j * gammas[None, :, None]) / root
+        f = faddeeva(z)
+        slope = 2j / math.sqrt(math.pi) - 2 * z * f
+        scale = 1 / (width * math.sqrt(2 * math.pi))
+        return clear(scale * f.real), clear(-scale * slope.real / root), clear(-scale / width * (f + z * slope).real)
+
+    def state(s: np.ndarray, w: np.ndarray) -> tuple:
+        v, dc, ds = profiles(s, w)
+        gram = np.einsum("nae,nbe->nab", v, v) + 1e-10 * np.eye(k)
+        a = np.linalg.solve(gram, np.einsum("nae,ne->na", v, y)[:, :, None])[:, :, 0]
+        rest = y - np.einsum("na,nae->ne", a, v)
+        return a, rest, np.einsum("ne,ne->n", rest, rest), v, dc, ds
+
+    shifts, widths = shifts.copy(), widths.copy()
+    a, rest, cost, v, dc, ds = state(shifts, widths)
+    damping = np.full(n, 1e-3)
+    for _ in range(rounds):
+        j = np.concatenate([v, a[:, :, None] * dc, a[:, :, None] * ds], axis=1)
+        h = np.einsum("nae,nbe->nab", j, j)
+        diagonal = np.einsum("naa->na", h)
+        h = h + np.eye(3 * k) * (damping[:, None] * diagonal + 1e-12 * diagonal.max(axis=1, keepdims=True) + 1e-300)[:, :, None]
+        step = np.linalg.solve(h, np.einsum("nae,ne->na", j, rest)[:, :, None])[:, :, 0]
+        s = shifts + np.clip(step[:, k : 2 * k], -0.5 * sigmas, 0.5 * sigmas)
+        w = np.maximum(widths + np.clip(step[:, 2 * k :], -0.3 * sigmas, 0.3 * sigmas), -0.8 * sigmas)
+        new = state(s, w)
+        better = new[2] < cost
+        damping = np.where(better, damping / 10, damping * 10)
+        shifts[better], widths[better] = s[better], w[better]
+        a, rest, cost, v, dc, ds = (np.where(better.reshape(-1, *[1] * (old.ndim - 1)), fresh, old) for fresh, old in zip(new, (a, rest, cost, v, dc, ds)))
+    return a, shifts, widths, cost / y.shape[1]
+
+
 def shirley(energy: np.ndarray, intensity: np.ndarray, rounds: int = 50, tolerance: float = 1e-5) -> np.ndarray:
     """Proctor-Sherwood background between the end points; it integrates counts along a rising axis."""
     turn = slice(None, None, -1) if energy[0] > energy[-1] else slice(None)

@@ -185,3 +185,30 @@ def test_neighbours_in_blocks_of_queries(spark):
         near = sorted(others, key=lambda k: (abs(code[k] - code[q]), k))[:10]
         assert got[q] == pytest.approx(len(set(space) & set(near)) / 10)
     assert poisson.neighbour_preservation(df, df.filter("false"), ["x", "y"], "code").count() == 0
+
+
+def _pair(e, gamma=0.15):
+    return [Peaks(e, (c,), (0.4,), gamma, n_shift=13) for c in (-0.9, 0.8)]
+
+
+def test_multipeak_with_base_and_polish(spark):
+    e = np.linspace(-4, 4, 161)
+    rng = np.random.default_rng(3)
+    a, s = rng.uniform(1, 3, (40, 2)), rng.uniform(-0.12, 0.12, (40, 2))
+    y = sum(a[:, [k]] * np.stack([kernels.voigt(e, c + s[n, k], 0.4, 0.15) for n in range(40)]) for k, c in enumerate((-0.9, 0.8))) + 0.5 + 0.1 * e
+    df = spark.createDataFrame([(n, v.tolist()) for n, v in enumerate(y)] + [(99, None), (98, [1.0])], "spectrum_id long, intensity array<double>")
+    got = {r["spectrum_id"]: r for r in fit.fit_multipeak(df, _pair(e), degree=1, polish=6).collect()}
+    for n in range(40):
+        assert np.allclose(got[n]["amplitudes"], a[n], atol=1e-4) and np.allclose(got[n]["shifts"], s[n], atol=1e-4) and got[n]["chi2"] < 1e-9
+    assert got[99]["amplitudes"] is None and got[98]["chi2"] is None and len(got) == 42
+
+
+def test_multipeak_gamma_gate_and_two_stages(spark):
+    e = np.linspace(-4, 4, 161)
+    y = [sum(2 * kernels.voigt(e, c, 0.4, g) for c in (-0.9, 0.8)) for g in (0.15, 0.25, 0.25)]
+    df = spark.createDataFrame([(n, v.tolist()) for n, v in enumerate(y)], "spectrum_id long, intensity array<double>")
+    got = {r["spectrum_id"]: r["delta_gamma"] for r in fit.fit_multipeak(df, _pair(e), deltas=(-0.05, 0.05, 0.1)).collect()}
+    assert got == {0: 0.0, 1: pytest.approx(0.1), 2: pytest.approx(0.1)}
+    second, delta = fit.fit_multipeak_twice(df, _pair(e), (-0.05, 0.05, 0.1))
+    chi2 = {r["spectrum_id"]: r["chi2"] for r in second.collect()}
+    assert delta == pytest.approx(0.1) and chi2[1] < chi2[0]
