@@ -147,3 +147,16 @@ def hilbert_cell(index: Column, order: int, n: int) -> Column:
 
     start = _bound(_named([every(i) for i in range(n)]), ungrayed)
     return F.aggregate(F.sequence(F.lit(1), F.lit(order - 1)), start, lambda at, k: _named(_turn(_axes(at, n), k, False))) if order > 1 else start
+
+
+def quantize_columns(df: DataFrame, columns: list[str], by: list[str]) -> DataFrame:
+    """Each column as a 16-bit code with its group's low and scale: columns code_x, low_x, scale_x; the values go."""
+    out = df
+    for x in columns:
+        out = quantize_int16(out, x, by, f"code_{x}").withColumnsRenamed({"low": f"low_{x}", "scale": f"scale_{x}"})
+    return out.drop(*columns)
+
+
+def dequantize_columns(df: DataFrame, columns: list[str]) -> DataFrame:
+    values = {x: dequantize(f"code_{x}", f"low_{x}", f"scale_{x}") for x in columns}
+    return df.withColumns(values).drop(*[f"{part}_{x}" for x in columns for part in ("code", "low", "scale")])

@@ -541,3 +541,31 @@ def covariance_bound(fisher: np.ndarray) -> tuple[np.ndarray | None, int]:
     values = np.linalg.eigvalsh(unit)
     rank = int((values > len(values) * np.finfo(float).eps * values[-1]).sum())
     return (np.linalg.inv(unit) / np.outer(scale, scale), rank) if rank == len(values) else (None, rank)
+
+
+def doniach_sunjic(energy: np.ndarray, center: float, fwhm_l: float, asymmetry: float, fwhm_g: float = 0.0, kinetic: bool = False) -> np.ndarray:
+    """A Doniach-Šunjić line, broadened by a Gaussian, scaled to a trapezoid area of 1 on the axis.
+
+    The axis must be evenly spaced if there is broadening; beyond its ends the line counts as 0.
+    """
+    alpha, gamma = min(max(asymmetry, 0.0), 0.9999), max(fwhm_l / 2, 1e-10)
+    delta = (energy - center) * (1 if kinetic else -1)
+    y = np.cos(math.pi * alpha / 2 + (1 - alpha) * np.arctan(delta / gamma)) / (delta * delta + gamma * gamma) ** ((1 - alpha) / 2)
+    if fwhm_g > 1e-10:
+        sigma, step = fwhm_g / FWHM_PER_SIGMA, abs(energy[1] - energy[0])
+        half = max(int(4 * sigma / step), 1)
+        g = np.exp(-0.5 * (np.arange(-half, half + 1) * step / sigma) ** 2)
+        y = np.convolve(y, g / g.sum())[half : half + len(y)]
+    area = abs(np.trapezoid(y, energy))
+    return y / area if area > 1e-30 else y
+
+
+def mixed_basis(energy: np.ndarray, components: list[dict]) -> np.ndarray:
+    """Profiles of area 1, one column each: of `shape` voigt (center, sigma, gamma) or doniach_sunjic (its arguments)."""
+    shapes = {"voigt": voigt, "doniach_sunjic": doniach_sunjic}
+    return np.stack([shapes[c["shape"]](energy, **{k: v for k, v in c.items() if k != "shape"}) for c in components], axis=1)
+
+
+def quantile_grid(values: np.ndarray, n: int) -> np.ndarray:
+    """As many grid points as asked for, at equal steps of the values' distribution; equal ones count once."""
+    return np.unique(np.quantile(values, np.linspace(0, 1, n))) if len(values) else np.zeros(1)

@@ -88,3 +88,21 @@ def log_log(df: DataFrame, table: DataFrame, x: str, grid: str, value: str, by:
     t = (F.ln(held) - F.ln("__x0")) / (F.ln("__x1") - F.ln("__x0"))
     out = F.when(F.col("__x1").isNull(), F.col("__y0")).otherwise(F.exp(F.ln("__y0") + t * (F.ln("__y1") - F.ln("__y0"))))
     return df.join(cells, list(by)).filter(inside).withColumn("interpolated", out).drop("__x0", "__y0", "__x1", "__y1", "__low", "__high")
+
+
+def pair_doublets(components: DataFrame, split: float, ratio: float, by: str = "spectrum_id", comp: str = "comp", center: str = "center", area: str = "area", most_off: float = 0.15, ratio_off: float = 0.35) -> DataFrame:
+    """(by, main, partner, off): pairs of peaks `split` apart whose areas stand in about the doublet's ratio.
+
+    split and ratio are those of the partner against the main line, both off by no more than their bounds.
+    off adds the distance from the split and the relative distance from the ratio. A pair stands if each of
+    the two is the other's best partner; the lower numbers win ties. Peaks of a spectrum are few, so the
+    equi-join on the spectrum meets only these.
+    """
+    main = components.select(by, F.col(comp).alias("main"), F.col(center).alias("__c1"), F.col(area).alias("__a1"))
+    partner = components.select(by, F.col(comp).alias("partner"), F.col(center).alias("__c2"), F.col(area).alias("__a2"))
+    apart = F.abs(F.col("__c2") - F.col("__c1") - split)
+    unlike = F.abs(F.col("__a1") / F.col("__a2") / ratio - 1)
+    near = main.join(partner, by).filter((F.col("main") != F.col("partner")) & (F.col("__a2") > 0) & (apart <= most_off) & (unlike <= ratio_off)).select(by, "main", "partner", (apart + unlike).alias("off"))
+    first = near.groupBy(by, "main").agg(F.min_by(F.struct("partner", "off"), F.struct("off", "partner")).alias("x")).select(by, "main", "x.*")
+    back = near.groupBy(by, "partner").agg(F.min_by("main", F.struct("off", "main")).alias("main")).select(by, "main", "partner")
+    return first.join(back, [by, "main", "partner"], "left_semi")

@@ -163,3 +163,29 @@ def noise_level_means(spark: SparkSession, d: str) -> DataFrame:
     top = p.agg(F.max("p_size").cast("double").alias("top"))  # one row
     mean = encode.poisson_mean(F.array(F.col("p_size").cast("double")), 100.0, F.col("top"))[0]
     return p.crossJoin(F.broadcast(top)).select("p_partkey", F.round(mean, 6).alias("mean_counts"), F.round(F.sqrt(mean), 6).alias("snr"))
+
+
+@query(
+    """WITH c AS (SELECT l_orderkey AS spectrum_id, l_linenumber AS comp, l_quantity AS center, sum(l_extendedprice) AS area FROM lineitem GROUP BY ALL),
+    n AS (SELECT a.spectrum_id, a.comp AS main, b.comp AS partner, abs(b.center - a.center - 5) + abs(a.area / b.area / 2 - 1) AS off FROM c a JOIN c b ON a.spectrum_id = b.spectrum_id AND a.comp <> b.comp
+      WHERE b.area > 0 AND abs(b.center - a.center - 5) <= 2 AND abs(a.area / b.area / 2 - 1) <= 0.5),
+    f AS (SELECT *, row_number() OVER (PARTITION BY spectrum_id, main ORDER BY off, partner) AS p, row_number() OVER (PARTITION BY spectrum_id, partner ORDER BY off, main) AS q FROM n)
+    SELECT spectrum_id, main, partner, round(off, 6) AS off FROM f WHERE p = 1 AND q = 1"""
+)
+def pair_doublets(spark: SparkSession, d: str) -> DataFrame:
+    from lineshed.operators import relate
+
+    c = read(spark, d, "lineitem").groupBy(F.col("l_orderkey").alias("spectrum_id"), F.col("l_linenumber").alias("comp"), F.col("l_quantity").alias("center")).agg(F.sum("l_extendedprice").alias("area"))
+    got = relate.pair_doublets(c, 5.0, 2.0, most_off=2.0, ratio_off=0.5)
+    return got.select("spectrum_id", "main", "partner", F.round("off", 6).alias("off"))
+
+
+@query(
+    """WITH b AS (SELECT p_brand, min(p_retailprice) AS lp, max(p_retailprice) AS hp, min(p_size::DOUBLE) AS ls, max(p_size::DOUBLE) AS hs FROM part GROUP BY 1),
+    k AS (SELECT p_partkey, p_retailprice, CASE WHEN hp > lp THEN 32767.0::DOUBLE / (hp - lp) ELSE 1 END AS sp, CASE WHEN hs > ls THEN 32767.0::DOUBLE / (hs - ls) ELSE 1 END AS ss, lp, ls, p_size FROM part JOIN b USING (p_brand))
+    SELECT p_partkey, round(trunc((p_retailprice - lp) * sp) / sp + lp, 5) AS price, round(trunc((p_size - ls) * ss) / ss + ls, 5) AS size FROM k"""
+)
+def component_codec(spark: SparkSession, d: str) -> DataFrame:
+    p = read(spark, d, "part").select("p_partkey", "p_brand", F.col("p_retailprice").alias("price"), F.col("p_size").cast("double").alias("size"))
+    back = codec.dequantize_columns(codec.quantize_columns(p, ["price", "size"], ["p_brand"]), ["price", "size"])
+    return back.select("p_partkey", F.round("price", 5).alias("price"), F.round("size", 5).alias("size"))

@@ -52,3 +52,16 @@ def store_counts(df: DataFrame, intensity: str = "intensity") -> DataFrame:
     """Adds counts, the intensities as integers where all lie in 0 to 65535, else null; they are truncated."""
     fine = (F.array_min(intensity) >= 0) & (F.array_max(intensity) <= 65535)
     return df.withColumn("counts", F.when(fine, F.transform(intensity, lambda x: x.cast("int"))))
+
+
+def compress_folder(spark: SparkSession, source: str, target: str, codec: str = "zstd") -> DataFrame:
+    """Rewrites the instrument files of a folder as compressed Parquet, counts as integers where they are; (bytes_before, bytes_after, spectra).
+
+    Files that can't be read are kept as rows that say why.
+    """
+    from lineshed.sources.instruments import read_spectra
+
+    rows = store_counts(read_spectra(spark, source))
+    rows.withColumn("intensity", F.when(F.col("counts").isNull(), F.col("intensity"))).write.option("compression", codec).mode("overwrite").parquet(target)
+    size = lambda path, name: spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path).agg(F.sum("length").alias(name))
+    return size(source, "bytes_before").crossJoin(size(target, "bytes_after")).crossJoin(spark.read.parquet(target).agg(F.count("*").alias("spectra")))  # one row each

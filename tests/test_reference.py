@@ -212,3 +212,36 @@ def test_multipeak_gamma_gate_and_two_stages(spark):
     second, delta = fit.fit_multipeak_twice(df, _pair(e), (-0.05, 0.05, 0.1))
     chi2 = {r["spectrum_id"]: r["chi2"] for r in second.collect()}
     assert delta == pytest.approx(0.1) and chi2[1] < chi2[0]
+
+
+def test_broadened_asymmetric_lines():
+    e = np.linspace(-10, 10, 2001)
+    assert np.allclose(kernels.doniach_sunjic(e, 0.0, 0.6, 0.0) / kernels.doniach_sunjic(e, 0.0, 0.6, 0.0).max(), 0.09 / (e * e + 0.09))
+    y = kernels.doniach_sunjic(e, 0.0, 0.4, 0.0, 0.8)
+    assert abs(np.trapezoid(y, e)) == pytest.approx(1) and np.allclose(y[800:1200] / y.max(), kernels.voigt(e, 0, 0.8 / kernels.FWHM_PER_SIGMA, 0.2)[800:1200] / kernels.voigt(np.zeros(1), 0, 0.8 / kernels.FWHM_PER_SIGMA, 0.2), atol=2e-3)
+    tail = kernels.doniach_sunjic(e, 0.0, 0.4, 0.2, 0.3)
+    assert tail[1300] > tail[700] and kernels.doniach_sunjic(e, 0.0, 0.4, 0.2, 0.3, True)[700] == pytest.approx(tail[1300])
+    basis = kernels.mixed_basis(e, [{"shape": "voigt", "center": 1.0, "sigma": 0.3, "gamma": 0.1}, {"shape": "doniach_sunjic", "center": -1.0, "fwhm_l": 0.3, "asymmetry": 0.1}])
+    assert basis.shape == (2001, 2) and e[basis[:, 0].argmax()] == pytest.approx(1.0)
+    assert kernels.quantile_grid(np.array([1.0, 1, 1, 2, 5]), 3).tolist() == [1.0, 5.0]
+
+
+def test_doublets_are_each_others_best(spark):
+    rows = [(1, 0, 99.4, 2.0), (1, 1, 100.0, 1.0), (1, 2, 100.05, 0.9), (1, 3, 103.0, 5.0), (2, 0, 99.4, 2.0), (2, 1, 100.0, 3.0)]
+    from lineshed.operators import relate
+
+    got = {(r["spectrum_id"], r["main"], r["partner"]) for r in relate.pair_doublets(spark.createDataFrame(rows, "spectrum_id long, comp int, center double, area double"), 0.6, 2.0).collect()}
+    assert got == {(1, 0, 1)}
+
+
+def test_folders_are_compressed(spark, tmp_path):
+    from lineshed.sources import tables
+
+    source = tmp_path / "in"
+    source.mkdir()
+    e = np.linspace(90, 100, 4000)
+    for k in range(3):
+        (source / f"s{k}.txt").write_text("# e i\n" + "\n".join(f"{a:.5f}\t{1000 + (j * 7) % 50}" for j, a in enumerate(e)) + "\n")
+    got = tables.compress_folder(spark, str(source), str(tmp_path / "out")).first()
+    assert got["spectra"] == 3 and got["bytes_after"] < got["bytes_before"]
+    assert spark.read.parquet(str(tmp_path / "out")).filter("counts is not null and intensity is null").count() == 3
