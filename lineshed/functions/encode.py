@@ -6,6 +6,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from lineshed.functions.codec import hilbert_cell, hilbert_index
 from lineshed.functions.lineshape import Value, c
 
 
@@ -25,6 +26,24 @@ def of_fisher_coordinates(fisher: np.ndarray, columns: list[Value], reference: n
     return [v + float(reference[k]) for k, v in enumerate(back)]
 
 
+def fisher_hilbert(fisher: np.ndarray, columns: list[Value], reference: np.ndarray, half: float, order: int) -> Column:
+    """One index for parameters: Fisher coordinates within half either way, on a grid of 2^order a side, along a Hilbert curve.
+
+    Neighbouring indices are then parameters that the data can hardly tell apart; values beyond are held to the ends.
+    """
+    cells = 1 << order
+    at = [F.least(F.greatest(F.floor((u + half) / (2 * half) * cells), F.lit(0)), F.lit(cells - 1)).cast("bigint") for u in fisher_coordinates(fisher, columns, reference)]
+    return hilbert_index(at, order)
+
+
+def of_fisher_hilbert(fisher: np.ndarray, index: Column, reference: np.ndarray, half: float, order: int) -> list[Column]:
+    """The parameters at the middle of an index's cell."""
+    n = len(reference)
+    cell = hilbert_cell(index, order, n)
+    middle = [(cell[f"v{k}"] + 0.5) / (1 << order) * 2 * half - half for k in range(n)]
+    return of_fisher_coordinates(fisher, middle, reference)
+
+
 def image_amplitudes(pixels: DataFrame, colours: np.ndarray, rgb: tuple[str, str, str] = ("r", "g", "b")) -> DataFrame:
     """Adds a0, a1, ...: non-negative amplitudes of elements whose colours are the columns of a 3 x n matrix.
 

@@ -158,8 +158,17 @@ def verdicts(candidates: DataFrame, key: str = "spectrum_id", margin: float = 10
     return candidates.select(key).distinct().join(best.select(key, "k", "bic", "delta", word.alias("verdict")), key, "left").withColumn("verdict", F.coalesce("verdict", F.lit("unsupported")))
 
 
-def fermi_edge(df: DataFrame, temperature: float = 300.0, key: str = "spectrum_id", energy: str = "energy", intensity: str = "intensity") -> DataFrame:
-    """(edge, height, slope, base, broadening, edge_sd) of each spectrum on a kinetic axis: occupation x line, broadened."""
+#: Where the line of the density of states slopes: on the occupied side of the edge only, or on both.
+DOS_FORMS = ("occupied", "both_sides")
+
+
+def fermi_edge(df: DataFrame, temperature: float = 300.0, key: str = "spectrum_id", energy: str = "energy", intensity: str = "intensity", dos: str = "occupied") -> DataFrame:
+    """(edge, height, slope, base, broadening, edge_sd) of each spectrum on a kinetic axis: occupation x line, broadened.
+
+    dos: one of DOS_FORMS.
+    """
+    if dos not in DOS_FORMS:
+        raise ValueError(f"unknown form {dos}")
     kt = 8.617333262e-5 * temperature
 
     def one(e: np.ndarray, y: np.ndarray, _) -> dict:
@@ -170,7 +179,8 @@ def fermi_edge(df: DataFrame, temperature: float = 300.0, key: str = "spectrum_i
             shift = 4 * width * fine
             weights = np.exp(-0.5 * (4 * fine) ** 2)
             z = np.clip((e[:, None] - edge - shift) / kt, -500, 500)
-            line = height + slope * (e[:, None] - edge - shift)
+            away = e[:, None] - edge - shift
+            line = height + slope * (np.minimum(away, 0) if dos == "occupied" else away)
             return base + (line / (1 + np.exp(z))) @ (weights / weights.sum())
 
         rise = float(y.max() - y.min()) or 1.0
@@ -186,6 +196,20 @@ def fermi_edge(df: DataFrame, temperature: float = 300.0, key: str = "spectrum_i
     return _per_spectrum(df, one, "edge double, height double, slope double, base double, broadening double, edge_sd double, success boolean", key, energy, intensity)
 
 
+def compare_dos(df: DataFrame, temperature: float = 300.0, key: str = "spectrum_id", energy: str = "energy", intensity: str = "intensity") -> DataFrame:
+    """(key, edge and broadening by form, their spreads, success): every spectrum fitted with each form.
+
+    The data near an edge hardly tell the forms apart, so the spread is reported beside the statistical error
+    instead of a choice by chi2.
+    """
+    out = None
+    for dos in DOS_FORMS:
+        part = fermi_edge(df, temperature, key, energy, intensity, dos).select(key, F.col("edge").alias(f"edge_{dos}"), F.col("broadening").alias(f"broadening_{dos}"), F.col("success").alias(f"success_{dos}"))
+        out = part if out is None else out.join(part, key)
+    spread = {f"{name}_spread": F.abs(F.col(f"{name}_{DOS_FORMS[0]}") - F.col(f"{name}_{DOS_FORMS[1]}")) for name in ("edge", "broadening")}
+    return out.withColumns(spread).withColumn("success", F.col(f"success_{DOS_FORMS[0]}") & F.col(f"success_{DOS_FORMS[1]}")).drop(*[f"success_{dos}" for dos in DOS_FORMS])
+
+
 def identifiability(parameters: DataFrame, energy: np.ndarray, exposure: float = 1.0, background: float = 1.0, key: str = "spectrum_id") -> DataFrame:
     """(sd_center, sd_sigma, sd_gamma, rank, condition, label) of one Voigt peak under Poisson counts.
 

@@ -162,6 +162,24 @@ def fit_multipeak_twice(df: DataFrame, each: Sequence[Peaks], deltas: Sequence[f
     return fit_multipeak(df, [replace(p, gamma=p.gamma + delta) for p in each], rounds, intensity, keep, degree), delta
 
 
+def fit_elements(spectra: dict[str, DataFrame], peaks: dict[str, Peaks], mode: str = "balanced", key: str = "spectrum_id") -> DataFrame:
+    """(element, key, amplitudes, shift, width, chi2) of several elements' spectra, each with its own peaks."""
+    out = None
+    for name in sorted(spectra):
+        part = fit(spectra[name], peaks[name], mode, keep=(key,)).select(F.lit(name).alias("element"), key, "amplitudes", "shift", "width", "chi2")
+        out = part if out is None else out.unionByName(part)
+    return out
+
+
+def depth_profile(fitted: DataFrame, key: str = "spectrum_id") -> DataFrame:
+    """One row a point with each element's share of the total amplitude, for what `fit_elements` returns; null where one is missing."""
+    total = F.aggregate("amplitudes", F.lit(0.0), lambda acc, x: acc + x)
+    wide = fitted.groupBy(key).pivot("element").agg(F.sum(total))
+    names = [c for c in wide.columns if c != key]
+    whole = sum((F.col(f"`{n}`") for n in names[1:]), F.col(f"`{names[0]}`"))
+    return wide.select(key, *[F.when(whole > 0, F.col(f"`{n}`") / whole).alias(n) for n in names])
+
+
 def calibrate_gamma(df: DataFrame, peaks: Peaks, intensity: str = "intensity", half: float = 0.5, n: int = 11) -> float:
     """The correction of gamma, of a grid up to half of gamma either way, with the least total chi2.
 

@@ -16,6 +16,26 @@ from lineshed.operators import kernels
 from lineshed.operators.kernels import Peaks
 
 
+#: Lines to make spectra of: sigma, gamma, and the partner's distance and the ratio to it. Fixed values of common lines.
+PRESETS: dict[str, dict[str, float]] = {
+    "Si2p": {"sigma": 0.55, "gamma": 0.10, "split": 0.608, "ratio": 2.0},
+    "O1s": {"sigma": 0.70, "gamma": 0.05, "split": 0.0, "ratio": 1.0},
+    "Au4f": {"sigma": 0.55, "gamma": 0.30, "split": 3.70, "ratio": 4 / 3},
+    "C1s": {"sigma": 0.60, "gamma": 0.05, "split": 0.0, "ratio": 1.0},
+}
+
+
+def register_preset(name: str, sigma: float, gamma: float, split: float = 0.0, ratio: float = 1.0) -> None:
+    """Makes a line of one's own known by name."""
+    PRESETS[name] = {"sigma": sigma, "gamma": gamma, "split": split, "ratio": ratio}
+
+
+def preset(name: str, energy: np.ndarray, centers: tuple[float, ...], **more) -> Peaks:
+    """Peaks of a known line at the centers."""
+    p = PRESETS[name]
+    return Peaks(energy, tuple(centers), (p["sigma"],) * len(centers), p["gamma"], p["split"], p["ratio"], **more)
+
+
 def generate(parameters: DataFrame, peaks: Peaks, noise: float = 0.0, poisson: float | None = None, seed: int = 0, key: str = "spectrum_id") -> DataFrame:
     """Adds intensity to rows (key, amplitudes, shift, width): a single shift and width for all components.
 

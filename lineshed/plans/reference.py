@@ -189,3 +189,22 @@ def component_codec(spark: SparkSession, d: str) -> DataFrame:
     p = read(spark, d, "part").select("p_partkey", "p_brand", F.col("p_retailprice").alias("price"), F.col("p_size").cast("double").alias("size"))
     back = codec.dequantize_columns(codec.quantize_columns(p, ["price", "size"], ["p_brand"]), ["price", "size"])
     return back.select("p_partkey", F.round("price", 5).alias("price"), F.round("size", 5).alias("size"))
+
+
+@query(
+    """WITH p AS (SELECT p_partkey, 2.0::DOUBLE * (p_size / 50.0::DOUBLE - 0.5) + 1.0 * (p_retailprice / 2000 - 0.5) AS u, 3.0::DOUBLE * (p_retailprice / 2000 - 0.5) AS v FROM part),
+    c AS (SELECT p_partkey, least(greatest(floor((u + 2) / 4 * 16), 0), 15) AS a, least(greatest(floor((v + 2) / 4 * 16), 0), 15) AS b FROM p),
+    m AS (SELECT p_partkey, (a + 0.5) / 16 * 4 - 2 AS u, (b + 0.5) / 16 * 4 - 2 AS v FROM c)
+    SELECT p_partkey, round((u - v / 3) / 2 + 0.5, 8) AS size, round(v / 3 + 0.5, 8) AS price FROM m"""
+)
+def fisher_hilbert_roundtrip(spark: SparkSession, d: str) -> DataFrame:
+    import numpy as np
+
+    from lineshed.functions import encode
+
+    lower = np.array([[2.0, 0.0], [1.0, 3.0]])
+    fisher, reference_ = lower @ lower.T, np.array([0.5, 0.5])
+    index = encode.fisher_hilbert(fisher, [F.col("p_size") / 50.0, F.col("p_retailprice") / 2000], reference_, 2.0, 4)
+    coded = read(spark, d, "part").select("p_partkey", index.alias("index"))
+    size, price = encode.of_fisher_hilbert(fisher, F.col("index"), reference_, 2.0, 4)
+    return coded.select("p_partkey", F.round(size, 8).alias("size"), F.round(price, 8).alias("price"))

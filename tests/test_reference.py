@@ -245,3 +245,47 @@ def test_folders_are_compressed(spark, tmp_path):
     got = tables.compress_folder(spark, str(source), str(tmp_path / "out")).first()
     assert got["spectra"] == 3 and got["bytes_after"] < got["bytes_before"]
     assert spark.read.parquet(str(tmp_path / "out")).filter("counts is not null and intensity is null").count() == 3
+
+
+def test_dos_forms_agree_on_a_flat_band_and_differ_on_a_slope(spark):
+    e = np.linspace(-1, 1, 160)
+    occupied = 1 / (1 + np.exp(e / (8.617333262e-5 * 300)))
+    rows = [(1, e.tolist(), (5 + 100 * occupied).tolist()), (2, e.tolist(), (5 + (100 - 60 * np.minimum(e, 0)) * occupied).tolist())]
+    got = {r["spectrum_id"]: r for r in analyse.compare_dos(spark.createDataFrame(rows, "spectrum_id long, energy array<double>, intensity array<double>")).collect()}
+    assert got[1]["edge_spread"] < 2e-3 and got[2]["edge_occupied"] == pytest.approx(0, abs=5e-3) and got[2]["success"]
+
+
+def test_profiles_follow_fisher_near_the_estimate():
+    from lineshed.operators import poisson
+
+    e = np.linspace(-3, 3, 61)
+    model = poisson.peak_model(e, 0.0, 0.5, 0.2)
+    truth = np.array([400.0, 0.1, 5.0])
+    y = np.round(model(truth)[0])
+    p, _, done = poisson.maximum_likelihood(y, model, truth, np.array([1e-3, -1, 1e-3]))
+    sd = 1 / math.sqrt(poisson.effective_information(kernels.poisson_fisher(model(p)[1], model(p)[0]), [1])[0, 0])
+    rows = poisson.mode_profile(y, model, p, np.array([0.0, 1.0, 0.0]), [-sd, 0.0, sd])
+    assert done and rows[1][1] == pytest.approx(0, abs=1e-6) and [r[1] for r in rows[::2]] == pytest.approx([1, 1], rel=0.1) and rows[0][2] == pytest.approx(1, rel=1e-6)
+
+
+def test_presets_elements_and_profiles(spark):
+    from lineshed.operators import synthetic
+
+    synthetic.register_preset("X1s", 0.4, 0.1)
+    e = np.linspace(-4, 4, 101)
+    each = {"X1s": synthetic.preset("X1s", e, (0.0,)), "Si2p": synthetic.preset("Si2p", e, (0.0,))}
+    rows = {n: spark.createDataFrame([(k, [a] if n == "X1s" else [4 - a], 0.0, 0.0) for k, a in ((1, 1.0), (2, 3.0))], "spectrum_id long, amplitudes array<double>, shift double, width double") for n in each}
+    fitted = fit.fit_elements({n: synthetic.generate(rows[n], p) for n, p in each.items()}, each)
+    got = {r["spectrum_id"]: r["X1s"] for r in fit.depth_profile(fitted).collect()}
+    assert got == {1: pytest.approx(0.25, abs=1e-3), 2: pytest.approx(0.75, abs=1e-3)}
+
+
+def test_streams_tell_their_progress(spark, tmp_path):
+    from lineshed.streaming import fits
+
+    p = Peaks(np.linspace(-3, 3, 61), (0.0,), (0.5,), 0.2)
+    for k in range(3):
+        spark.createDataFrame([(k, p.basis()[0][:, 0].tolist())], "spectrum_id long, intensity array<double>").coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+    query = fits.stream_fit(spark, str(tmp_path / "in"), str(tmp_path / "out"), str(tmp_path / "at"), p, files_per_batch=1)
+    frames = list(fits.progress(query, 0.2))
+    assert sum(f["rows"] for f in frames) == 3 and spark.read.parquet(str(tmp_path / "out")).count() == 3
