@@ -10,7 +10,7 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lineshed.operators import fit, kernels, refine
+from lineshed.operators import background, fit, kernels, refine
 from lineshed.operators.kernels import Peaks
 from lineshed.plans.registry import query
 from lineshed.session import read
@@ -199,3 +199,42 @@ SELECT id AS spectrum_id, round(a0, 6) AS a0, round(a1, 6) AS a1, round(list_sum
 def multipeak_fit(spark: SparkSession, d: str) -> DataFrame:
     got = fit.fit_multipeak(spectra(spark, d, pair=True), PAIR, rounds=1)
     return got.select("spectrum_id", *[F.round(F.col("amplitudes")[k], 6).alias(f"a{k}") for k in range(2)], F.round("chi2", 9).alias("chi2"))
+
+
+_N = len(ENERGY)
+_TILTED = f"{_rows()}, b AS (SELECT id, list_transform(y, lambda v, i: v + 0.02::DOUBLE * (i - 1)) AS y FROM y)"
+
+
+def tilted(spark: SparkSession, d: str) -> DataFrame:
+    """The spectra over a rising base, with their axis."""
+    y = F.transform("intensity", lambda v, i: v + 0.02 * i)
+    return spectra(spark, d).select("spectrum_id", F.array(*[F.lit(float(e)) for e in ENERGY]).alias("energy"), y.alias("intensity"))
+
+
+def _points(df: DataFrame) -> DataFrame:
+    return df.select("spectrum_id", F.posexplode("background").alias("k", "x")).select("spectrum_id", "k", F.round("x", 6).alias("background"))
+
+
+@query(f"""WITH RECURSIVE {_TILTED},
+s AS (SELECT id, y, list_transform(y, lambda v: 0.0::DOUBLE) AS b, 0 AS n, false AS done FROM b
+  UNION ALL SELECT id, y, new, n + 1, list_max(list_transform(new, lambda v, i: abs(v - b[i]))) < 1e-5
+  FROM (SELECT id, y, b, n, list_transform(run, lambda v: y[1] + (y[{_N}] - y[1]) * v / run[{_N}]) AS new
+    FROM (SELECT id, y, b, n, list_transform(y, lambda v, i: list_sum(list_transform(y[1:i], lambda w, j: w - b[j]))) AS run FROM s WHERE NOT done AND n < 50))),
+f AS (SELECT id, arg_max(b, n) AS b FROM s GROUP BY id)
+SELECT id AS spectrum_id, generate_subscripts(b, 1)::INT - 1 AS k, round(unnest(b), 6) AS background FROM f""")
+def shirley_background(spark: SparkSession, d: str) -> DataFrame:
+    return _points(background.subtract(tilted(spark, d), "shirley"))
+
+
+_M = _N // 10
+
+
+@query(f"""WITH {_TILTED},
+m AS (SELECT id, y, list_sum(y[1:{_M}]) / {_M} AS first, list_sum(y[{_N - _M + 1}:{_N}]) / {_M} AS last FROM b),
+s AS (SELECT id, least(first, last) AS low, CASE WHEN last >= first THEN list_transform(y, lambda v: v - least(first, last)) ELSE list_reverse(list_transform(y, lambda v: v - least(first, last))) END AS x, last < first AS turned FROM m),
+l AS (SELECT *, list_transform(x, lambda v, k: list_sum(list_transform(x[1:k], lambda w, j: w * ((k - j) * 0.2::DOUBLE) / pow(1643 + pow((k - j) * 0.2::DOUBLE, 2), 2)))) AS loss FROM s),
+f AS (SELECT id, list_transform(loss, lambda v: low + v * list_sum(x[{_N - _M + 1}:{_N}]) / list_sum(loss[{_N - _M + 1}:{_N}])) AS b, turned FROM l),
+o AS (SELECT id, CASE WHEN turned THEN list_reverse(b) ELSE b END AS b FROM f)
+SELECT id AS spectrum_id, generate_subscripts(b, 1)::INT - 1 AS k, round(unnest(b), 6) AS background FROM o""")
+def tougaard_background(spark: SparkSession, d: str) -> DataFrame:
+    return _points(background.subtract(tilted(spark, d), "tougaard"))

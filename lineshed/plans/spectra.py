@@ -51,16 +51,6 @@ def auto_fit(spark: SparkSession, d: str) -> DataFrame:
     return analyse.auto_fit(_some(spark, d), "linear")
 
 
-@query()
-def shirley_background(spark: SparkSession, d: str) -> DataFrame:
-    return background.subtract(_some(spark, d), "shirley").select("spectrum_id", "background")
-
-
-@query()
-def tougaard_background(spark: SparkSession, d: str) -> DataFrame:
-    return background.subtract(_some(spark, d), "tougaard").select("spectrum_id", "background")
-
-
 @query()
 def exact_k(spark: SparkSession, d: str) -> DataFrame:
     net = background.subtract(_some(spark, d), "linear").select("spectrum_id", "energy", F.col("net").alias("intensity"))
@@ -106,11 +96,19 @@ def gauss_newton_refine(spark: SparkSession, d: str) -> DataFrame:
     return refine.refine(y.join(flagged, "spectrum_id", "left_semi"), ONE, "full")
 
 
-@query()
+@query(
+    """WITH p AS (SELECT p_partkey AS k, (p_partkey % 7) / 100.0::DOUBLE AS e FROM part)
+    SELECT k AS spectrum_id, round(0.1 + e, 6) AS first, round(-0.2 + e, 6) AS second, round(0.4 + e, 6) AS third, k % 3 <> 0 AS swapped FROM p"""
+)
 def swap_correction(spark: SparkSession, d: str) -> DataFrame:
+    """Found values in three orders, all a little off the true ones."""
     k = F.col("p_partkey")
-    rows = read(spark, d, "part").select(k.alias("spectrum_id"), F.array(F.lit(0.1), F.lit(-0.2), F.lit(0.4)).alias("true"), F.when(k % 2 == 0, F.array(F.lit(-0.2), F.lit(0.1), F.lit(0.4))).otherwise(F.array(F.lit(0.1), F.lit(-0.2), F.lit(0.4))).alias("found"))
-    return refine.correct_swaps(rows, "found", "true", ["found"])
+    off = (k % 7) / 100.0
+    true = F.array(F.lit(0.1), F.lit(-0.2), F.lit(0.4))
+    found = F.when(k % 3 == 0, true).when(k % 3 == 1, F.array(F.lit(-0.2), F.lit(0.1), F.lit(0.4))).otherwise(F.array(F.lit(0.4), F.lit(0.1), F.lit(-0.2)))
+    rows = read(spark, d, "part").select(k.alias("spectrum_id"), true.alias("true"), F.transform(found, lambda v: v + off).alias("found"))
+    got = refine.correct_swaps(rows, "found", "true", ["found"])
+    return got.select("spectrum_id", *[F.round(F.col("found")[i], 6).alias(n) for i, n in enumerate(("first", "second", "third"))], "swapped")
 
 
 @query()
@@ -128,12 +126,16 @@ def crlb_grid_sweep(spark: SparkSession, d: str) -> DataFrame:
     return poisson.grid_sweep(grid, ENERGY)
 
 
-@query()
+@query(
+    """WITH p AS (SELECT p_partkey AS id, p_size % 32 AS x, p_partkey * 7 % 32 AS y FROM part), c AS (SELECT *, x * 32 + y AS code FROM p),
+    d AS (SELECT a.id AS q, b.id, pow(a.x - b.x, 2) + pow(a.y - b.y, 2) AS s, abs(a.code - b.code) AS t FROM c a JOIN c b ON a.id % 20 = 0 AND a.id <> b.id),
+    n AS (SELECT q, row_number() OVER (PARTITION BY q ORDER BY s, id) <= 10 AS space, row_number() OVER (PARTITION BY q ORDER BY t, id) <= 10 AS code FROM d)
+    SELECT q, count(*) FILTER (space AND code) / 10.0::DOUBLE AS preserved FROM n GROUP BY q"""
+)
 def encoder_neighbours(spark: SparkSession, d: str) -> DataFrame:
-    from lineshed.functions import codec
-
-    p = read(spark, d, "part").select(F.col("p_partkey").alias("id"), (F.col("p_size") % 32).alias("x"), F.pmod(F.xxhash64("p_partkey"), F.lit(32)).alias("y"))
-    coded = p.withColumn("code", codec.hilbert_2d(F.col("x"), F.col("y"), 5, True))
+    """How well a code row by row keeps neighbours; every 20th part is a query against all."""
+    p = read(spark, d, "part").select(F.col("p_partkey").alias("id"), (F.col("p_size") % 32).alias("x"), (F.col("p_partkey") * 7 % 32).alias("y"))
+    coded = p.withColumn("code", F.col("x") * 32 + F.col("y"))
     return poisson.neighbour_preservation(coded, coded.filter("id % 20 = 0"), ["x", "y"], "code")
 
 
