@@ -12,7 +12,7 @@ def quantize_int16(df: DataFrame, value: str, by: list[str], out: str = "code")
     """Truncated code of value between its group's bounds; adds low and scale to decode it."""
     bounds = df.groupBy(*by).agg(F.min(value).alias("low"), F.max(value).alias("high"))
     scale = F.when(F.col("high") > F.col("low"), 32767.0 / (F.col("high") - F.col("low"))).otherwise(F.lit(1.0))
-    joined = df.join(bounds, by) if by else df.crossJoin(bounds)
+    joined = df.join(bounds, by) if by else df.crossJoin(F.broadcast(bounds))  # one row
     coded = joined.withColumn("scale", scale)
     return coded.withColumn(out, ((F.coalesce(F.nanvl(value, "low"), F.col("low")) - F.col("low")) * F.col("scale")).cast("smallint")).drop("high")
 

@@ -339,7 +339,7 @@ def edge_axis(energy, edge, kinetic: bool = True):
 def differential_edge(df: DataFrame, baseline: int, temperature: float = 300.0, key: str = "spectrum_id", energy: str = "energy", intensity: str = "intensity") -> DataFrame:
     """(key, delta, delta_sd): each edge less that of the baseline spectrum, fitted alike; errors add in squares."""
     edges = fermi_edge(df, temperature, key, energy, intensity).select(key, "edge", "edge_sd")
-    base = edges.filter(F.col(key) == baseline).select(F.col("edge").alias("__e"), F.col("edge_sd").alias("__s"))
+    base = edges.filter(F.col(key) == baseline).agg(F.min_by("edge", "edge").alias("__e"), F.min_by("edge_sd", "edge").alias("__s"))  # the lowest, if the id repeats
     return edges.crossJoin(F.broadcast(base)).select(key, (F.col("edge") - F.col("__e")).alias("delta"), F.sqrt(F.col("edge_sd") ** 2 + F.col("__s") ** 2).alias("delta_sd"))  # one row
 
 

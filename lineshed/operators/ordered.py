@@ -92,13 +92,31 @@ def savitzky_golay_center(df: DataFrame, y: str, by: Sequence[str], order: Seque
 def islands(df: DataFrame, x: str, gap: float, by: Sequence[str] = (), width: str | None = None) -> DataFrame:
     """Adds island: a new one begins where the distance to the point before reaches `gap`.
 
-    width names a column of widths; the distance then counts in means of both points' widths.
+    width names a column of widths; the distance then counts in means of both points' widths. Without `by`
+    the whole table is one line: it is cut into ranges, each of which learns where the one before it ends
+    and how many islands began before it, so no task holds the table.
     """
-    w = Window.partitionBy(*by).orderBy(x) if by else Window.orderBy(x)
-    step = F.col(x) - F.lag(x).over(w)
+    own = list(by)
+    if not by:
+        df = materialize(df.repartitionByRange(x).withColumn("__part", F.spark_partition_id()), "islands")
+        own = ["__part"]
+    w = Window.partitionBy(*own).orderBy(x)
+    rows = df.withColumns({"__x": F.lag(x).over(w), "__w": F.lag(width).over(w) if width else F.lit(None).cast("double")})
+    if not by:
+        line = Window.orderBy("__part")  # a row a range
+        last = F.max_by(F.struct(F.col(x).alias("x"), (F.col(width) if width else F.lit(None).cast("double")).alias("w")), x)
+        ends = df.groupBy("__part").agg(last.alias("__last")).withColumn("__last", F.lag("__last").over(line))
+        rows = rows.join(F.broadcast(ends), "__part").withColumns({"__w": F.when(F.col("__x").isNull(), F.col("__last.w")).otherwise(F.col("__w")), "__x": F.coalesce("__x", "__last.x")}).drop("__last")
+    step = F.col(x) - F.col("__x")
     if width:
-        step = step / ((F.col(width) + F.lag(width).over(w)) / 2)
-    return df.withColumn("__new", F.when(step >= gap, 1).otherwise(0)).withColumn("island", F.sum("__new").over(w.rowsBetween(Window.unboundedPreceding, 0)).cast("long")).drop("__new")
+        step = step / ((F.col(width) + F.col("__w")) / 2)
+    rows = rows.withColumn("__new", F.when(step >= gap, 1).otherwise(0))
+    inside = F.sum("__new").over(w.rowsBetween(Window.unboundedPreceding, 0))
+    if by:
+        return rows.withColumn("island", inside.cast("long")).drop("__new", "__x", "__w")
+    begun = rows.groupBy("__part").agg(F.sum("__new").alias("__n"))
+    before = begun.select("__part", F.coalesce(F.sum("__n").over(line.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("__before"))
+    return rows.withColumn("island", inside).join(F.broadcast(before), "__part").withColumn("island", (F.col("island") + F.col("__before")).cast("long")).drop("__new", "__x", "__w", "__part", "__before")
 
 
 def evenly_spaced(df: DataFrame, order: str, n: int) -> DataFrame:

@@ -57,21 +57,21 @@ def condition_dependence(df: DataFrame, value: str, condition: str, baseline: st
 def weibull_quantile(df: DataFrame, value: str, q: float, by: Sequence[str]) -> DataFrame:
     """The quantile at plotting positions k / (n + 1), as replicates of a bootstrap need it.
 
-    A group is one estimate's replicates, which are as many as were drawn; it is sorted as an array. Groups
-    of any size go through exact_quantile.
+    Rows are ranked by a sort that can spill, and only the two about the position are kept.
     """
-    sorted_ = df.groupBy(*by).agg(F.sort_array(F.collect_list(value)).alias("v"))
-    place = F.least(F.greatest(F.lit(q) * (F.size("v") + 1), F.lit(1.0)), F.size("v").cast("double"))
-    low = F.floor(place).cast("int")
-    at = F.element_at("v", low) + (place - low) * (F.element_at("v", F.least(low + 1, F.size("v"))) - F.element_at("v", low))
-    return sorted_.withColumn("quantile", at).drop("v")
+    rows = beside(df.filter(F.col(value).isNotNull()).select(*by, F.col(value).alias("__v")), by, __n=F.count("*"))
+    ranked = rows.withColumn("__r", F.row_number().over(Window.partitionBy(*by).orderBy("__v")))
+    place = F.least(F.greatest(F.lit(q) * (F.col("__n") + 1), F.lit(1.0)), F.col("__n").cast("double"))
+    about = ranked.withColumn("__p", place).filter((F.col("__r") >= F.floor("__p")) & (F.col("__r") <= F.floor("__p") + 1))
+    ends = about.groupBy(*by).agg(F.min("__v").alias("__a"), F.max("__v").alias("__b"), F.first("__p").alias("__p"))
+    return ends.select(*by, (F.col("__a") + (F.col("__p") - F.floor("__p")) * (F.col("__b") - F.col("__a"))).alias("quantile"))
 
 
 def detector_gain(df: DataFrame, sweep: str, channel: str, value: str) -> DataFrame:
     """gain and offset: the line of half the squared differences of adjacent sweeps against the channel means."""
     totals = df.groupBy(sweep).agg(F.sum(value).alias("__t"))
     mean_total = totals.agg(F.avg("__t").alias("__m"))
-    scaled = df.join(totals, sweep).crossJoin(mean_total).withColumn("__x", F.col(value) / (F.col("__t") / F.col("__m")))
+    scaled = df.join(totals, sweep).crossJoin(F.broadcast(mean_total)).withColumn("__x", F.col(value) / (F.col("__t") / F.col("__m")))
     step = F.col("__x") - F.lag("__x").over(Window.partitionBy(channel).orderBy(sweep))
     per_channel = scaled.withColumn("__d", step * step / 2).groupBy(channel).agg(F.avg("__x").alias("mean"), F.avg("__d").alias("half_var"))
     return per_channel.agg(F.regr_slope("half_var", "mean").alias("gain"), F.regr_intercept("half_var", "mean").alias("offset"), F.count("*").alias("n_channels"))

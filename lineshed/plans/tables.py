@@ -56,7 +56,7 @@ def robust_threshold_guard(spark: SparkSession, d: str) -> DataFrame:
 def error_stats(spark: SparkSession, d: str) -> DataFrame:
     items = read(spark, d, "lineitem").select("l_returnflag", "l_extendedprice", "l_quantity")
     unit = items.agg(F.avg(F.col("l_extendedprice") / F.col("l_quantity")).alias("unit"))
-    rows = items.crossJoin(unit).withColumn("e", F.col("l_extendedprice") - F.col("l_quantity") * F.col("unit"))
+    rows = items.crossJoin(F.broadcast(unit)).withColumn("e", F.col("l_extendedprice") - F.col("l_quantity") * F.col("unit"))
     s = robust.error_stats(rows, "e", ["l_returnflag"])
     return s.select("l_returnflag", *[F.round(x, 4).alias(x) for x in ("bias", "std", "rmse", "mae", "p95")])
 

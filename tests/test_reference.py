@@ -289,3 +289,16 @@ def test_streams_tell_their_progress(spark, tmp_path):
     query = fits.stream_fit(spark, str(tmp_path / "in"), str(tmp_path / "out"), str(tmp_path / "at"), p, files_per_batch=1)
     frames = list(fits.progress(query, 0.2))
     assert sum(f["rows"] for f in frames) == 3 and spark.read.parquet(str(tmp_path / "out")).count() == 3
+
+
+def test_islands_of_a_whole_table(spark):
+    from lineshed.operators import ordered
+
+    rng = np.random.default_rng(4)
+    xs = np.cumsum(rng.choice([0.1, 0.5, 3.0], 400))
+    df = spark.createDataFrame([(float(x), float(1 + k % 3)) for k, x in enumerate(xs)], "x double, s double").repartition(5)
+    got = [r["island"] for r in ordered.islands(df, "x", 2.0).orderBy("x").collect()]
+    assert got == np.concatenate([[0], np.cumsum(np.diff(xs) >= 2.0)]).tolist()
+    wide = [r["island"] for r in ordered.islands(df, "x", 1.0, width="s").orderBy("x").collect()]
+    s = 1 + np.arange(400) % 3
+    assert wide == np.concatenate([[0], np.cumsum(np.diff(xs) / ((s[1:] + s[:-1]) / 2) >= 1.0)]).tolist()
