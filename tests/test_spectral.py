@@ -76,7 +76,7 @@ def test_multipeak_and_hybrid(spark):
     truth = spark.range(40).select(k.alias("spectrum_id"), F.array(1.0 + (k % 3) / 3.0, 0.5 + (k % 5) / 5.0).alias("amplitudes"), (0.1 * F.sin(k.cast("double"))).alias("shift"), F.lit(0.0).alias("width"))
     got = fit.fit_multipeak(synthetic.generate(truth, two), [Peaks(e, (c,), (s,), 0.1) for c, s in zip(two.centers, two.sigmas)]).alias("f").join(truth.alias("t"), "spectrum_id").collect()
     for r in got:
-        assert np.allclose(r[1], r[5], atol=0.02) or np.allclose(r[1], r[5], rtol=0.03)
+        assert np.allclose(r[1], r[6], atol=0.02) or np.allclose(r[1], r[6], rtol=0.03)
         assert np.allclose(r["shifts"], r["shift"], atol=0.01)
     y = synthetic.generate(truth, two)
     assert fit.to_components(fit.hybrid(y, two), two).count() == 80
