@@ -421,12 +421,17 @@ def tougaard(energy: np.ndarray, intensity: np.ndarray, c: float = 1643.0) -> np
     return np.full(n, low) if abs(scale) < 1e-30 else (signal[-m:].mean() / scale * loss)[turn] + low
 
 
+@lru_cache(maxsize=8)
+def _smoothing(window: int, degree: int) -> np.ndarray:
+    half = window // 2
+    vander = np.vander(np.arange(-half, half + 1), degree + 1, increasing=True)
+    return vander @ np.linalg.pinv(vander)
+
+
 def savitzky_golay(y: np.ndarray, window: int = 11, degree: int = 3) -> np.ndarray:
     """Polynomial smoothing; the ends are read off the polynomials of the first and last windows."""
     half = window // 2
-    k = np.arange(-half, half + 1)
-    vander = np.vander(k, degree + 1, increasing=True)
-    projection = vander @ np.linalg.pinv(vander)
+    projection = _smoothing(window, degree)
     out = np.convolve(y, projection[half][::-1], mode="same")
     out[:half] = (projection @ y[:window])[:half]
     out[-half:] = (projection @ y[-window:])[-half:]
