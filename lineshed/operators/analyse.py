@@ -21,19 +21,22 @@ FEWEST = 12  # points that the smoothing and the peak search need
 
 def _per_spectrum(df: DataFrame, function: Callable[[np.ndarray, np.ndarray, int], dict], schema: str, key: str, energy: str, intensity: str) -> DataFrame:
     """One result row a spectrum; one that can't be read gives nulls besides its key, and why in `reason`."""
+    return _many_spectra(df, lambda e, y, keys: list(map(function, e, y, keys)), schema, key, energy, intensity)
+
+
+def _many_spectra(df: DataFrame, function: Callable[[np.ndarray, np.ndarray, list], list[dict]], schema: str, key: str, energy: str, intensity: str) -> DataFrame:
+    """_per_spectrum for a function of many spectra of as many points each: axes, intensities (rows, points), keys."""
     names = [c.split()[0] for c in schema.split(", ")]
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in frames:
-            rows = []
-            for k, e, y in zip(pdf[key], pdf[energy], pdf[intensity]):
-                got: dict = {}
-                reason = unreadable(e, y)
-                if reason is None:
-                    e, y = np.asarray(e, dtype=np.float64), np.asarray(y, dtype=np.float64)
-                    got = function(e, y, k)
-                rows.append([k, *[got.get(n) for n in names], reason])
-            yield pd.DataFrame(rows, columns=[key, *names, "reason"])
+            keys, es, ys = list(pdf[key]), pdf[energy].tolist(), pdf[intensity].tolist()
+            reasons = [unreadable(e, y) for e, y in zip(es, ys)]
+            got: list[dict] = [{} for _ in keys]
+            for own, e, y in batched.by_length(es, ys, [r for r, why in enumerate(reasons) if why is None]):
+                for r, found in zip(own, function(e, y, [keys[r] for r in own])):
+                    got[r] = found
+            yield pd.DataFrame([[k, *[g.get(n) for n in names], why] for k, g, why in zip(keys, got, reasons)], columns=[key, *names, "reason"])
 
     kind = df.schema[key].dataType.simpleString()
     return df.select(key, energy, intensity).mapInPandas(run, f"{key} {kind}, {schema}, reason string")

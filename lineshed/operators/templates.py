@@ -7,8 +7,8 @@ from dataclasses import dataclass
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 
-from lineshed.operators import kernels
-from lineshed.operators.analyse import _per_spectrum
+from lineshed.operators import batched, kernels
+from lineshed.operators.analyse import _many_spectra
 from lineshed.operators.background import BACKGROUNDS
 
 
@@ -72,45 +72,66 @@ def fit_template(df: DataFrame, template: Template, kinetic: bool = False, photo
     gamma = np.array([p.fwhm_l for p in template.peaks]) / 2
     nominal = photon_energy - template.reference if kinetic else template.reference
 
-    def basis(e: np.ndarray, place: float, moved: np.ndarray, scale: float) -> np.ndarray:
-        out = []
-        for s, w, g in zip(shifts + moved, sigma * scale, gamma * scale):
-            v = kernels.voigt(e, place + sign * s, w, g)
-            out.append(v + template.ratio * kernels.voigt(e, place + sign * (s + template.split), w, g) if template.split else v)
-        return np.stack(out, axis=1)
-
-    def areas(b: np.ndarray, y: np.ndarray) -> np.ndarray:
-        """Areas of 0 or more, by dropping the most negative one until none is."""
-        use = np.ones(b.shape[1], dtype=bool)
-        a = np.zeros(b.shape[1])
-        while use.any():
-            part = np.linalg.lstsq(b[:, use], y, rcond=None)[0]
-            if (part >= 0).all():
-                a[use] = part
-                break
-            use[np.flatnonzero(use)[part.argmin()]] = False
-        return a
-
-    def one(e: np.ndarray, y: np.ndarray, _) -> dict:
-        net = y - BACKGROUNDS[background](e, y)
-        none = np.zeros(len(shifts))
-
-        def cost(place: float) -> float:
-            b = basis(e, place, none, 1.0)
-            r = net - b @ areas(b, net)
-            return float(r @ r)
-
-        place = min((nominal + d for d in np.linspace(-reach, reach, 41)), key=cost)
-
-        def residual(q: np.ndarray) -> np.ndarray:
-            b = basis(e, q[0], np.concatenate([[0.0], q[2:]]), q[1])
-            return net - b @ areas(b, net)
-
-        start = np.concatenate([[place, 1.0], none[1:]])
-        low = np.concatenate([[place - reach / 5, 0.6], none[1:] - 0.3])
-        high = np.concatenate([[place + reach / 5, 1.8], none[1:] + 0.3])
-        q, _, best, done = kernels.least_squares(residual, start, low, high, 60)
-        b = basis(e, q[0], np.concatenate([[0.0], q[2:]]), q[1])
-        return {"reference": float(q[0]), "areas": areas(b, net).tolist(), "shifts": (shifts + np.concatenate([[0.0], q[2:]])).tolist(), "scale": float(q[1]), "chi2": best / len(e), "success": bool(done)}
-
-    return _per_spectrum(df, one, "reference double, areas array<double>, shifts array<double>, scale double, chi2 double, success boolean", key, energy, intensity)
+    count = len(shifts)
+
+    def basis(e: np.ndarray, place: np.ndarray, moved: np.ndarray, scale: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Profiles (rows, states, points), their derivatives by place and by scale."""
+        centers = place[:, None] + sign * (shifts + moved)
+        width, half = sigma * scale[:, None], gamma * scale[:, None]
+        lines = [(1.0, batched.voigt_derivatives(e, centers, width, half))]
+        if template.split:
+            lines.append((template.ratio, batched.voigt_derivatives(e, centers + sign * template.split, width, half)))
+        v, dc, ds, dg = (sum(r * line[k] for r, line in lines) for k in range(4))
+        return v, dc, ds * sigma[:, None] + dg * gamma[:, None]
+
+    def areas(b: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Areas of 0 or more, by dropping the most negative one until none is; and the profiles in use, others as zeros."""
+        b = b.copy()
+        a = np.zeros(b.shape[:2])
+        rows = np.arange(len(b))
+        while len(rows):
+            a[rows] = batched.product(batched.orthogonal(b[rows])[1], y[rows])
+            rows = rows[(a[rows] < 0).any(axis=1)]
+            b[rows, a[rows].argmin(axis=1)] = 0
+        return a, b
+
+    def searched(e: np.ndarray, net: np.ndarray) -> np.ndarray:
+        """The best place of each spectrum; profiles are made once for each axis."""
+        tried = nominal + np.linspace(-reach, reach, 41)
+        out = np.empty(len(e))
+        axes, of = np.unique(e, axis=0, return_inverse=True)
+        members = np.split(np.argsort(of.ravel(), kind="stable"), np.cumsum(np.bincount(of.ravel()))[:-1])
+        for axis, own in zip(axes, members):
+            b = basis(np.broadcast_to(axis, (len(tried), len(axis))), tried, np.zeros((len(tried), count)), np.ones(len(tried)))[0]
+            costs = np.empty((len(own), len(tried)))
+            for k in range(len(tried)):
+                each = np.broadcast_to(b[k], (len(own), *b[k].shape))
+                rest = net[own] - np.einsum("nk,ke->ne", areas(each, net[own])[0], b[k])
+                costs[:, k] = np.einsum("ij,ij->i", rest, rest)
+            out[own] = tried[costs.argmin(axis=1)]
+        return out
+
+    def fitted(e: np.ndarray, net: np.ndarray) -> dict:
+        def evaluate(rows: np.ndarray, q: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+            v, dc, dw = basis(e[rows], q[:, 0], np.pad(q[:, 2:], ((0, 0), (1, 0))), q[:, 1])
+            rest, jacobian = batched.projected(net[rows], areas(v, net[rows])[1], [(dc, range(count)), (dw, range(count))])
+            # the place moves all states, the scale widens all, each shift moves one
+            jacobian = np.concatenate([jacobian[:, :count].sum(axis=1, keepdims=True), jacobian[:, count:].sum(axis=1, keepdims=True), sign * jacobian[:, 1:count]], axis=1)
+            return batched.normal(rest, jacobian)
+
+        places = np.concatenate([searched(e[part], net[part]) for part in batched.slices(len(e))])
+        still = np.zeros((len(e), count - 1))
+        start = np.column_stack([places, np.ones(len(e)), still])
+        low = np.column_stack([places - reach / 5, np.full(len(e), 0.6), still - 0.3])
+        high = np.column_stack([places + reach / 5, np.full(len(e), 1.8), still + 0.3])
+        q, best, done = batched.least_squares(evaluate, start, low, high, 60)
+        moved = np.pad(q[:, 2:], ((0, 0), (1, 0)))
+        sizes = np.concatenate([areas(basis(e[part], q[part, 0], moved[part], q[part, 1])[0], net[part])[0] for part in batched.slices(len(e))])
+        return {"reference": q[:, 0], "areas": sizes, "shifts": shifts + moved, "scale": q[:, 1], "chi2": best / e.shape[1], "success": done}
+
+    def many(e: np.ndarray, y: np.ndarray, _) -> list[dict]:
+        net = np.stack([v - BACKGROUNDS[background](x, v) for x, v in zip(e, y)])
+        found = {name: values.tolist() for name, values in fitted(e, net).items()}
+        return [dict(zip(found, row)) for row in zip(*found.values())]
+
+    return _many_spectra(df, many, "reference double, areas array<double>, shifts array<double>, scale double, chi2 double, success boolean", key, energy, intensity)

@@ -4,7 +4,7 @@ import numpy as np
 import pytest
 
 import __spark_entry__ as entry
-from lineshed.operators import analyse, batched, kernels, poisson
+from lineshed.operators import analyse, batched, kernels, poisson, templates
 from lineshed.plans import spectra
 
 SF = "/root/testdata/sf0.001"
@@ -98,3 +98,31 @@ def test_counts_that_cannot_be_fitted(spark):
     got = {r["spectrum_id"]: r for r in poisson.fit_counts(df, model, (150.0, 0.0, 1.0), LOW, 1).collect()}
     assert got[1]["success"] and got[1]["low"] < got[1]["parameters"][1] < got[1]["high"]
     assert all(not got[k]["success"] and got[k]["parameters"] is None and got[k]["deviance"] is None and got[k]["low"] is None for k in (2, 3))
+
+
+def system(template, e, place, sign=1.0):
+    lines = [(p, place + sign * (p.shift + s), r) for p in template.peaks for s, r in ((0.0, 1.0), (template.split, template.ratio)) if r]
+    return sum(r * 500 * p.area * kernels.voigt(e, c, p.fwhm_g / kernels.FWHM_PER_SIGMA, p.fwhm_l / 2) for p, c, r in lines)
+
+
+@pytest.mark.parametrize("name,kinetic", [("Si2p_oxide", False), ("Ta4f_oxide", True), ("C1s_organic", False)])
+def test_templates_of_many_axes(spark, name, kinetic):
+    t = templates.TEMPLATES[name]
+    nominal = 1000 - t.reference if kinetic else t.reference
+    rows = []
+    for k in range(6):  # other axes, lengths and places
+        e = np.linspace(nominal - 12 - k % 3, nominal + 12, 200 + k // 3)
+        y = system(t, e, nominal + 0.1 * k - 0.2, -1.0 if kinetic else 1.0)
+        rows.append((k, e.tolist(), (y - np.interp(e, e[[0, -1]], y[[0, -1]])).tolist()))
+    rows.append((6, None, None))
+    df = spark.createDataFrame(rows, "spectrum_id long, energy array<double>, intensity array<double>")
+    got = {r["spectrum_id"]: r for r in templates.fit_template(df, t, kinetic, 1000.0, "constant").collect()}
+    assert got[6]["reason"] == "no spectrum" and got[6]["areas"] is None
+    for k in range(6):
+        assert got[k]["success"] and got[k]["reference"] == pytest.approx(nominal + 0.1 * k - 0.2, abs=0.02)
+        assert np.allclose(got[k]["areas"], [500 * p.area for p in t.peaks], rtol=0.1, atol=15)
+
+
+def test_template_fit_is_dealt_out(spark):
+    out = entry.queries()["template_fit"](spark, SF)
+    assert out.rdd.getNumPartitions() > 1 and out.filter("success").count() == out.count()
