@@ -88,35 +88,70 @@ def _fit_peaks(e: np.ndarray, y: np.ndarray, centers: Sequence[float], width: fl
     return {"p": p, "jacobian": jacobian, "cost": cost, "done": done, "model": model(p)}
 
 
+def _fit_many(e: np.ndarray, y: np.ndarray, centers: np.ndarray, width: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """_fit_peaks for many spectra of as many peaks each: parameters, costs, converged."""
+    k = centers.shape[1]
+    span = np.abs(e[:, -1:] - e[:, :1])
+    top = np.maximum(np.ptp(y, axis=1), 1e-12)[:, None]
+    width = width[:, None]
+    ones = np.ones_like(centers)
+
+    def evaluate(rows: np.ndarray, p: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        v, dc, ds, dg = batched.voigt_derivatives(e[rows], p[:, k : 2 * k], p[:, 2 * k : 3 * k], p[:, 3 * k :])
+        a = p[:, :k, None]
+        jacobian = np.concatenate([v, a * dc, a * ds, (a * dg).sum(axis=1, keepdims=True)], axis=1)
+        return batched.normal(y[rows] - (a * v).sum(axis=1), -jacobian)
+
+    start = np.concatenate([top * width * 2.5 * ones, centers, width * ones, width / 3], axis=1)
+    low = np.concatenate([0 * ones, centers - 3 * width, width / 5 * ones, np.full_like(width, 1e-3)], axis=1)
+    high = np.concatenate([top * span * 10 * ones, centers + 3 * width, width * 5 * ones, width * 3], axis=1)
+    return batched.least_squares(evaluate, start, low, high, 200)
+
+
 def auto_fit(df: DataFrame, background: str = "shirley", most: int = 10, key: str = "spectrum_id", energy: str = "energy", intensity: str = "intensity") -> DataFrame:
     """(n_components, centers, heights, areas, sigmas, gamma, chi2, r2, success) of each spectrum.
 
     Background, detection, a joint fit, then peaks under 1 % of the largest area are dropped.
     """
 
-    def one(e: np.ndarray, y: np.ndarray, _) -> dict:
-        net = y - BACKGROUNDS[background](e, y)
-        places = detect_peaks(e, net, most)
-        if not len(places):
-            return {"n_components": 0, "success": False}
-        width = abs(e[-1] - e[0]) / 30
-        centers = e[places]
-        f = _fit_peaks(e, net, centers, width)
-        k = len(centers)
-        keep = f["p"][:k] >= 0.01 * f["p"][:k].max()
-        if not keep.all():
-            f = _fit_peaks(e, net, f["p"][k : 2 * k][keep], width)
-            k = int(keep.sum())
-        p = f["p"]
-        heights = [p[c] * kernels.voigt(p[k + c : k + c + 1], p[k + c], p[2 * k + c], p[3 * k])[0] for c in range(k)]
-        total = float(((net - net.mean()) ** 2).sum())
-        return {
-            "n_components": k, "centers": p[k : 2 * k].tolist(), "heights": heights, "areas": p[:k].tolist(), "sigmas": p[2 * k : 3 * k].tolist(), "gamma": float(p[3 * k]),
-            "chi2": f["cost"] / len(e), "r2": 1 - f["cost"] / total if total else None, "success": bool(f["done"]),
-        }
+    def fitted(e: np.ndarray, net: np.ndarray, centers: list[np.ndarray]) -> tuple[list[np.ndarray], np.ndarray, np.ndarray]:
+        """Parameters, costs, converged; spectra of as many peaks each are fitted together."""
+        p: list[np.ndarray] = [np.empty(0)] * len(e)
+        cost, done = np.empty(len(e)), np.empty(len(e), dtype=bool)
+        counts = np.array([len(c) for c in centers])
+        for k in np.unique(counts):
+            own = np.flatnonzero(counts == k)
+            found, cost[own], done[own] = _fit_many(e[own], net[own], np.stack([centers[r] for r in own]), np.abs(e[own, -1] - e[own, 0]) / 30)
+            for r, q in zip(own, found):
+                p[r] = q
+        return p, cost, done
+
+    def many(e: np.ndarray, y: np.ndarray, _) -> list[dict]:
+        net = np.stack([v - BACKGROUNDS[background](x, v) for x, v in zip(e, y)])
+        places = [detect_peaks(*x, most) for x in zip(e, net)]
+        out: list[dict] = [{"n_components": 0, "success": False} for _ in places]
+        rows = np.array([r for r, at in enumerate(places) if len(at)], dtype=np.int64)
+        if not len(rows):
+            return out
+        p, cost, done = fitted(e[rows], net[rows], [e[r, places[r]] for r in rows])
+        kept = [q[: len(q) // 3] >= 0.01 * q[: len(q) // 3].max() for q in p]
+        again = np.array([r for r, keep in enumerate(kept) if not keep.all()], dtype=np.int64)
+        if len(again):
+            better, cost[again], done[again] = fitted(e[rows[again]], net[rows[again]], [p[r][len(kept[r]) : 2 * len(kept[r])][kept[r]] for r in again])
+            for r, q in zip(again, better):
+                p[r] = q
+        for r, q, c, d in zip(rows, p, cost, done):
+            k = len(q) // 3
+            heights = batched.voigt_derivatives(q[k : 2 * k, None], q[k : 2 * k, None], q[2 * k : 3 * k, None], q[3 * k])[0][:, 0, 0] * q[:k]
+            total = float(((net[r] - net[r].mean()) ** 2).sum())
+            out[r] = {
+                "n_components": k, "centers": q[k : 2 * k].tolist(), "heights": heights.tolist(), "areas": q[:k].tolist(), "sigmas": q[2 * k : 3 * k].tolist(), "gamma": float(q[3 * k]),
+                "chi2": float(c) / e.shape[1], "r2": 1 - float(c) / total if total else None, "success": bool(d),
+            }
+        return out
 
     schema = "n_components int, centers array<double>, heights array<double>, areas array<double>, sigmas array<double>, gamma double, chi2 double, r2 double, success boolean"
-    return _per_spectrum(df, one, schema, key, energy, intensity)
+    return _many_spectra(df, many, schema, key, energy, intensity)
 
 
 def exact_k(df: DataFrame, most: int = 4, starts: int = 4, sigma: float = 0.5, gamma: float = 0.1, key: str = "spectrum_id", energy: str = "energy", intensity: str = "intensity") -> DataFrame:

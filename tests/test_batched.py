@@ -126,3 +126,33 @@ def test_templates_of_many_axes(spark, name, kinetic):
 def test_template_fit_is_dealt_out(spark):
     out = entry.queries()["template_fit"](spark, SF)
     assert out.rdd.getNumPartitions() > 1 and out.filter("success").count() == out.count()
+
+
+def test_auto_fit_of_unequal_spectra(spark):
+    rng = np.random.default_rng(7)
+    cases = []
+    for n, lines in ((128, [(300, 99.3, 0.5)]), (128, [(300, 98.6, 0.45), (200, 103.4, 0.6)]), (160, [(300, 98.0, 0.4), (250, 101.0, 0.5), (200, 104.0, 0.4)]), (128, [(900, 101.5, 1.2)]), (128, [])):
+        e = np.linspace(96, 106, n)
+        y = sum((a * kernels.voigt(e, c, s, 0.1) for a, c, s in lines), np.zeros(n))
+        if lines == [(900, 101.5, 1.2)]:
+            y += 6 * kernels.voigt(e, 97.4, 0.08, 0.0)  # found, then dropped for its area
+        cases.append((e, y + rng.normal(0, 0.05, n) if lines else y))
+    df = spark.createDataFrame([(k, e.tolist(), y.tolist()) for k, (e, y) in enumerate(cases)], "spectrum_id long, energy array<double>, intensity array<double>").coalesce(1)
+    got = {r["spectrum_id"]: r for r in analyse.auto_fit(df, "constant").collect()}
+    assert got[4]["n_components"] == 0 and not got[4]["success"] and got[4]["centers"] is None
+    for r, (e, y) in enumerate(cases[:4]):
+        net, width = y - min(y[0], y[-1]), 10 / 30
+        f = analyse._fit_peaks(e, net, e[analyse.detect_peaks(e, net)], width)  # one at a time, forward differences
+        k = len(f["p"]) // 3
+        keep = f["p"][:k] >= 0.01 * f["p"][:k].max()
+        assert keep.all() == (r != 3)
+        if not keep.all():
+            f = analyse._fit_peaks(e, net, f["p"][k : 2 * k][keep], width)
+            k = int(keep.sum())
+        assert got[r]["n_components"] == k and np.allclose(got[r]["centers"], f["p"][k : 2 * k], atol=1e-5) and np.allclose(got[r]["areas"], f["p"][:k], rtol=1e-4)
+        assert got[r]["chi2"] * len(e) == pytest.approx(f["cost"], rel=1e-6) and got[r]["success"] == f["done"]
+
+
+def test_auto_fit_is_dealt_out(spark):
+    out = entry.queries()["auto_fit"](spark, SF)
+    assert out.rdd.getNumPartitions() > 1 and out.filter("success and n_components = 2").count() == out.count()
