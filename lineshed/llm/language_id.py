@@ -26,13 +26,15 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lineshed.llm.textops import byte_batches, filter_texts, map_texts, mix64
+from lineshed.llm.textops import byte_batches, filter_texts, map_texts, mix64, tidy
 
 DIM = 1024
 SEED = 20240607
 SCALE = 1 << 20  # prototypes are whole numbers of this length
 MOST_CELLS = 1 << 22
-MOST_BOUND = 16_384
+MOST_BOUND = 8192
+MOST_CHARS = 1 << 20  # of the texts that are bundled at once, but for a longer text
+MOST_HELD = 1 << 17  # trigrams that a task counts before it binds them
 UND = "und"
 U = np.uint64
 _letters: np.ndarray | None = None
@@ -59,14 +61,20 @@ def bind(trigrams: np.ndarray, dim: int = DIM) -> np.ndarray:
     points = np.unique(np.concatenate(parts))
     vectors = letter_vectors(points, dim)
     first, second, third = (np.searchsorted(points, p) for p in parts)
-    return np.roll(vectors, 2, axis=1)[first] * np.roll(vectors, 1, axis=1)[second] * vectors[third]
+    twice, once = np.roll(vectors, 2, axis=1), np.roll(vectors, 1, axis=1)
+    out = np.empty((len(trigrams), dim), dtype=np.float32)
+    for k in range(0, len(trigrams), 1024):
+        rows = slice(k, k + 1024)
+        np.multiply(twice[first[rows]], once[second[rows]], out=out[rows])
+        out[rows] *= vectors[third[rows]]
+    return out
 
 
 def trigram_codes(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
     """Trigram codes, of three code points, of all texts, and the number of the text that each comes from."""
     points = np.frombuffer(("\n" + "\n".join(t.replace("\n", " ").lower() for t in texts) + "\n").encode("utf-32-le", "surrogatepass"), dtype=np.uint32)
     letter = letter_points()[points]
-    doc = np.cumsum(points == 10, dtype=np.int64) - 1
+    doc = np.cumsum(points == 10, dtype=np.int32) - np.int32(1)
     keep = letter.copy()
     keep[0] = True
     keep[1:] |= letter[:-1]  # of a run of spaces the first stays
@@ -91,12 +99,48 @@ def distinct(codes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     place = np.zeros(0x110000, dtype=np.int32)
     place[points] = np.arange(n)
     cell = (place[parts[0]] * n + place[parts[1]]) * n + place[parts[2]]
-    used = np.flatnonzero(np.bincount(cell, minlength=n**3))
+    seen = np.zeros(n**3, dtype=bool)
+    seen[cell] = True
+    used = np.flatnonzero(seen)
     column = np.zeros(n**3, dtype=np.int32)
     column[used] = np.arange(len(used))
     return (points[used // (n * n)] << 42) | (points[used // n % n] << 21) | points[used % n], column[cell]
 
 
+def parts_of(texts: list[str]) -> Iterator[slice]:
+    """Runs of texts of about `MOST_CHARS` characters at most, one text at least."""
+    start = size = 0
+    for k, t in enumerate(texts):
+        if k > start and size + len(t) > MOST_CHARS:
+            yield slice(start, k)
+            start, size = k, 0
+        size += len(t)
+    if texts:
+        yield slice(start, len(texts))
+
+
+def count_codes(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """The distinct trigram codes of all texts and how often each stands there."""
+    used, column = distinct(trigram_codes(texts)[0])
+    return used, np.bincount(column, minlength=len(used))
+
+
+def added(counts: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct codes with the sums of their counts."""
+    used, place = np.unique(np.concatenate([c for c, _ in counts]), return_inverse=True)
+    total = np.zeros(len(used), dtype=np.int64)
+    np.add.at(total, place, np.concatenate([n for _, n in counts]))
+    return used, total
+
+
+def bundle(codes: np.ndarray, often: np.ndarray, dim: int = DIM) -> np.ndarray:
+    """The sum of the codes' vectors, each as often as told."""
+    total = np.zeros(dim)
+    for k in range(0, len(codes), MOST_BOUND):
+        total += often[k : k + MOST_BOUND].astype(np.float64) @ bind(codes[k : k + MOST_BOUND], dim).astype(np.float64)
+    return total
+
+
 @dataclass
 class Profiles:
     """Language names in alphabetical order and their prototypes, one a row, whole numbers of length SCALE or so."""
@@ -109,7 +153,11 @@ class Profiles:
         return self.measure(texts)[:2]
 
     def measure(self, texts: list[str]) -> list:
-        """Language, cosine and number of trigrams of each text."""
+        """Language, cosine and number of trigrams of each text. Texts are bundled in parts, which changes memory only."""
+        got = [self._measure(texts[part]) for part in parts_of(texts)] or [self._measure(texts)]
+        return [sum((g[0] for g in got), []), *[np.concatenate([g[k] for g in got]) for k in (1, 2)]]
+
+    def _measure(self, texts: list[str]) -> list:
         best = np.full(len(texts), UND, dtype=object)
         scores = np.zeros(len(texts))
         sizes = np.zeros(len(texts), dtype=np.int64)
@@ -149,21 +197,29 @@ def fit(training: DataFrame, text: str = "text", lang: str = "lang", dim: int =
 
     def partial(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         totals: dict[str, np.ndarray] = {}
+        held: dict[str, list] = {}
+
+        def bind_held(name: str) -> None:
+            totals[name] = totals.get(name, 0) + bundle(*added(held.pop(name)), dim)
+
         for pdf in byte_batches(frames, "t"):
             for name, rows in pdf.groupby("l"):
-                code, _ = trigram_codes(list(rows["t"]))
-                used, column = distinct(code)
-                often = np.bincount(column, minlength=len(used)).astype(np.float64)
-                total = totals.setdefault(name, np.zeros(dim))
-                for k in range(0, len(used), 4096):
-                    total += often[k : k + 4096] @ bind(used[k : k + 4096], dim).astype(np.float64)
+                texts = list(rows["t"])
+                for part in parts_of(texts):
+                    held.setdefault(name, []).append(count_codes(texts[part]))
+                    if sum(len(c) for c, _ in held[name]) > MOST_HELD:
+                        held[name] = [added(held[name])]
+                        if 2 * len(held[name][0][0]) > MOST_HELD:
+                            bind_held(name)
+        for name in list(held):
+            bind_held(name)
         for name, total in totals.items():
             yield pd.DataFrame({"l": name, "k": np.arange(dim), "v": np.rint(total).astype(np.int64)})
 
     rows = (
         training.select(F.col(text).alias("t"), F.col(lang).alias("l"))
         .filter("t is not null and l is not null")
-        .mapInPandas(partial, "l string, k int, v long")
+        .mapInPandas(tidy(partial), "l string, k int, v long")
         .groupBy("l", "k")
         .agg(F.sum("v").alias("v"))
         .collect()  # languages x dim rows

@@ -43,7 +43,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from lineshed.llm.textops import fresh, map_texts, mix64, text_slices
+from lineshed.llm.textops import fresh, map_texts, mix64, text_slices, tidy
 from lineshed.session import materialize
 
 ORDER = 5
@@ -52,6 +52,7 @@ BLOCK_TASK = 1 << 26
 BLOCK_BYTES = 6_000_000
 MOST_HELD = 1 << 20
 FILTER_BITS = 1 << 26
+AT_ONCE = 1 << 18
 QUANTILE = 0.995
 SLACK = 1.2
 SHORT = 2.0
@@ -71,13 +72,31 @@ def gram_codes(payloads: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     pad = b"\0" * (ORDER - 1)
     data = np.frombuffer(pad + pad.join(payloads), dtype=np.uint8)
     sizes = np.array([len(p) for p in payloads], dtype=np.int64)
-    owner = np.repeat(np.arange(len(payloads)), sizes)
-    at = np.arange(len(owner)) + owner * (ORDER - 1)  # where its n-gram begins
-    grams = data[: max(0, len(data) - ORDER + 1)].astype(U)
-    for k in range(1, ORDER):
-        grams <<= U(8)
-        grams |= data[k : len(data) - ORDER + 1 + k]
-    return grams[at], owner
+    inside = np.ones(max(0, len(data) - ORDER + 1), dtype=bool)  # where an n-gram of one payload begins
+    ends = np.cumsum(sizes) + np.arange(len(sizes)) * (ORDER - 1)
+    inside[(ends[:-1, None] + np.arange(ORDER - 1)).ravel()] = False
+    out, done = np.empty(int(sizes.sum()), dtype=U), 0
+    for start in range(0, len(inside), AT_ONCE):
+        here = inside[start : start + AT_ONCE]
+        grams = data[start : start + len(here)].astype(U)
+        for k in range(1, ORDER):
+            grams <<= U(8)
+            grams |= data[start + k : start + k + len(here)]
+        grams = grams[here]
+        out[done : done + len(grams)] = grams
+        done += len(grams)
+    return out, np.repeat(np.arange(len(payloads), dtype=np.uint32), sizes)
+
+
+def runs(rising: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Where each run of equal values begins, and how long it is."""
+    new = np.ones(len(rising), dtype=bool)
+    np.not_equal(rising[1:], rising[:-1], out=new[1:])
+    start = np.flatnonzero(new)
+    length = np.empty(len(start), dtype=np.uint32)
+    length[:-1] = start[1:] - start[:-1]
+    length[-1:] = len(rising) - start[-1:]
+    return start, length
 
 
 def squeeze(*columns: np.ndarray) -> bytes:
@@ -151,9 +170,9 @@ def count_grams(texts: DataFrame, column: str = "text") -> DataFrame:
         for _, found in text_slices(batches):
             own, _ = gram_codes(encoded(found) if plain else [unpress.decompress(z) for z in found])
             own.sort()
-            first = np.flatnonzero(np.concatenate([[True], own[1:] != own[:-1]])) if len(own) else np.zeros(0, np.int64)
+            first, often = runs(own)
             grams.append(own[first])
-            counts.append(np.diff(np.append(first, len(own))).astype(U))
+            counts.append(often.astype(U))
             held += len(first)
             if held > MOST_HELD:
                 g, c = added(grams, counts)
@@ -189,8 +208,8 @@ def count_grams(texts: DataFrame, column: str = "text") -> DataFrame:
         if grams:
             yield from done()
 
-    sent = texts.select(F.col(column).alias("t")).mapInArrow(count, "shard int, z binary")
-    return sent.repartition(shards, "shard").sortWithinPartitions("shard").mapInArrow(add, "g long, c long")
+    sent = texts.select(F.col(column).alias("t")).mapInArrow(tidy(count), "shard int, z binary")
+    return sent.repartition(shards, "shard").sortWithinPartitions("shard").mapInArrow(tidy(add), "g long, c long")
 
 
 def discounts(tables: list[DataFrame]) -> list[tuple[float, float, float]]:
@@ -267,20 +286,27 @@ def _requests(payloads: list[bytes], shards: int) -> Iterator[tuple[int, bytes]]
     """For each shard the n-grams of a block, the texts that hold each, and how often."""
     grams, owner = gram_codes(payloads)
     bits = max(1, (len(payloads) - 1).bit_length())
-    pairs = grams << U(bits) | owner.astype(U)  # ORDER bytes and a text's number below 2^24
+    pairs = grams  # ORDER bytes and a text's number below 2^24
+    pairs <<= U(bits)
+    pairs |= owner
+    del grams, owner
     pairs.sort()
-    first = np.flatnonzero(np.concatenate([[True], pairs[1:] != pairs[:-1]])) if len(pairs) else np.zeros(0, np.int64)
-    often = np.diff(np.append(first, len(pairs)))
-    pairs = pairs[first]
-    key, holder = pairs >> U(bits), (pairs & U((1 << bits) - 1)).astype(np.int64)
-    start = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]])) if len(key) else np.zeros(0, np.int64)
-    holders = np.diff(np.append(start, len(key)))
-    gap = np.diff(holder, prepend=0)
-    gap[start] = holder[start]
+    first, often = runs(pairs)
+    key = pairs[first]
+    del pairs, first
+    holder = (key & U((1 << bits) - 1)).astype(np.uint32)
+    key >>= U(bits)
+    start, holders = runs(key)
     key = key[start]
+    gap = holder.copy()
+    gap[1:] -= holder[:-1]
+    gap[start] = holder[start]
+    del holder
     for s, at in by_shard(key, shards, holders):
-        rows = np.repeat(start[at] - np.cumsum(holders[at]) + holders[at], holders[at]) + np.arange(int(holders[at].sum()))
-        yield s, squeeze(steps(key[at]), holders[at].astype(np.uint32), gap[rows].astype(np.uint32), often[rows].astype(np.uint32))
+        n = holders[at].astype(np.int64)
+        rows = np.repeat(start[at] - np.cumsum(n) + n, n)
+        rows += np.arange(len(rows))
+        yield s, squeeze(steps(key[at]), holders[at], gap[rows], often[rows])
 
 
 def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.RecordBatch, list]]:
@@ -308,9 +334,13 @@ def _sums(request: bytes, grams: np.ndarray, logp: np.ndarray, texts: int) -> np
     delta, holders, gap, often = unsqueeze(request)
     value = logp[np.searchsorted(grams, np.cumsum(delta, dtype=U))]
     holders, running = holders.astype(np.int64), np.cumsum(gap, dtype=np.int64)
+    del delta, gap
     ends = np.cumsum(holders)
     before = np.concatenate([[0], running[ends[:-1] - 1]])
-    return np.bincount(running - np.repeat(before, holders), np.repeat(value, holders) * often, minlength=texts)
+    running -= np.repeat(before, holders)
+    weight = np.repeat(value, holders)
+    weight *= often
+    return np.bincount(running, weight, minlength=texts)
 
 
 def perplexity(docs: DataFrame, model: Model, text: str = "text", keep: tuple[str, ...] = ("doc_id", "lang")) -> DataFrame:
@@ -376,9 +406,9 @@ def perplexity(docs: DataFrame, model: Model, text: str = "text", keep: tuple[st
         return pa.table([*head.columns[:-1], pa.array(value, mask=sizes == 0), pa.array(sizes)], names=[*keep, "perplexity", "chars"])
 
     fields = "task int, kind int, block long, shard int, z binary, texts int"
-    offered = resolved.mapInArrow(offer, "task int, z binary").select("task", F.lit(0).alias("kind"), F.lit(-1).cast("long").alias("block"), F.lit(-1).alias("shard"), "z", F.lit(0).alias("texts"))
-    met = named.mapInArrow(ask, fields).unionByName(offered).repartitionById(shards * deals, "task").sortWithinPartitions("task", "kind")
-    summed = met.mapInArrow(join, "block long, shard int, z binary")
+    offered = resolved.mapInArrow(tidy(offer), "task int, z binary").select("task", F.lit(0).alias("kind"), F.lit(-1).cast("long").alias("block"), F.lit(-1).alias("shard"), "z", F.lit(0).alias("texts"))
+    met = named.mapInArrow(tidy(ask), fields).unionByName(offered).repartitionById(shards * deals, "task").sortWithinPartitions("task", "kind")
+    summed = met.mapInArrow(tidy(join), "block long, shard int, z binary")
     schema = StructType([*kept.fields, *StructType.fromDDL("perplexity double, chars long").fields])
     return summed.groupBy("block").applyInArrow(finish, schema)
 
@@ -444,7 +474,7 @@ def trusted_texts(docs: DataFrame, trusted: DataFrame, text: str, key: str) -> D
             yield pa.RecordBatch.from_arrays([found.column(0), pa.array(z, pa.binary())], names=[key, "__z"])
 
     own = docs.filter(F.col(key).isNotNull() & F.col(text).isNotNull() & (F.col(text) != "")).select(key, *[p.alias(f"__{k}") for k, p in enumerate(_positions(key, bits))], F.col(text).alias("__text"))
-    sent = own.mapInArrow(run, StructType([docs.select(key).schema[0], *StructType.fromDDL("__z binary").fields]))
+    sent = own.mapInArrow(tidy(run), StructType([docs.select(key).schema[0], *StructType.fromDDL("__z binary").fields]))
     return sent.hint("merge").join(trusted, key, "left_semi")
 
 

@@ -6,6 +6,7 @@ Words are the lower-cased runs of bytes between ASCII white space. A text of few
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Callable, Iterator, Sequence
 
 import numpy as np
@@ -23,6 +24,7 @@ _SPACE = np.zeros(256, dtype=bool)
 _SPACE[[9, 10, 11, 12, 13, 32]] = True
 _PUNCTUATION = np.array([b < 128 and not chr(b).isalnum() for b in range(256)])
 _BASE = 0x9E3779B97F4A7C15
+_trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # glibc's
 _powers = np.array([pow(_BASE, k, 1 << 64) for k in range(64)], dtype=U)
 
 
@@ -100,17 +102,36 @@ def byte_batches(frames: Iterator[pd.DataFrame], column: str, most: int = MOST)
             yield rows
 
 
-def text_slices(batches: Iterator[pa.RecordBatch], most: int = MOST) -> Iterator[tuple[pa.RecordBatch, list]]:
-    """Slices of about `most` bytes of the last column at most, one row at least, and that column's values."""
+def give_back() -> None:
+    """Returns freed memory to the system: else a worker keeps the most it ever had beside what its executor needs next."""
+    pa.default_memory_pool().release_unused()
+    if _trim is not None:
+        _trim(0)
+
+
+def tidy(run: Callable[[Iterator], Iterator]) -> Callable[[Iterator], Iterator]:
+    """run, a map over batches, whose worker gives memory back when a task ends."""
+
+    def tidied(batches: Iterator) -> Iterator:
+        try:
+            yield from run(batches)
+        finally:
+            give_back()
+
+    return tidied
+
+
+def text_slices(batches: Iterator[pa.RecordBatch], most: int = MOST, at: int = -1) -> Iterator[tuple[pa.RecordBatch, list]]:
+    """Slices of about `most` bytes of a column, the last one if not told, at most, one row at least, and that column's values."""
     for batch in batches:
         if not batch.num_rows:
             continue
-        column = batch.column(batch.num_columns - 1)
+        column = batch.column(at % batch.num_columns)
         part = np.cumsum(pc.fill_null(pc.binary_length(column), 0).to_numpy(zero_copy_only=False).astype(np.int64)) // most
         edges = [0, *(np.flatnonzero(np.diff(part)) + 1).tolist(), batch.num_rows]
         for start, end in zip(edges, edges[1:]):
             piece = batch.slice(start, end - start)
-            yield piece, piece.column(piece.num_columns - 1).to_pylist()
+            yield piece, piece.column(at % piece.num_columns).to_pylist()
 
 
 def fresh(name: str, taken: Sequence[str]) -> str:
@@ -140,16 +161,16 @@ def map_texts(df: DataFrame, text: str, keep: Sequence[str], fields: str, comput
             yield pa.RecordBatch.from_arrays([*kept, *[pa.array(v, type=t) for v, t in zip(got, types, strict=True)]], names=names)
 
     schema = StructType([*df.select(*keep).schema.fields, *added.fields])
-    return df.select(*keep, F.col(text).alias(fresh("__text", keep))).mapInArrow(run, schema)
+    return df.select(*keep, F.col(text).alias(fresh("__text", keep))).mapInArrow(tidy(run), schema)
 
 
 def filter_texts(df: DataFrame, text: str, wanted: Callable[[list], Sequence[bool]]) -> DataFrame:
     """The rows of df, with all their columns untouched, for which wanted(values of the text column) is true."""
+    names = df.columns if text in df.columns else [c.lower() for c in df.columns]
+    at = names.index(text if text in names else text.lower())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch, texts in text_slices(batches):
-            mask = pa.array(np.asarray(wanted(texts), dtype=bool))
-            kept = batch.filter(mask)
-            yield pa.RecordBatch.from_arrays(kept.columns[:-1], names=batch.schema.names[:-1])
+        for batch, texts in text_slices(batches, at=at):
+            yield batch.filter(pa.array(np.asarray(wanted(texts), dtype=bool)))
 
-    return df.select(*df.columns, F.col(text).alias(fresh("__text", df.columns))).mapInArrow(run, df.schema)
+    return df.mapInArrow(tidy(run), df.schema)

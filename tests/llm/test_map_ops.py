@@ -89,6 +89,31 @@ def test_equal_texts_score_equally_in_any_batch(monkeypatch):
         assert [x[0] for x in one] == [x[k] for x in whole]
 
 
+def test_language_id_holds_a_part_of_a_batch_at_once():
+    import tracemalloc
+
+    rng = random.Random(9)
+    words = ["".join(rng.choices("abcdefghijklmnopqrstuvwxyz", k=rng.randint(2, 9))) for _ in range(3000)]
+    texts = [" ".join(rng.choices(words, k=1200)) for _ in range(400)]
+    p = language_id.Profiles(["x", "y"], np.rint(np.random.default_rng(1).normal(size=(2, language_id.DIM)) * 1e5))
+    p.measure(texts[:1])
+    tracemalloc.start()
+    got = p.measure(texts)
+    most = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert most < 90e6 and [x[7] for x in got] == [x[0] for x in p.measure(texts[7:8])]
+
+
+def test_counted_trigrams_bind_to_the_same_sum(monkeypatch):
+    texts = ["abc ab", "", "zz top \u0436\u0434", "abc abc", "\u65e5\u672c"]
+    whole = language_id.bundle(*language_id.count_codes(texts), 64)
+    monkeypatch.setattr(language_id, "MOST_CHARS", 8)
+    monkeypatch.setattr(language_id, "MOST_BOUND", 3)
+    parts = list(language_id.parts_of(texts))
+    assert [t for part in parts for t in texts[part]] == texts and len(parts) > 2
+    assert (language_id.bundle(*language_id.added([language_id.count_codes(texts[part]) for part in parts]), 64) == whole).all()
+
+
 def test_tokenize_is_the_tokenizer(spark):
     from tokenizers import Tokenizer
 

@@ -373,6 +373,30 @@ def test_stages_take_odd_rows(spark):
     assert corpus_pipeline.STAGES[-1][1](spark, here.filter("false"), SF).count() == 0
 
 
+def test_a_block_is_asked_in_bounded_memory():
+    import random
+    import tracemalloc
+
+    rng = random.Random(9)
+    words = ["".join(rng.choices("abcdefghijklmnopqrstuvwxyz", k=rng.randint(2, 9))) for _ in range(3000)]
+    payloads = [" ".join(rng.choices(words, k=800)).encode() for _ in range(600)]
+    size = sum(map(len, payloads))
+    tracemalloc.start()
+    rows = list(quality_lm._requests(payloads, 4))
+    most = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert most < 32 * size
+    asked = sum(int(often.sum()) for _, z in rows for often in quality_lm.unsqueeze(z)[3:])
+    assert asked == size
+
+
+def test_grams_of_payloads_by_hand():
+    payloads = [b"", b"abc", b"", b"x" * 400, b"y", b""]
+    grams, owner = quality_lm.gram_codes(payloads)
+    want = [(int.from_bytes((b"\0" * 4 + p)[k : k + 5], "big"), i) for i, p in enumerate(payloads) for k in range(len(p))]
+    assert list(zip(grams.tolist(), owner.tolist())) == want and not len(quality_lm.gram_codes([])[0])
+
+
 def test_short_texts_have_an_allowance(spark):
     from pyspark.sql import functions as F
 
